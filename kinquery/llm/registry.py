@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinquery.runtime import scratch_path, table
 
@@ -22,5 +23,13 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path)
 
 
-QUERIES = {"op1_token_ids": op1_token_ids}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash groups of all documents, linked at two or fewer differing bits."""
+    from kinquery.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op1_token_ids": op1_token_ids, "op8_simhash": op8_simhash}
 ORACLES: dict[str, str] = {}
