@@ -23,6 +23,17 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path)
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode all documents into pieces, decode the ids again, and digest both."""
+    from kinquery.llm.piece_codec import decode_documents, encode_documents
+
+    model = tokenizer_path("piece_bpe_32k.model")
+    encoded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), model).select("doc_id", "ids")
+    both = decode_documents(encoded, model)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents, linked at two or fewer differing bits."""
     from kinquery.llm.simhash import near_duplicates
@@ -31,5 +42,5 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_token_ids": op1_token_ids, "op8_simhash": op8_simhash}
+QUERIES = {"op1_token_ids": op1_token_ids, "op3_pieces": op3_pieces, "op8_simhash": op8_simhash}
 ORACLES: dict[str, str] = {}
