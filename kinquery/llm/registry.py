@@ -34,6 +34,16 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those that aren't held out."""
+    from kinquery.llm.language import held_out, learn, predict
+
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"))
+    model = learn(docs, ~out)
+    return predict(docs.select("doc_id", out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents, linked at two or fewer differing bits."""
     from kinquery.llm.simhash import near_duplicates
@@ -42,5 +52,26 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_token_ids": op1_token_ids, "op3_pieces": op3_pieces, "op8_simhash": op8_simhash}
-ORACLES: dict[str, str] = {}
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector with all others."""
+    from kinquery.llm.vector_topk import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {"op1_token_ids": op1_token_ids, "op3_pieces": op3_pieces, "op6_language": op6_language, "op8_simhash": op8_simhash, "op10_vectors": op10_vectors}
+ORACLES: dict[str, str] = {
+    "op10_vectors": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), p AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+        WHERE rank <= 5
+    """,
+}
