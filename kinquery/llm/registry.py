@@ -52,6 +52,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and templates in all documents."""
+    from kinquery.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of every fiftieth vector with all others."""
     from kinquery.llm.vector_topk import exact_top_k
@@ -59,7 +66,7 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {"op1_token_ids": op1_token_ids, "op3_pieces": op3_pieces, "op6_language": op6_language, "op8_simhash": op8_simhash, "op10_vectors": op10_vectors}
+QUERIES = {"op1_token_ids": op1_token_ids, "op3_pieces": op3_pieces, "op6_language": op6_language, "op8_simhash": op8_simhash, "op9_licenses": op9_licenses, "op10_vectors": op10_vectors}
 ORACLES: dict[str, str] = {
     "op10_vectors": """
         WITH v AS (
