@@ -44,6 +44,13 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of equal counts, equal texts together where quotas allow."""
+    from kinquery.llm.sharding import balanced_shards
+
+    return balanced_shards(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents, linked at two or fewer differing bits."""
     from kinquery.llm.simhash import near_duplicates
@@ -66,7 +73,7 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {"op1_token_ids": op1_token_ids, "op3_pieces": op3_pieces, "op6_language": op6_language, "op8_simhash": op8_simhash, "op9_licenses": op9_licenses, "op10_vectors": op10_vectors}
+QUERIES = {"op1_token_ids": op1_token_ids, "op3_pieces": op3_pieces, "op6_language": op6_language, "op7_shards": op7_shards, "op8_simhash": op8_simhash, "op9_licenses": op9_licenses, "op10_vectors": op10_vectors}
 ORACLES: dict[str, str] = {
     "op10_vectors": """
         WITH v AS (
