@@ -34,6 +34,13 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op5_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that stand in documents, as pairs of ids."""
+    from kinquery.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents, learned from those that aren't held out."""
     from kinquery.llm.language import held_out, learn, predict
@@ -73,7 +80,7 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {"op1_token_ids": op1_token_ids, "op3_pieces": op3_pieces, "op6_language": op6_language, "op7_shards": op7_shards, "op8_simhash": op8_simhash, "op9_licenses": op9_licenses, "op10_vectors": op10_vectors}
+QUERIES = {"op1_token_ids": op1_token_ids, "op3_pieces": op3_pieces, "op5_leaks": op5_leaks, "op6_language": op6_language, "op7_shards": op7_shards, "op8_simhash": op8_simhash, "op9_licenses": op9_licenses, "op10_vectors": op10_vectors}
 ORACLES: dict[str, str] = {
     "op10_vectors": """
         WITH v AS (
