@@ -218,7 +218,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, ov
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` in whose text no item is verified; rows without an id are told by their text."""
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    bad = checkpoint(find_leaks(numbered.drop("doc_id"), benchmark, key="__row", **how).select(F.col("doc_id").alias("__row")).distinct())
-    return numbered.join(bad, "__row", "left_anti").select(docs.columns)
+    """The rows of ``docs`` in whose text no item is verified, with all their columns.
+
+    The decision is one of the text alone, so it is joined back by the text's 64-bit hash, which
+    is the same whenever a lost part is computed again. Null texts and null ids stay.
+    """
+    hashed = F.xxhash64("text")
+    found = find_leaks(docs.select(hashed.alias("__text"), "text"), benchmark, key="__text", **how)
+    bad = checkpoint(found.select(F.col("doc_id").alias("__text")).distinct())
+    return docs.withColumn("__text", hashed).join(bad, "__text", "left_anti").select(docs.columns)
