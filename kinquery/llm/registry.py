@@ -23,6 +23,13 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path)
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    from kinquery.llm.html_main import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents into pieces, decode the ids again, and digest both."""
     from kinquery.llm.piece_codec import decode_documents, encode_documents
@@ -34,6 +41,15 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals, quantiles and truncated totals of all documents for every context limit."""
+    from kinquery.llm.token_counts import context_limits, length_histogram, token_lengths
+    from kinquery.runtime import stored
+
+    lengths = token_lengths(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return context_limits(stored(length_histogram(lengths), "length-histogram"))
+
+
 def op5_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that stand in documents, as pairs of ids."""
     from kinquery.llm.decontaminate import find_leaks
@@ -80,7 +96,7 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {"op1_token_ids": op1_token_ids, "op3_pieces": op3_pieces, "op5_leaks": op5_leaks, "op6_language": op6_language, "op7_shards": op7_shards, "op8_simhash": op8_simhash, "op9_licenses": op9_licenses, "op10_vectors": op10_vectors}
+QUERIES = {"op1_token_ids": op1_token_ids, "op2_main_text": op2_main_text, "op3_pieces": op3_pieces, "op4_token_counts": op4_token_counts, "op5_leaks": op5_leaks, "op6_language": op6_language, "op7_shards": op7_shards, "op8_simhash": op8_simhash, "op9_licenses": op9_licenses, "op10_vectors": op10_vectors}
 ORACLES: dict[str, str] = {
     "op10_vectors": """
         WITH v AS (
