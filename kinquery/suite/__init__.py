@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinquery.runtime import table
+from kinquery.suite import kin
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES: dict = {**kin.QUERIES}
+ORACLES: dict = {**kin.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").groupBy("c_nationkey").count()
+    """How many daughters has the sibling of each person asked about?"""
+    return kin.q_count_per_binding(spark, sf_dir)
