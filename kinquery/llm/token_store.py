@@ -45,9 +45,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, s
             return found
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                some = batch.slice(lo, 2000)
-                for key, ids in zip(some.column("doc_id").to_pylist(), enc.encode([t or "" for t in some.column("text").to_pylist()]), strict=True):
+            for lo in range(0, batch.num_rows, 5000):
+                some = batch.slice(lo, 5000)
+                for key, ids in zip(some.column("doc_id").to_pylist(), enc.encode(some.column("text")), strict=True):
                     keys.append(key)
                     parts.append(ids + end)
                     held += len(ids) // 4 + 1
