@@ -6,8 +6,8 @@ of as many words as the longest item; two tiles in a row are a passage, so any c
 in one passage whole. Every passage is a query, and all items are wanted whose score reaches
 ``threshold`` (1 is an item's score for itself).
 
-An item's essential terms are its heaviest, until the others together stay below the threshold; a
-passage without one of them can't reach it. So only essential terms are looked up at first: their
+An item's essential terms are its heaviest, until the others together stay below half of the
+threshold; a passage without one of them can't reach it. So only essential terms are looked up at first: their
 block maxima are added up by passage and block, and blocks whose bound (plus the most that
 non-essential terms can give) stays below the threshold are skipped. In blocks that are left,
 items are bounded in the same way, then scored exactly. What reaches the threshold is verified: of
@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from kinquery.runtime import checkpoint
 
 BLOCK = 8
+#: Terms are looked up until the others together give less than this part of the threshold.
+REST = 0.5
 _WORD = re.compile(r"[^\W_]+")
 FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
@@ -81,7 +84,7 @@ class ItemIndex:
             for w in sorted(weight, key=lambda w: (-weight[w], w)):
                 share = weight[w] / whole
                 self.postings[self.term[w]].append((i, share))
-                if left >= threshold * 0.999:
+                if left >= threshold * REST:
                     essential[self.term[w]].append((i, share))
                     left -= share
             self.rest[i] = max(0.0, left)
@@ -123,7 +126,7 @@ class ItemIndex:
         get = self.term.get
         docs = [words_of(t) for _, t in texts]
         size = np.array([len(d) for d in docs], np.int64)
-        code = np.fromiter((get(w, -1) for d in docs for w in d), np.int64, int(size.sum()))
+        code = np.fromiter(chain.from_iterable(map(get, d, repeat(-1)) for d in docs), np.int64, int(size.sum()))
         tiles = -(-size // self.longest)
         first_tile = np.cumsum(tiles + 1) - tiles - 1  # an empty tile parts the texts
         owner = np.repeat(np.arange(len(docs)), size)
