@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def integer_histogram(df: DataFrame, value: str, low: int = 1, high: int = 20, by: list[str] | None = None) -> DataFrame:
@@ -32,7 +33,7 @@ def dense_grid(df: DataFrame, a: str, b: str, value: str) -> DataFrame:
 
 def padded_grid(df: DataFrame, a: str, low: int, high: int, step: int, b: str, value: str, fill: float) -> DataFrame:
     """Rows and, for each value of b, rows at a in low..high with a fill value."""
-    ticks = df.select(b).distinct().select(F.explode(F.sequence(F.lit(low), F.lit(high), F.lit(step))).cast(df.schema[a].dataType).alias(a), b)
+    ticks = df.select(b).distinct().select(F.explode(F.sequence(F.lit(low), F.lit(high), F.lit(step)).cast(T.ArrayType(df.schema[a].dataType))).alias(a), b)
     return df.select(a, b, value).unionByName(ticks.withColumn(value, F.lit(fill).cast(df.schema[value].dataType)))
 
 

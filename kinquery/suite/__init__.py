@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinquery.suite import kin
+from kinquery.suite import kin, tables
 
-QUERIES: dict = {**kin.QUERIES}
-ORACLES: dict = {**kin.ORACLES}
+QUERIES: dict = {**kin.QUERIES, **tables.QUERIES}
+ORACLES: dict = {**kin.ORACLES, **tables.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
