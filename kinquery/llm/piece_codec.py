@@ -22,7 +22,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 SIGN = "▁"
 _WORDS = re.compile(f"{SIGN}*[^{SIGN}]+|{SIGN}+")
@@ -69,7 +71,7 @@ class PairTable:
 
 
 class PieceCodec:
-    def __init__(self, model_file: str, max_words: int = 500_000):
+    def __init__(self, model_file: str, max_words: int = 300_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -320,9 +322,15 @@ def codec(model_file: str) -> PieceCodec:
     return _CODECS[model_file]
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    for lo in range(0, batch.num_rows, rows):
-        yield batch.slice(lo, rows)
+def _slices(batch: pa.RecordBatch, column: str, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts or ids have about ``most`` bytes together."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)) if pa.types.is_string(batch.column(column).type) else pc.multiply(pc.list_value_length(batch.column(column)), 4), 0)
+    ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64) + 8)
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most)))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def _lists(parts: list[bytes]) -> pa.Array:
@@ -330,19 +338,28 @@ def _lists(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4")))
 
 
-def encode_documents(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """All columns of ``docs``, and ``ids`` array<int>; a column of that name must not be there yet."""
-    if ids in docs.columns:
-        raise ValueError(f"there is a column {ids} already")
+def encode_documents(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """All columns of ``docs``, and ``ids`` array<int>; with ``decoded`` also the text decoded from the ids.
+
+    Decoding in the same pass saves a second Python worker a task. Columns of those names must not
+    be there yet.
+    """
+    added = [ids, *([decoded] if decoded else [])]
+    if clash := set(added) & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} are there already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in _slices(batch):
-                yield some.append_column(ids, _lists(codec(model_file).encode(some.column(text).to_pylist())))
-
-    from pyspark.sql import types as T
+            for some in _slices(batch, text):
+                parts = codec(model_file).encode(some.column(text).to_pylist())
+                out = some.append_column(ids, _lists(parts))
+                if decoded:
+                    back = codec(model_file).decode([np.frombuffer(p, "<i4") for p in parts])
+                    out = out.append_column(decoded, pa.array(back, pa.string()))
+                yield out
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    kinds = {ids: T.ArrayType(T.IntegerType()), decoded: T.StringType()}
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, kinds[c]) for c in added)]))
 
 
 def decode_documents(encoded: DataFrame, model_file: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -352,12 +369,10 @@ def decode_documents(encoded: DataFrame, model_file: str, ids: str = "ids", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in _slices(batch):
+            for some in _slices(batch, ids):
                 lists = some.column(ids).fill_null([]) if some.column(ids).null_count else some.column(ids)
                 flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
                 found = codec(model_file).decode([flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
                 yield some.append_column(text, pa.array(found, pa.string()))
 
-    from pyspark.sql import types as T
-
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(text, T.StringType())]))

@@ -32,11 +32,9 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents into pieces, decode the ids again, and digest both."""
-    from kinquery.llm.piece_codec import decode_documents, encode_documents
+    from kinquery.llm.piece_codec import encode_documents
 
-    model = tokenizer_path("piece_bpe_32k.model")
-    encoded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), model).select("doc_id", "ids")
-    both = decode_documents(encoded, model)
+    both = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"), decoded="decoded")
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
