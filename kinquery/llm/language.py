@@ -44,29 +44,23 @@ def _letters() -> np.ndarray:
 def features(texts: list[str | None], buckets: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The bucket of each n-gram, an array an order, and where each text's characters start and end.
 
-    All arrays have one entry a character: the n-gram that ends there. Texts without a letter have
-    no characters.
+    All arrays have one entry a character: the n-gram that ends there. Every text begins with a
+    space, and n-grams never reach into the text before, so a text's are the same in any batch.
     """
     mask = np.uint32(buckets - 1)
-    table = _letters()
-    joined = "\n".join([t or "" for t in texts]).encode("utf-32-le", "surrogatepass")
-    cp = np.frombuffer(joined, np.uint32)
-    lengths = np.array([len(t or "") for t in texts]) + 1
-    owner_end = np.cumsum(lengths) - 1  # the line feed after each text, the last one's lies outside
-    c = table[cp]
-    keep = (c != 0) | np.concatenate([[True], c[:-1] != 0])  # one space for each run of others
-    keep[owner_end[:-1]] = True
-    # a text's separator is its leading space as well
-    kept_before = np.concatenate([[0], np.cumsum(keep)])
+    joined = "".join(["\n" + (t or "") for t in texts]).encode("utf-32-le", "surrogatepass")
+    c = _letters()[np.frombuffer(joined, np.uint32)]
+    lengths = np.array([len(t or "") for t in texts], np.int64) + 1
+    first = np.cumsum(lengths) - lengths
+    keep = (c != 0) | np.concatenate([[True], c[:-1] != 0])[: len(c)]  # one space for each run of others
+    keep[first] = True
+    bounds = np.concatenate([[0], np.cumsum(keep)])[np.append(first, len(c))]
     c = c[keep]
-    ends = kept_before[np.minimum(owner_end, len(cp))]
-    bounds = np.concatenate([[0], ends])
-    p1 = np.concatenate([np.zeros(1, np.uint32), c[:-1]])
-    p2 = np.concatenate([np.zeros(2, np.uint32), c[:-2]])[: len(c)]
-    starts = np.minimum(bounds[:-1] + 1, len(c))
-    p2[starts[starts < len(c)]] = 0  # never across a text's start
-    p1[bounds[:-1][bounds[:-1] < len(c)]] = 0
-    p2[bounds[:-1][bounds[:-1] < len(c)]] = 0
+    p1 = np.concatenate([np.zeros(1, np.uint32), c])[: len(c)]
+    p2 = np.concatenate([np.zeros(2, np.uint32), c])[: len(c)]
+    heads = bounds[:-1]
+    p1[heads] = p2[heads] = 0
+    p2[np.minimum(heads + 1, len(c) - 1)] = 0
     one = (c * np.uint32(0x9E3779B1)) >> np.uint32(7)
     two = ((c * np.uint32(0x85EBCA77)) ^ (p1 * np.uint32(0xC2B2AE3D) + np.uint32(1))) * np.uint32(0x27D4EB2F)
     three = ((two ^ (p2 * np.uint32(0x165667B1) + np.uint32(2))) * np.uint32(0x9E3779B1)) >> np.uint32(9)
