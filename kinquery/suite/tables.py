@@ -122,11 +122,11 @@ def out_of_context(spark, sf_dir):
     return rows.select("_size", "method", E.out_of_context(F.col("count").cast("string"), F.col("_size"), F.col("_model"), F.col("method"), 500, ["model-2"], ["cot"]).alias("cell"))
 
 
-@query("delta_mixin", f"{_SCORES}, m AS (SELECT _model, method, _data_seed, _seed, _size, _type, avg(f1) AS f1 FROM e GROUP BY ALL) SELECT a._model, a._data_seed, a._seed, a._size, a._type, round(b.f1 - a.f1, 6) AS f1_delta FROM m a JOIN m b USING (_model, _data_seed, _seed, _size, _type) WHERE a.method = 'cot' AND b.method = 'react'")
+@query("delta_mixin", f"{_SCORES}, m AS (SELECT _model, method, _data_seed, _seed, _size, _type, avg(f1) AS f1 FROM e GROUP BY ALL) SELECT a._model, a._data_seed, a._seed, a._size, a._type, round(b.f1 - a.f1, 6) + 0.0 AS f1_delta FROM m a JOIN m b USING (_model, _data_seed, _seed, _size, _type) WHERE a.method = 'cot' AND b.method = 'react'")
 def delta_mixin(spark, sf_dir):
     keys = ["_model", "_data_seed", "_seed", "_size", "_type"]
     rows = E.mean_by(scores(spark, sf_dir), [*keys, "method"], ("f1",))
-    return E.compared(rows.where("method = 'cot'"), rows.where("method = 'react'"), keys, ("f1",)).select(*keys, *_r("f1_delta"))
+    return E.compared(rows.where("method = 'cot'"), rows.where("method = 'react'"), keys, ("f1",)).select(*keys, (F.round("f1_delta", 6) + F.lit(0.0)).alias("f1_delta"))
 
 
 @query("preds_left_join_qa", "SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(20 AS INTEGER) AS _depth, CAST(o_custkey AS INTEGER) AS _size, CAST(3 AS INTEGER) AS _data_seed, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS question FROM orders")
