@@ -25,6 +25,7 @@ SENTENCES = {
 }
 FAMILY = ("sister", "brother", "mother", "father", "son", "daughter", "wife", "husband")
 ATTRIBUTE = ("dob", "job", "hobby", "gender")
+GENDERED = {"sibling": ("sister", "brother"), "parent": ("mother", "father"), "child": ("daughter", "son"), "married": ("wife", "husband")}
 SECTIONS = {**dict.fromkeys(FAMILY, 1), "friend": 2, **dict.fromkeys(ATTRIBUTE, 3)}
 
 
@@ -34,22 +35,26 @@ def sentences(facts: FactBase) -> DataFrame:
     Targets stand in clause order, relations' once each, attributes' as often as they were stated.
     A predicate without a plural sentence keeps the singular one.
     """
+    place = {name: i for i, name in enumerate(SENTENCES)}
+    gender = facts.frame("gender").select(F.col("x").alias("y"), F.col("y").alias("g")).distinct()
     parts = []
-    for place, name in enumerate(SENTENCES):
-        if name in ATTRIBUTE:
-            rows = facts.frame(name).select("x", "y", F.array("ord").alias("key"))
-        else:
-            rows = facts.plans.get(name, "ordered")
-        one, more = SENTENCES[name]
-        parts.append(rows.select("x", "y", "key", F.lit(place).alias("place"), F.lit(SECTIONS[name]).alias("section"), F.lit(name).alias("pred"), F.lit(one).alias("one"), F.lit(more or one).alias("more")))
+    for base, (female, male) in GENDERED.items():  # one plan for both genders of a relation
+        rows = facts.plans.get(base, "ordered").join(gender, "y")
+        pred = F.when(F.col("g") == "female", female).when(F.col("g") == "male", male)
+        parts.append(rows.select("x", "y", "key", pred.alias("pred")).where("pred is not null"))
+    parts.append(facts.plans.get("friend", "ordered").select("x", "y", "key", F.lit("friend").alias("pred")))
+    stated = facts.facts.where(F.col("pred").isin(*ATTRIBUTE))
+    parts.append(stated.select("x", "y", F.array("ord").alias("key"), "pred"))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    grouped = every.groupBy("x", "section", "place", "pred", "one", "more").agg(F.array_sort(F.collect_list(F.struct("key", "y"))).alias("targets"))
+    grouped = every.groupBy("x", "pred").agg(F.array_sort(F.collect_list(F.struct("key", "y"))).alias("targets"))
     names = F.transform("targets", lambda t: t["y"])
-    head = F.replace(F.when(F.size("targets") > 1, F.col("more")).otherwise(F.col("one")), F.lit("<subject>"), F.col("x"))
-    stated = F.transform(names, lambda y: F.concat("pred", F.lit('("'), "x", F.lit('", "'), y, F.lit('").')))
-    return grouped.select(F.col("x").alias("name"), "section", "place", F.concat(head, F.lit(" "), F.array_join(names, ", "), F.lit(".")).alias("sentence"), stated.alias("facts"))
+    word = lambda values: F.element_at(F.create_map(*(F.lit(v) for kv in values.items() for v in kv)), F.col("pred"))
+    one, more = word({p: o for p, (o, _) in SENTENCES.items()}), word({p: m or o for p, (o, m) in SENTENCES.items()})
+    head = F.replace(F.when(F.size("targets") > 1, more).otherwise(one), F.lit("<subject>"), F.col("x"))
+    clauses = F.transform(names, lambda y: F.concat("pred", F.lit('("'), "x", F.lit('", "'), y, F.lit('").')))
+    return grouped.select(F.col("x").alias("name"), word(SECTIONS).alias("section"), word(place).alias("place"), F.concat(head, F.lit(" "), F.array_join(names, ", "), F.lit(".")).alias("sentence"), clauses.alias("facts"))
 
 
 def articles(facts: FactBase, names: DataFrame | None = None) -> DataFrame:

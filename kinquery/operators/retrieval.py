@@ -112,6 +112,8 @@ def numbered(rows: DataFrame, by: list[str], order: str, title: str) -> DataFram
 
 def keyword_lookup(docs: DataFrame, keyword: str, doc: str = "doc_id", text: str = "text", around: int = 2) -> DataFrame:
     """doc, n, sentence, context: the sentences that hold the keyword, in order, with their neighbours."""
+    if not any(c.isspace() for c in keyword):  # then it can't arise from white space being collapsed
+        docs = docs.where(F.contains(F.lower(text), F.lit(keyword.lower())))
     cut = docs.select(F.col(doc), C.sentences(text).alias("__s"))
     hits = cut.select(F.col(doc), "__s", F.posexplode("__s").alias("__i", "sentence")).where(F.contains(F.lower("sentence"), F.lit(keyword.lower())))
     first = F.greatest(F.col("__i") - around, F.lit(0))
