@@ -1,11 +1,12 @@
-"""Encoding whole texts with the ``tokenizers`` library, through a bounded cache of their parts.
+"""Encoding whole texts with the ``tokenizers`` library, each distinct part of a batch once.
 
 A byte-level pre-tokenizer with the usual pattern always starts a new pre-token at a single space,
-or a single line feed, that stands between two characters which aren't white space; and where a
-run of letters is followed by a run of marks, each run is a pre-token. A text can therefore be
-cut there, and its parts encoded on their own have the same ids as in the whole. New parts are
-encoded together, a few dozen in one string; each begins at the id whose piece starts with its
-separator. A text with other white space around its spaces is cut by a slower exact pattern.
+or a single line feed, that stands between two characters which aren't white space. A text can
+therefore be cut there, and its parts encoded on their own have the same ids as in the whole. The
+parts of a batch are told apart by Arrow's dictionaries; new ones are encoded together, a few dozen
+in one string, and each begins at the id whose piece starts with its separator. Parts that occur
+more than once are kept for later batches, up to a bound. A text with other white space at its
+parts' ends is given to the library as a whole.
 """
 
 from __future__ import annotations
@@ -13,16 +14,11 @@ from __future__ import annotations
 import gc
 import json
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_MARKS = frozenset(chr(i) for i in range(33, 127) if not chr(i).isalnum())
-_MARKED = re.compile(r"(\n?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]+)")
-
 
 def _tidy(unit: str) -> bool:
     """Not empty and without white space at either end, but for one line feed before it."""
@@ -30,9 +26,9 @@ def _tidy(unit: str) -> bool:
 
 
 class CachedEncoder:
-    """Encodes texts to little-endian uint32 id bytes; keeps about ``max_parts`` parts."""
+    """Encodes texts to little-endian uint32 id bytes; keeps at most about ``max_parts`` parts."""
 
-    def __init__(self, tokenizer_file: str, max_parts: int = 1_000_000, group: int = 64):
+    def __init__(self, tokenizer_file: str, max_parts: int = 1_000_000, group: int = 64, batch_bytes: int = 16_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -47,147 +43,109 @@ class CachedEncoder:
             self.opens["\n"][i] = piece.startswith("Ċ")
         pre = spec.get("pre_tokenizer") or {}
         self.cuttable = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec.get("normalizer") is None and not spec["model"].get("dropout")
-        self.max_parts, self.group = max_parts, group
-        self.units: dict[str, bytes] = {}  # by a part without its space, or with its line feed
-        self.marks: dict[str, bytes] = {}
+        self.max_parts, self.group, self.batch_bytes = max_parts, group, batch_bytes
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = pa.array([], pa.string())  # parts without their space, or with their line feed
+        self.ids = np.zeros(0, "<u4")
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _together(self, sep: str, units: list[str]) -> None:
-        """Units of one separator, without another of it inside; those of a space come without it."""
-        for lo in range(0, len(units), self.group * 256):
-            some = units[lo : lo + self.group * 256]
-            groups = [some[i : i + self.group] for i in range(0, len(some), self.group)]
-            joined = [sep + sep.join(g) if sep == " " else "".join(g) for g in groups]
-            for g, ids in zip(groups, self._plain(joined), strict=True):
-                starts = np.flatnonzero(self.opens[sep][np.frombuffer(ids, dtype="<u4")]) * 4
-                if len(starts) != len(g):  # not as expected: one by one
-                    self.units.update(zip(g, self._plain([u if sep == "\n" else sep + u for u in g]), strict=True))
-                    continue
-                ends = [*starts[1:].tolist(), len(ids)]
-                self.units.update([(u, ids[a:b]) for u, a, b in zip(g, starts.tolist(), ends, strict=True)])
-
-    def _learn(self, units: list[str]) -> None:
-        stems, marked = set(), []
-        for u in units:
-            if u[-1] in _MARKS and (m := _MARKED.fullmatch(u)):
-                marked.append((u, m[1], m[2]))
-                stems.add(m[1])
-            else:
-                stems.add(u)
-        stems = [u for u in stems if u not in self.units]
-        self._together(" ", [u for u in stems if u[0] != "\n"])
-        self._together("\n", [u for u in stems if u[0] == "\n"])
-        new = list({m for _, _, m in marked if m not in self.marks})
-        self.marks.update(zip(new, self._plain(new), strict=True))
-        for u, stem, m in marked:
-            self.units[u] = self.units[stem] + self.marks[m]
-
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of each text (null: of the empty text), as bytes of little-endian uint32."""
         column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         if not self.cuttable:
             return self._plain(column.to_pylist())
+        ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
         collects = gc.isenabled()
         gc.disable()  # what follows makes millions of strings and no cycles
         try:
-            return self._all(column)
+            out: list[bytes] = []
+            lo = 0
+            while lo < len(column):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + self.batch_bytes)))
+                out += self._some(column.slice(lo, hi - lo))
+                lo = hi
+            return out
         finally:
             if collects:
                 gc.enable()
 
-    def _all(self, column: pa.Array) -> list[bytes]:
-        out: list[bytes] = []
-        ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
-        lo = 0
-        while lo < len(column):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 16_000_000)))
-            out += self._some(column.slice(lo, hi - lo))
-            lo = hi
-        return out
-
-    def _ids_of(self, units: list[str]) -> list[bytes]:
-        """The ids of tidy units; what is new is learned first."""
-        if len(self.units) + len(self.marks) > self.max_parts:
-            self.units.clear(), self.marks.clear()
-        known = list(map(self.units.get, units))
-        new = [i for i, ids in enumerate(known) if ids is None]
-        self._learn([units[i] for i in new if " " not in units[i] and "\n" not in units[i][1:]])
-        for i in new:
-            known[i] = self.units.get(units[i])
-            if known[i] is None:  # with white space inside: not worth keeping
-                known[i] = self._plain([" " + units[i]])[0]
-        return known
-
-    def _cut_text(self, text: str) -> bytes:
-        head, *rest = _CUT.split(text)
-        return b"".join([*self._plain([head]), *self._ids_of(rest)])
-
-    def _once(self, sep: str, units: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """All ids of units that aren't worth keeping, and where each starts; None if that can't be told."""
+    def _together(self, sep: str, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of tidy units of one separator, and where each unit's start."""
         groups = [units[i : i + self.group] for i in range(0, len(units), self.group)]
         ids = np.frombuffer(b"".join(self._plain([sep + sep.join(g) if sep == " " else "".join(g) for g in groups])), "<u4")
         starts = np.flatnonzero(self.opens[sep][ids])
-        return (ids, starts) if len(starts) == len(units) else None
+        if len(starts) != len(units):  # a unit holds its separator, or a piece starts unexpectedly: one by one
+            each = self._plain([sep + u if sep == " " else u for u in units])
+            ids = np.frombuffer(b"".join(each), "<u4")
+            starts = np.cumsum([0, *(len(e) // 4 for e in each[:-1])])
+        return ids, starts
 
     def _some(self, column: pa.Array) -> list[bytes]:
+        if len(self.keys) > self.max_parts:
+            self._forget()
         lists = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
         at = lists.offsets.to_numpy().astype(np.int64)
         at, flat = at - at[0], lists.flatten().dictionary_encode()
-        code, words = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist()
+        code, words = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary
         head = np.zeros(len(code), bool)
         head[at[:-1]] = True
-        heads = [words[c] for c in code[at[:-1]].tolist()]
+        heads = words.take(pa.array(code[at[:-1]])).to_pylist()
         times = np.bincount(code[~head], minlength=len(words))
-        known = list(map(self.units.get, words))
-        new = [i for i, ids in enumerate(known) if ids is None]
+        place = pc.fill_null(pc.index_in(words, value_set=self.keys), -1).to_numpy(zero_copy_only=False)
+        known, new = np.flatnonzero(place >= 0), np.flatnonzero((place < 0) & (times > 0))
+        text = words.take(pa.array(new)).to_pylist()
+        tidy = np.fromiter(map(_tidy, text), bool, len(text))
         untidy = np.zeros(len(words), bool)
-        untidy[[i for i in new if not _tidy(words[i])]] = True
+        untidy[new[~tidy]] = True
         fine = np.array([n == 1 or bool(h) and not h[-1].isspace() for n, h in zip(np.diff(at).tolist(), heads, strict=True)], bool)
         odd = ~fine | np.logical_or.reduceat(untidy[code] & ~head, at[:-1])
+
         start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        buffers, held = [], 0
-
-        def put(which: list[int], ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
-            nonlocal held
-            start[which], size[which] = starts + held, sizes
-            buffers.append(ids)
-            held += len(ids)
-
-        keep, seldom = [], {" ": [], "\n": []}
-        for i, n in zip(new, times[new].tolist(), strict=True):
-            if n == 1 and not untidy[i]:
-                seldom["\n" if words[i][0] == "\n" else " "].append(i)
-            elif n and not untidy[i]:
-                keep.append(i)
-        for sep, which in seldom.items():
+        start[known], size[known] = self.start[place[known]], self.size[place[known]]
+        buffers, held = [self.ids], len(self.ids)
+        by: dict[str, list[int]] = {" ": [], "\n": []}
+        for i in np.flatnonzero(tidy).tolist():
+            by["\n" if text[i][0] == "\n" else " "].append(i)
+        for sep, which in by.items():
             if which:
-                found = self._once(sep, [words[i] for i in which])
-                if found is None:
-                    keep += which
-                else:
-                    put(which, *found, np.diff(found[1], append=len(found[0])))
-        for i, ids in zip(keep, self._ids_of([words[i] for i in keep]), strict=True):
-            known[i] = ids
-        have = [i for i, ids in enumerate(known) if ids is not None]
-        parts = [known[i] for i in have] + self._plain(heads)
-        sizes = np.array([len(p) for p in parts], np.int64) >> 2
-        starts = np.cumsum(sizes) - sizes
-        base = held
-        put(have, np.frombuffer(b"".join(parts), "<u4"), starts[: len(have)], sizes[: len(have)])
+                ids, starts = self._together(sep, [text[i] for i in which])
+                start[new[which]], size[new[which]] = starts + held, np.diff(starts, append=len(ids))
+                buffers.append(ids)
+                held += len(ids)
+        first = self._plain(heads)
+        first_size = np.array([len(p) >> 2 for p in first], np.int64)
+        buffers.append(np.frombuffer(b"".join(first), "<u4"))
         s, n = start[code], size[code]
-        s[at[:-1]], n[at[:-1]] = starts[len(have) :] + base, sizes[len(have) :]
-        ends = np.cumsum(n)
-        ids = np.concatenate(buffers)
-        raw = ids[np.arange(int(ends[-1])) + np.repeat(s - (ends - n), n)].tobytes()
-        bounds = (np.concatenate([[0], ends[at[1:] - 1]]) * 4).tolist()
+        s[at[:-1]], n[at[:-1]] = np.cumsum(first_size) - first_size + held, first_size
+        every = np.concatenate(buffers)
+        raw = self._gather(every, s, n).tobytes()
+        bounds = (np.concatenate([[0], np.cumsum(n)[at[1:] - 1]]) * 4).tolist()
         out = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        for i in np.flatnonzero(odd).tolist():
-            out[i] = self._cut_text(column[i].as_py())
+        which = np.flatnonzero(odd).tolist()
+        for i, ids in zip(which, self._plain(column.take(pa.array(which, pa.int64())).to_pylist()), strict=True):
+            out[i] = ids
+        self._keep(words, new[tidy & (times[new] > 1)], every, start, size)
         return out
 
+    @staticmethod
+    def _gather(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Runs of ids one after the other."""
+        ends = np.cumsum(size)
+        return ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)]
+
+    def _keep(self, words: pa.Array, which: np.ndarray, every: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        more = self._gather(every, start[which], size[which])
+        self.start = np.concatenate([self.start, np.cumsum(size[which]) - size[which] + len(self.ids)])
+        self.size = np.concatenate([self.size, size[which]])
+        self.ids = np.concatenate([self.ids, more])
+        self.keys = pa.concat_arrays([self.keys, words.take(pa.array(which))])
+
 
 _ENCODERS: dict[str, CachedEncoder] = {}
 
