@@ -3,7 +3,7 @@
 Documents are encoded once and added up by length: one row a length that occurs, which no group of
 documents can inflate. Suffix sums over the histogram answer, for every length as a context limit,
 how many documents reach past it, the tokens of all that fit, and the tokens left when every
-document is cut there. Suffix sums are taken inside blocks of 1,024 lengths and over one row a
+document is cut there. Suffix sums are taken inside blocks of 256 lengths and over one row a
 block, so no task holds more than a block or the list of blocks.
 
 Null and empty texts have length 0. Repeated rows count each. An empty table has no lengths.
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK = 1024
+BLOCK = 256
 
 
 def token_lengths(docs: DataFrame, tokenizer_file: str, keep: list[str] | None = None, text: str = "text") -> DataFrame:
