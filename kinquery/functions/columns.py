@@ -150,6 +150,32 @@ def bracketed(text: Column | str) -> Column:
     return F.regexp_extract_all(text, F.lit(r"<([^<>]*)>"), F.lit(1))
 
 
+def arrow_parts(text: Column | str) -> Column:
+    """A rule's two sides around '->', stripped; null where there is none."""
+    text = F.col(text) if isinstance(text, str) else text
+    parts = F.split(text, "->", 2)
+    return F.when(F.size(parts) == 2, F.transform(parts, strip))
+
+
+def joined_lines(text: Column | str) -> Column:
+    """Lines joined by single spaces, each stripped, empty ones dropped."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.array_join(F.filter(F.transform(F.split(text, "\n", -1), strip), lambda t: t != ""), " ")
+
+
+def listed_questions(text: Column | str) -> Column:
+    """Questions of a numbered or dashed list, a line each, without their marks."""
+    text = F.col(text) if isinstance(text, str) else text
+    lines = F.transform(F.split(text, "\n", -1), lambda t: strip(F.regexp_replace(t, r"^\s*(?:\d+[.)]|[-*])\s*", "")))
+    return F.filter(lines, lambda t: F.endswith(t, F.lit("?")))
+
+
+def names_in(text: Column | str, names: list[str]) -> Column:
+    """Those of a short list of names that stand in the text."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.filter(F.array(*map(F.lit, names)), lambda n: F.contains(text, n))
+
+
 def fenced(text: Column | str) -> Column:
     """What stands between the first two triple quotes; null without."""
     found = F.regexp_extract(text, '(?s)"""(.*?)"""', 1)

@@ -129,3 +129,22 @@ def interaction_counts(df: DataFrame, interaction: str = "interaction") -> DataF
     text = lambda m: F.array_join(F.transform(m["content"], lambda c: c["text"]), "")
     acts = F.filter(F.transform(F.filter(messages, lambda m: m["role"] == "assistant"), lambda m: C.action(text(m))), lambda a: a.isNotNull())
     return df.withColumns({"n_messages": F.size(messages).cast("long"), "actions": acts, "n_actions": F.size(F.filter(acts, lambda a: a["name"] != "Finish")).cast("long")})
+
+
+def mean_count(df: DataFrame, keys: list[str], count: str = "count") -> DataFrame:
+    """The mean of a count over rows, cut to an integer."""
+    return df.groupBy(*keys).agg(F.avg(count).cast("int").alias(count))
+
+
+def by_prefix(df: DataFrame, first: tuple[str, ...] = ("_",)) -> DataFrame:
+    """Columns with one of the prefixes first, in the prefixes' order, then the others."""
+    front = [c for p in first for c in df.columns if c.startswith(p)]
+    return df.select(*front, *(c for c in df.columns if c not in front))
+
+
+def evaluation_data(spark, predictions: str, questions: str, sep: str = ",") -> DataFrame:
+    """Prediction files with their questions, split columns, question columns and scores."""
+    from kinquery.sources.records import read_predictions, read_questions
+
+    qa = question_columns(read_questions(spark, questions)).withColumnRenamed("type", "question_type").drop("split")
+    return scored(with_questions(read_predictions(spark, predictions), qa), sep=sep)

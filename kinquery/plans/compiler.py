@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinquery.functions.goals import Atom, Const, CountDistinct, Var, parse_query
+from kinquery.functions.columns import last_line
+from kinquery.functions.goals import Atom, Const, CountDistinct, Var, parse_query, split_top, target_variable
 
 MULT = "__mult"
 
@@ -102,3 +103,38 @@ def run_prefixes(facts, goals: list[str]) -> list[tuple[str, list[dict] | None,
             out.append((text, None, str(e)))
             break
     return out
+
+
+def run_predicted(facts, preds: DataFrame, id: str = "id", query: str = "prolog_query", debug: bool = False, most: int = 10_000) -> DataFrame:
+    """id, pred, error, steps: written queries run against the facts.
+
+    The query is the last line of the text; its answer is the distinct values of its target variable,
+    in the order of their text, joined by commas. What can't be parsed or isn't known gives an error
+    and no answer. With ``debug`` steps has each prefix's bindings as JSON, up to the first that fails.
+    Each distinct query is a plan of its own, so at most ``most`` distinct ones are taken.
+    """
+    import json
+
+    rows = preds.select(F.col(id), last_line(F.coalesce(F.col(query), F.lit(""))).alias("__query"))
+    asked = [r[0] for r in rows.select("__query").distinct().limit(most + 1).collect()]
+    if len(asked) > most:
+        raise ValueError(f"more than {most} distinct queries")
+    out = []
+    for text in asked:
+        try:
+            goals = split_top(text)
+            target = target_variable(goals)
+            bound = evaluate(facts, goals)
+            values = sorted({str(r[0]) for r in bound.select(target).distinct().collect()}) if target else [str(bool(bound.count())).lower()]
+            pred, error = ",".join(values), None
+        except (ValueError, KeyError) as e:
+            goals, pred, error = [], None, str(e)
+        steps = None
+        if debug:
+            try:
+                steps = json.dumps(run_prefixes(facts, split_top(text)))
+            except ValueError as e:
+                steps = json.dumps([[text, None, str(e)]])
+        out.append((text, pred, error, steps))
+    done = facts.spark.createDataFrame(out, "__query string, pred string, error string, steps string")
+    return rows.join(done, "__query", "left").select(id, "pred", "error", "steps")

@@ -146,6 +146,17 @@ class FactBase:
         if not self.facts.where(F.col("pred") == name).limit(1).count():
             raise KeyError(f"unknown predicate {name}")
 
+    def nodes(self) -> DataFrame:
+        """name, colour: people for a graph, coloured by gender."""
+        gender = self.frame("gender").groupBy("x").agg(F.min_by("y", "ord").alias("g"))
+        colour = F.when(F.col("g") == "female", "pink").when(F.col("g") == "male", "lightblue").otherwise("grey")
+        return self.person_names().join(gender.withColumnRenamed("x", "name"), "name", "left").select("name", colour.alias("colour"))
+
+    def edges(self, pred: str = "parent") -> DataFrame:
+        """source, target: parents to children, or friends as they were stated."""
+        rows = self.frame(pred)
+        return rows.select(F.col("y").alias("source"), F.col("x").alias("target")) if pred == "parent" else rows.select(F.col("x").alias("source"), F.col("y").alias("target"))
+
     def query(self, goals: list[str] | str, bag: bool = False) -> DataFrame:
         return evaluate(self, goals, bag=bag)
 

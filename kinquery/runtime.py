@@ -44,9 +44,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A fresh path below the shared folder, for a table written and read again."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the tables this driver wrote into the shared folder, once nothing reads them any more."""
+    conf = spark._jsc.hadoopConfiguration()
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

@@ -149,6 +149,20 @@ def passages(corpus: DataFrame, title: str = "title", text: str = "article") ->
     return corpus.select(F.col(title).alias("id"), F.concat(F.lit('"'), F.col(title), F.lit('"\n'), F.col(text)).alias("contents"))
 
 
+def retriever_questions(qa: DataFrame) -> DataFrame:
+    """(id, question, golden_answers) for an external retriever."""
+    return qa.select("id", "question", F.col("answer").alias("golden_answers"))
+
+
+def export_questions(qa: DataFrame, path: str) -> None:
+    retriever_questions(qa).write.json(path)
+
+
+def write_actions(rows: DataFrame, path: str, actions: str = "actions") -> None:
+    """Action lists as CSV, each list a JSON text."""
+    rows.withColumn(actions, F.to_json(actions)).select(*(c for c, t in rows.dtypes if c == actions or "<" not in t)).write.mode("overwrite").csv(path, header=True)
+
+
 def write_articles(articles: DataFrame, path: str, form: str = "json") -> None:
     """Articles as JSON lines, or as a text file a title (with its facts beside it)."""
     if form == "json":

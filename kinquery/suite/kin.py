@@ -282,14 +282,13 @@ def difficulty(spark, sf_dir):
 
 for _depth in (6, 8, 10, 20):
 
+    @_query(f"templates_d{_depth}", f"SELECT 'Who is' AS head, 'Y_2' AS answer, CAST({_depth} - 3 AS BIGINT) AS n UNION ALL SELECT 'What is', 'Y_2', {_depth} - 4 UNION ALL SELECT 'How many', 'Count_1', {_depth} - 3")
     def _templates(spark, sf_dir, depth=_depth):
         from kinquery.functions.templates import templates
 
-        rows = [(" ".join(t.question), ", ".join(t.goals), t.answer, len(t.goals)) for t in templates(depth)]
-        found = spark.createDataFrame(rows, "question string, query string, answer string, hops int")
-        return found.groupBy(F.substring_index("question", " ", 2).alias("head"), "answer").agg(F.count(F.lit(1)).alias("n"), F.max("hops").cast("long").alias("hops"))
-
-    QUERIES[f"templates_d{_depth}"] = _templates
+        rows = [(" ".join(t.question), t.answer) for t in templates(depth)]
+        found = spark.createDataFrame(rows, "question string, answer string")
+        return found.groupBy(F.substring_index("question", " ", 2).alias("head"), "answer").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query("predicted_prefixes", f"{with_rules('sister', 'child')} SELECT CAST(1 AS BIGINT) AS n, CAST(count(DISTINCT y) AS BIGINT) AS bindings FROM sister WHERE x = '20' UNION ALL SELECT 2, count(*) FROM (SELECT DISTINCT s.y, c.y FROM sister s JOIN child c ON c.x = s.y WHERE s.x = '20') UNION ALL SELECT 3, -1")
@@ -301,6 +300,21 @@ def predicted_prefixes(spark, sf_dir):
     return spark.createDataFrame(rows, "n long, bindings long")
 
 
+@_query("predicted_answers", f"{with_rules('sister', 'child')} SELECT 'a' AS id, string_agg(DISTINCT y, ',' ORDER BY y) AS pred, FALSE AS failed FROM sister WHERE x = '20' UNION ALL SELECT 'b', CAST(count(DISTINCT y) AS VARCHAR), FALSE FROM child WHERE x = '8' UNION ALL SELECT 'c', NULL, TRUE UNION ALL SELECT 'd', NULL, TRUE")
+def predicted_answers(spark, sf_dir):
+    from kinquery.plans.compiler import run_predicted
+
+    rows = [("a", 'thinking...\n`sister("20", A).`'), ("b", 'aggregate_all(count, distinct(child("8", Y)), C)'), ("c", "sister(20"), ("d", "nosuch(A, B)")]
+    found = run_predicted(facts(spark, sf_dir), spark.createDataFrame(rows, "id string, prolog_query string"))
+    return found.select("id", "pred", F.col("error").isNotNull().alias("failed"))
+
+
+@_query("graph_frames", f"{with_rules()} SELECT y AS source, x AS target, CASE WHEN CAST(x AS BIGINT) % 2 = 0 THEN 'lightblue' ELSE 'pink' END AS colour FROM parent")
+def graph_frames(spark, sf_dir):
+    kin = facts(spark, sf_dir)
+    return kin.edges().join(kin.nodes().withColumnRenamed("name", "target"), "target").select("source", "target", "colour")
+
+
 @_rows_only("gen_tree")
 def gen_tree(spark, sf_dir):
     from kinquery.operators.generation import family_trees

@@ -252,6 +252,17 @@ def title_or_bm25(spark, sf_dir):
     return hit.select("item_id", F.coalesce("how", F.lit("bm25")).alias("how"))
 
 
+@query("ids_by_title", "SELECT source, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents GROUP BY 1")
+def ids_by_title(spark, sf_dir):
+    return R.ids_by_title(table(spark, sf_dir, "documents"), "source").select("source", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query("mean_count", f"{_SCORES}, m AS (SELECT _model, _type, count(*) AS n FROM e GROUP BY ALL) SELECT _model, CAST(floor(avg(n)) AS INTEGER) AS n FROM m GROUP BY 1")
+def mean_count(spark, sf_dir):
+    rows = E.mean_by(scores(spark, sf_dir), ["_model", "_type"], ("f1",))
+    return E.mean_count(rows, ["_model"]).select("_model", F.col("count").alias("n"))
+
+
 @query("chunk_merge", "SELECT source AS title, length(string_agg(substr(text, 1, 20), chr(10) ORDER BY doc_id)) AS n, md5(string_agg(substr(text, 1, 20), chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY source")
 def chunk_merge(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.substring("text", 1, 20).alias("body"))

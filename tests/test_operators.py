@@ -151,3 +151,41 @@ def test_interpolation_matches_numpy(spark):
     at = np.linspace(np.log10(1), np.log10(300), 100)
     assert len(got) == 100 and np.allclose([g[1] for g in got], at) and np.allclose([g[2] for g in got], np.interp(at, np.log10(x), y))
     assert S.interpolated(df, ["g"], "x", "y").where("g = 2").count() == 1
+
+
+def test_index_is_searched_many_times(spark):
+    docs = spark.createDataFrame([(1, "the cat sat"), (2, "the dog sat"), (3, "the the the")], "doc_id int, text string")
+    index = R.Bm25Index(docs)
+    for words in ("dog", "cat dog"):
+        q = spark.createDataFrame([(1, words)], "query_id int, query string")
+        assert sorted(map(tuple, index.search(q, 2).collect())) == sorted(map(tuple, R.bm25(docs, q, 2).collect()))
+    index.close()
+
+
+def test_text_helpers(spark):
+    from kinquery.functions import columns as C
+
+    r = spark.range(1).select(
+        C.arrow_parts(F.lit("S ->  Who | What")).alias("a"), C.arrow_parts(F.lit("none")).alias("n"), C.joined_lines(F.lit(" x\n\n y ")).alias("j"),
+        C.listed_questions(F.lit("1. Who is it?\nnoise\n- What?\n")).alias("q"), C.names_in(F.lit("Ann met Bob"), ["Bob", "Cid", "Ann"]).alias("m"), C.bracketed(F.lit("a <b> <c_1>")).alias("b"), C.fenced(F.lit('x """y\nz""" ')).alias("f")).collect()[0]
+    assert r.a == ["S", "Who | What"] and r.n is None and r.j == "x y" and r.q == ["Who is it?", "What?"] and r.m == ["Bob", "Ann"] and r.b == ["b", "c_1"] and r.f == "y\nz"
+
+
+def test_exports(spark, tmp_path):
+    qa = spark.createDataFrame([("1", "Who?", ["a", "b"])], "id string, question string, answer array<string>")
+    records.export_questions(qa, str(tmp_path / "q"))
+    assert spark.read.json(str(tmp_path / "q")).collect()[0].golden_answers == ["a", "b"]
+    rows = spark.createDataFrame([("1", [("Search", "x")])], "id string, actions array<struct<name:string,argument:string>>")
+    records.write_actions(rows, str(tmp_path / "a"))
+    assert "Search" in spark.read.csv(str(tmp_path / "a"), header=True, escape='"').collect()[0].actions
+    assert E.by_prefix(spark.createDataFrame([(1, 2, 3)], "b int, _a int, c int")).columns == ["_a", "b", "c"]
+
+
+def test_scratch_tables_go(spark):
+    from kinquery.runtime import drop_scratch, stored
+
+    df = stored(spark.range(3), "test")
+    assert df.count() == 3
+    path = df.inputFiles()[0].rpartition("/")[0]
+    drop_scratch(spark)
+    assert not __import__("os").path.exists(path.removeprefix("file://"))
