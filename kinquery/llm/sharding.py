@@ -2,12 +2,13 @@
 
 Rows with equal texts are linked. Each linked row starts in a shard of its own hash. In a round,
 every group (rows of one text) counts its members' shards by joins on the group, and the members
-elsewhere ask to move to the label most of their neighbours have, among shards with room. A shard
-takes at most what its quota has left: requests are added up in 1,024 buckets of a hash of the
-group, and whole buckets are admitted while they fit. Rounds end when no group is cut, or after
-``rounds``. What has no link then fills the shards to exactly equal counts (law ``rows``: at most
-one apart). A group of more than a quarter of a shard is first cut into chunks of about that size,
-as no shard could hold it.
+elsewhere ask to move to the label that most of their neighbours have, among shards with room for
+all of them; where none of these has, any shard with room for the group will do. A shard takes at
+most what its quota has left: requests are added up in buckets of group size and hash, and whole
+buckets are admitted, those of large groups first, while they fit. Rounds end when no group is cut
+or can move, or after ``rounds``. What has no link then fills the shards to exactly equal counts
+(law ``rows``: at most one apart). A group of more than half a shard is first cut into chunks of
+about that size.
 
 Only counts by shard, bucket and partition come to the driver, never rows or links. A null text is
 an empty one (size 1, CRC of nothing). Repeated rows and null ids are rows like others. An empty
@@ -25,40 +26,51 @@ from pyspark.sql import functions as F
 
 from kinquery.runtime import checkpoint, stored
 
-BUCKETS = 1024
+SUB_BUCKETS = 64
 
 
 def _case(values: list[int], at: Column) -> Column:
     return F.get(F.array(*(F.lit(int(v)) for v in values)), at)
 
 
+def _wishes(counts: DataFrame, group: list[str], room: list[int], r: int) -> DataFrame:
+    """(group, to, k, bucket): where each cut group wants its k members from elsewhere to be."""
+    held = counts.groupBy(*group).agg(F.collect_list(F.struct("shard", "c")).alias("m"))  # a row a shard at most
+    n = F.aggregate("m", F.lit(0).cast("long"), lambda s, x: s + x["c"])
+    held = held.where(F.size("m") > 1).withColumn("n", n)
+
+    def ranked(shard: Column, c: Column) -> Column:
+        return F.struct(c.alias("c"), F.xxhash64(F.lit(r), *group, shard).alias("h"), shard.alias("shard"))
+
+    own = F.transform(F.filter("m", lambda x: _case(room, x["shard"]) >= F.col("n") - x["c"]), lambda x: ranked(x["shard"], x["c"]))
+    other = F.transform(F.filter(F.array(*map(F.lit, range(len(room)))), lambda s: _case(room, s) >= F.col("n")), lambda s: ranked(s, F.lit(0).cast("long")))
+    best = F.array_max(F.when(F.size(own) > 0, own).otherwise(other))
+    size_class = 40 - F.least(F.lit(40), F.floor(F.log2("n"))).cast("int")
+    bucket = size_class * SUB_BUCKETS + F.pmod(F.xxhash64(F.lit(-r - 1), *group), F.lit(SUB_BUCKETS)).cast("int")
+    wish = held.withColumn("best", best).where("best is not null")
+    return wish.select(*group, F.col("best.shard").alias("to"), (F.col("n") - F.col("best.c")).alias("k"), bucket.alias("bucket"))
+
+
 def _propagate(members: DataFrame, shards: int, quota: int, rounds: int) -> DataFrame:
     """members(rid, gid, chunk, shard): the same rows with their last labels."""
-    group = ["gid", "chunk"]
+    group, spark = ["gid", "chunk"], members.sparkSession
     for r in range(rounds):
         counts = checkpoint(members.groupBy(*group, "shard").agg(F.count(F.lit(1)).alias("c")))
         load = {x["shard"]: x["n"] for x in counts.groupBy("shard").agg(F.sum("c").alias("n")).collect()}
         room = [max(0, quota - load.get(s, 0)) for s in range(shards)]
-        tie = F.xxhash64(F.lit(r), "gid", "chunk", "shard")
-        here = F.when(_case(room, F.col("shard")) > 0, F.struct("c", tie.alias("h")))
-        wish = counts.groupBy(*group).agg(F.max_by("shard", here).alias("to"), F.max(F.when(here.isNotNull(), F.col("c"))).alias("there"), F.sum("c").alias("n"))
-        wish = wish.where("to is not null and n > there").withColumn("bucket", F.pmod(F.xxhash64(F.lit(-r - 1), *group), F.lit(BUCKETS)).cast("int"))
-        asked = wish.groupBy("to", "bucket").agg(F.sum(F.col("n") - F.col("there")).alias("k")).collect()
+        wish = _wishes(counts, group, room, r)
+        asked = wish.groupBy("to", "bucket").agg(F.sum("k").alias("k")).collect()  # at most shards x buckets rows
         if not asked:
             break
-        by: dict[int, list[tuple[int, int]]] = {}
-        for x in asked:
-            by.setdefault(x["to"], []).append((x["bucket"], x["k"]))
-        limit = [0] * shards  # buckets below it are admitted
-        for s, wishes in by.items():
-            left = room[s]
-            limit[s] = BUCKETS
-            for bucket, k in sorted(wishes):
-                left -= k
-                if left < 0:
-                    limit[s] = bucket
-                    break
-        moves = checkpoint(wish.where(F.col("bucket") < _case(limit, F.col("to"))).select(*group, "to"))
+        admitted = []
+        for x in sorted(asked, key=lambda x: (x["bucket"], x["to"])):
+            if x["k"] <= room[x["to"]]:
+                room[x["to"]] -= x["k"]
+                admitted.append((x["to"], x["bucket"]))
+        if not admitted:
+            continue  # another hash deals the buckets anew
+        taken = F.broadcast(spark.createDataFrame(admitted, "to int, bucket int"))
+        moves = checkpoint(wish.join(taken, ["to", "bucket"]).select(*group, "to"))
         members = checkpoint(members.join(moves, group, "left").select("rid", *group, F.coalesce("to", "shard").alias("shard")))
     return members
 
@@ -70,7 +82,7 @@ def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = 6) -> DataFr
     groups = checkpoint(rows.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     total = rows.count()
     even = total // shards
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(max(1, even // 4)))).cast("long")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(max(1, even // 2)))).cast("long")
     chunk = F.pmod(F.xxhash64(F.lit("chunk"), "rid"), parts).cast("int")
     start = F.pmod(F.xxhash64(F.lit("start"), "rid"), F.lit(shards)).cast("int")
     linked = checkpoint(rows.select("rid", "gid").join(groups, "gid").select("rid", "gid", chunk.alias("chunk"), start.alias("shard")))
