@@ -10,13 +10,21 @@ pairs. Shard trees are built where their rows are and aren't broadcast: their si
 A shard of more than ``hot`` fingerprints is dealt again by the rest's blocks, with the same
 guarantee. Shards' links are joined by connected components.
 
+Two bits are far less than what a text of a few changed words differs by. ``similar_documents`` is
+for groups by a similarity of shingle sets instead: five-word shingles, Jaccard 0.8 or more. Its
+fingerprints are the same kind over five words; a class goes to shards keyed by its ``KEYS`` least
+shingle hashes (two sets of that similarity have none of them in common once in ten thousand times),
+the shard's BK-tree is searched with a radius of ``WIDE`` bits, and what it finds is checked on the
+``SKETCH`` least shingle hashes of both: exact up to so many shingles, and within some hundredths
+beyond. Shards over ``hot`` classes are dealt again by pairs of the keys.
+
 Null and empty texts have fingerprint zero. Rows with equal doc_id are kept. Null doc_ids keep
 their row, with a null component unless their class has another id. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,6 +36,7 @@ from pyspark.sql import functions as F
 from kinquery.llm.components import components
 from kinquery.runtime import checkpoint, stored
 
+KEYS, SKETCH, WIDE = 6, 128, 20
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 
 
@@ -118,8 +127,11 @@ class BKTree:
         return new
 
 
-def shard_links(values: list[int], reps: list[int], radius: int) -> list[tuple[int, int]]:
-    """(rep, root) of every linked class of one shard, by lookups in a growing BK-tree."""
+def shard_links(values: list[int], reps: list[int], radius: int, alike: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """(rep, root) of every linked class of one shard, by lookups in a growing BK-tree.
+
+    With ``alike`` a pair that isn't connected yet must also pass it.
+    """
     tree, parent = BKTree(), list(range(len(values)))
 
     def root(i: int) -> int:
@@ -130,7 +142,8 @@ def shard_links(values: list[int], reps: list[int], radius: int) -> list[tuple[i
 
     for i, v in enumerate(values):
         for j in tree.within(v, radius):
-            parent[root(j)] = root(i)
+            if root(j) != root(i) and (alike is None or alike(i, j)):
+                parent[root(j)] = root(i)
         tree.add(v)
     least: dict[int, int] = {}
     for i, r in enumerate(reps):
@@ -202,13 +215,104 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: i
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
+def jaccard(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
+    """The similarity of two sets by their least ``size`` hashes, each sorted and without repeats."""
+    union = np.union1d(a, b)[:size]
+    both = np.intersect1d(a, b, assume_unique=True)
+    return float(np.searchsorted(both, union[-1], side="right")) / len(union) if len(union) else 1.0
+
+
+def shingle_sketches(docs: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame:
+    """doc_id, fp, n (distinct shingles), same (a hash of all of them), sketch (the least, as uint32 bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                some = batch.slice(lo, 256)
+                each = [fingerprint_hashes(t, shingle, seed) for t in some.column("text").to_pylist()]
+                fps = majority(np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])]))
+                sets = [np.unique((x >> np.uint64(32)).astype("<u4")) for x in each]
+                same = np.array([xxh64_intdigest(x.tobytes()) for x in sets], np.uint64)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(fps.view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), pa.array(same.view(np.int64)), pa.array([x[:SKETCH].tobytes() for x in sets], pa.binary())], ["doc_id", "fp", "n", "same", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, n int, same long, sketch binary")
+
+
+def _least_keys() -> Column:
+    """The first hashes of a sketch, as longs."""
+    byte = lambda i, b: F.conv(F.hex(F.substring("sketch", 4 * i + b + 1, 1)), 16, 10).cast("long")
+    word = lambda i: byte(i, 0) + byte(i, 1) * 256 + byte(i, 2) * 65536 + byte(i, 3) * 16777216
+    return F.array_compact(F.array(*(F.when(F.octet_length("sketch") >= 4 * i + 4, word(i)) for i in range(KEYS))))
+
+
+def similar_links(classes: DataFrame, similarity: float = 0.8, hot: int = 1000) -> DataFrame:
+    """classes(rep, fp, n, keys, sketch): edges (a, b) of reps that connect all similar ones found."""
+    first = classes.select("rep", F.explode("keys").alias("k"))
+    counts = checkpoint(first.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    sized = first.join(counts, "k")
+    cold = sized.where(F.col("c") <= hot).select("rep", F.col("k").alias("k0"), F.lit(-1).cast("long").alias("k1"))
+    burning = sized.where(F.col("c") > hot).select("rep").distinct()
+    pairs = F.array(*(F.struct(F.get("keys", F.lit(i)).alias("k0"), F.get("keys", F.lit(j)).alias("k1")) for i, j in combinations(range(KEYS), 2)))
+    again = classes.select("rep", "keys").join(burning, "rep", "left_semi").select("rep", F.explode(pairs).alias("p")).where("p.k0 is not null and p.k1 is not null").select("rep", "p.k0", "p.k1")
+    # classes of a single shingle set member have no second key; those of a hot key alone stay together
+    single = classes.where(F.size("keys") == 1).select("rep", F.get("keys", F.lit(0)).alias("k0"), F.lit(-2).cast("long").alias("k1"))
+    dealt = checkpoint(cold.unionByName(again).unionByName(single))
+    rows = dealt.join(classes.select("rep", "fp", "n", "sketch"), "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, values, reps, sizes, sketches = None, [], [], [], []
+
+        def flush() -> pa.RecordBatch:
+            sets = [np.frombuffer(x, "<u4") for x in sketches]
+
+            def alike(i: int, j: int) -> bool:
+                small, large = sorted((sizes[i], sizes[j]))
+                return small >= similarity * large and jaccard(sets[i], sets[j]) >= similarity
+
+            found = shard_links(values, reps, WIDE, alike) if len(values) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("k0", "k1", "fp", "rep", "n", "sketch")]
+            for k0, k1, fp, rep, n, sketch in zip(*cols, strict=True):
+                if (k0, k1) != now:
+                    if len(values) > 1:
+                        yield flush()
+                    now, values, reps, sizes, sketches = (k0, k1), [], [], [], []
+                values.append(fp & 0xFFFFFFFFFFFFFFFF)
+                reps.append(rep)
+                sizes.append(n)
+                sketches.append(sketch)
+        yield flush()
+
+    return rows.repartition("k0", "k1").sortWithinPartitions("k0", "k1", "fp", "rep").mapInArrow(run, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42, hot: int = 1000) -> DataFrame:
+    """One row a document: doc_id, component_id (the smallest doc_id reachable over similar texts)."""
+    prints = stored(shingle_sketches(docs, shingle, seed), "sketches")
+    one = F.min_by(F.struct("fp", "sketch"), "doc_id")
+    classes = prints.where("doc_id is not null").groupBy("same", "n").agg(F.min("doc_id").alias("rep"), one.alias("o")).select("same", "n", "rep", "o.*")
+    classes = checkpoint(classes.withColumn("keys", _least_keys()))
+    groups = components(similar_links(classes, similarity, hot))
+    named = checkpoint(classes.select("same", "n", "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("same", "n", F.coalesce("component", "rep").alias("component_id")))
+    return prints.select("doc_id", "same", "n").join(named, ["same", "n"], "left").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, similarity: float | None = None, **how) -> DataFrame:
     """The documents whose id is their component's smallest; of rows with that same id, one.
 
-    Which of several rows with one id stays is settled by their text's hash. A row without an id
-    can't be told to be another's copy and stays. All columns are kept.
+    Components are those of fingerprints; with ``similarity`` those of similar shingle sets link
+    them further. Which of several rows with one id stays is settled by their text's hash. A row
+    without an id can't be told to be another's copy and stays. All columns are kept.
     """
-    first = checkpoint(near_duplicates(docs, **how).where("doc_id = component_id").select("doc_id").distinct())
+    links = near_duplicates(docs, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    if similarity is not None:
+        more = similar_documents(docs, similarity=similarity).where("doc_id <> component_id")
+        links = links.unionByName(more.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
+    gone = stored(components(links).where("id <> component").select(F.col("id").alias("doc_id")).distinct(), "copies")
     order = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
     return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))

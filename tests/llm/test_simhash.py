@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 
 from kinquery.llm.components import components
-from kinquery.llm.simhash import BKTree, fingerprint_hashes, link_classes, majority, near_duplicates, one_of_each
+from kinquery.llm.simhash import BKTree, fingerprint_hashes, link_classes, majority, near_duplicates, one_of_each, similar_documents
 
 
 def slow_print(text):
@@ -115,3 +115,50 @@ def test_components_of_chains_and_stars(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(100, 141), 100), **dict.fromkeys([7, *range(200, 260)], 7), 800: 800, 900: 800}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_similar_sets_against_brute_force(spark):
+    rnd = random.Random(8)
+    vocab = [f"w{i}" for i in range(400)]
+    shared = " ".join(rnd.choice(vocab) for _ in range(12))
+    texts = [None, "", "one two", "ONE two", "a b c d e", "a b c d e a b c d e"]
+    for _ in range(40):
+        words = [rnd.choice(vocab) for _ in range(rnd.randint(60, 110))]
+        texts.append(" ".join(words))
+        for edits in (1, 2, 3, 6, 12):
+            w = list(words)
+            for _ in range(edits):
+                w[rnd.randrange(len(w))] = rnd.choice(vocab)
+            texts.append(" ".join(w))
+        texts.append(shared + " " + " ".join(rnd.choice(vocab) for _ in range(80)))
+    texts += [texts[10], texts[10].upper()]
+
+    def grams(t):
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall("[^\x20\x09-\x0d]+", t or "")]
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets = [grams(t) for t in texts]
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both, all_ = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if both >= 0.8 * all_:
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n int").repartition(3)
+    for hot in (1000, 8):
+        got = {r.doc_id: r.component_id for r in similar_documents(docs, hot=hot).collect()}
+        wrong = sum(got[i] != root(i) for i in range(len(texts)))
+        assert wrong <= (0 if hot == 1000 else 2), wrong
+    kept = one_of_each(docs, similarity=0.8)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} <= {root(i) for i in range(len(texts))}
+    assert similar_documents(docs.limit(0)).count() == 0 and one_of_each(docs.limit(0), similarity=0.8).count() == 0
+    nulls = spark.createDataFrame([(None, "a b"), (None, "a b"), (4, "a b"), (4, "a b")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.component_id) for r in similar_documents(nulls).collect()) == [(0, 4), (0, 4), (4, 4), (4, 4)]
+    assert sorted(r.doc_id or 0 for r in one_of_each(nulls, similarity=0.8).collect()) == [0, 0, 4]
