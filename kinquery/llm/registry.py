@@ -95,7 +95,53 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_token_ids": op1_token_ids, "op2_main_text": op2_main_text, "op3_pieces": op3_pieces, "op4_token_counts": op4_token_counts, "op5_leaks": op5_leaks, "op6_language": op6_language, "op7_shards": op7_shards, "op8_simhash": op8_simhash, "op9_licenses": op9_licenses, "op10_vectors": op10_vectors}
+def _licence_sql() -> str:
+    """The scan in SQL: phrases at every place, and the share of a line's IDF that stands around one."""
+    from kinquery.llm.licenses import BASE, TEMPLATES
+
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words.split()) + "]"
+    rows = [(label, "TRUE", p, p) for p, label in BASE] + [(label, "FALSE", k, line) for label, k, line in TEMPLATES]
+    place = lambda k, line: next(i for i in range(len(line.split())) if line.split()[i : i + len(k.split())] == k.split())
+    values = ", ".join(f"({i}, '{label}', {base}, {quoted(k)}, {quoted(line)}, {place(k, line)})" for i, (label, base, k, line) in enumerate(rows))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        t(t, label, base, phrase, line, place) AS (VALUES {values}),
+        vocabulary AS (SELECT DISTINCT unnest(line) AS word FROM t),
+        total AS (SELECT count(*) AS n FROM d),
+        df AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT r, unnest(w) AS word FROM d) SEMI JOIN vocabulary USING (word) GROUP BY word),
+        idf AS (SELECT word, round(ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)), 6) AS idf FROM vocabulary LEFT JOIN df USING (word), total),
+        weights AS (SELECT t, list(idf ORDER BY j) AS idfs FROM (SELECT t, unnest(line) AS word, generate_subscripts(line, 1) AS j FROM t) JOIN idf USING (word) GROUP BY t),
+        hits AS (
+            SELECT r, t.t, label, base, w, line, place, idfs, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(phrase)] = phrase)) AS s
+            FROM d JOIN t ON list_has_all(w, phrase) JOIN weights USING (t)),
+        graded AS (
+            SELECT r, label, base, s, CASE WHEN NOT base THEN
+                list_sum(list_transform(range(len(line)), lambda j: CASE WHEN s - place + j >= 0 AND w[s - place + j + 1] = line[j + 1] THEN idfs[j + 1] ELSE 0 END)) / list_sum(idfs) END AS g FROM hits),
+        found AS (
+            SELECT r, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
+                string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+                string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR g >= 0.6) AS labels, max(g) FILTER (g >= 0.6) AS g
+            FROM graded GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+            coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+            CAST(least(1.0, round(CASE WHEN g IS NOT NULL THEN g WHEN n_base > 0 THEN 0.5 ELSE 0 END, 6)) AS DOUBLE) AS score
+        FROM d LEFT JOIN found USING (r)
+    """
+
+
 ORACLES: dict[str, str] = {
+    # for pages with an article of paragraphs and headings, as the tables have them
+    "op2_main_text": r"""
+        WITH a AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>') AS parts FROM pages),
+        b AS (
+            SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(
+                replace(replace(replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', chr(34)), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'),
+                '\s+', ' ', 'g'))) AS parts FROM a),
+        c AS (SELECT page_id, url, coalesce(array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10)), '') AS text FROM b)
+        SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars, CAST(0 AS BIGINT) AS boilerplate_tokens FROM c
+    """,
+    "op9_licenses": _licence_sql(),
     "op10_vectors": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
