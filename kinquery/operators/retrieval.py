@@ -35,7 +35,8 @@ class Bm25Index:
         read = docs.select(F.col(doc).alias("__d"), tokens(text).alias("w"))
         self.total = read.agg(F.count(F.lit(1)).cast("double").alias("docs"), F.avg(F.size("w").cast("double")).alias("mean"))
         rows = read.select("__d", F.size("w").cast("double").alias("len"), F.explode("w").alias("t"))
-        if terms is not None:
+        self.only_asked = terms is not None
+        if self.only_asked:
             rows = rows.join(terms, "t", "left_semi")
         self.postings = rows.groupBy("t", "__d", "len").agg(F.count(F.lit(1)).cast("double").alias("tf"))
         if keep:
@@ -46,7 +47,7 @@ class Bm25Index:
     def search(self, queries: DataFrame, k: int = 4, query: str = "query_id", query_text: str = "query") -> DataFrame:
         """query, doc, score, rank. Terms count once a query; ties go to the smaller doc."""
         asked = queries.select(F.col(query).alias("__q"), F.explode(F.array_distinct(tokens(query_text))).alias("t"))
-        tf = self.postings.join(asked.select("t").distinct(), "t", "left_semi")
+        tf = self.postings if self.only_asked else self.postings.join(asked.select("t").distinct(), "t", "left_semi")
         df = tf.groupBy("t").agg(F.count(F.lit(1)).cast("double").alias("df"))
         weighted = tf.join(df, "t").crossJoin(F.broadcast(self.total))
         idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -71,13 +71,15 @@ def _join(facts, atom: Atom, state: DataFrame | None, bag: bool) -> DataFrame:
 
 
 def _count(facts, goal: CountDistinct, state: DataFrame | None, bag: bool) -> DataFrame:
-    rows = _rows(facts, goal.atom, False)
-    free = [c for c in rows.columns if c not in _bound(state, goal.atom)]
-    if state is None or not (shared := _bound(state, goal.atom)):
-        one = rows.agg(F.count_distinct(F.struct(*free)).alias(goal.out.name)) if free != ["__any"] else rows.agg(F.count(F.lit(1)).alias(goal.out.name))
-        return one.withColumn(MULT, F.lit(1).cast("long")) if state is None and bag else one if state is None else state.crossJoin(F.broadcast(one))
-    counts = rows.groupBy(*shared).agg((F.count_distinct(F.struct(*free)) if free else F.count(F.lit(1))).alias("__n"))
-    return state.join(counts, shared, "left").withColumn(goal.out.name, F.coalesce("__n", F.lit(0)).cast("long")).drop("__n")
+    rows = _rows(facts, goal.atom, False)  # distinct already, so counting them is enough
+    shared, out = _bound(state, goal.atom), goal.out.name
+    if not shared:
+        one = rows.agg(F.count(F.lit(1)).alias(out))
+        if state is None:
+            return one.withColumn(MULT, F.lit(1).cast("long")) if bag else one
+        return state.crossJoin(F.broadcast(one))
+    counts = rows.groupBy(*shared).agg(F.count(F.lit(1)).alias("__n"))
+    return state.join(counts, shared, "left").withColumn(out, F.coalesce("__n", F.lit(0)).cast("long")).drop("__n")
 
 
 def answers(bindings: DataFrame, answer: str, by: list[str]) -> DataFrame:
