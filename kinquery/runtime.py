@@ -72,3 +72,13 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, dealt out over the cores; any other as it is.
+
+    A small file of one row group is one task otherwise. Only for plain scans: of a plan with
+    shuffles, asking for the number of partitions would run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
