@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinquery.runtime import scratch_path, table
+from kinquery.runtime import scratch_path, spread, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,14 +27,14 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     from kinquery.llm.html_main import main_text
 
-    return main_text(table(spark, sf_dir, "pages"))
+    return main_text(spread(table(spark, sf_dir, "pages")))
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents into pieces, decode the ids again, and digest both."""
     from kinquery.llm.piece_codec import encode_documents
 
-    both = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"), decoded="decoded")
+    both = encode_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer_path("piece_bpe_32k.model"), decoded="decoded")
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
@@ -44,7 +44,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinquery.llm.token_counts import context_limits, length_histogram, token_lengths
     from kinquery.runtime import stored
 
-    lengths = token_lengths(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    lengths = token_lengths(spread(table(spark, sf_dir, "documents")), tokenizer_path("byte_bpe_50k.json"))
     return context_limits(stored(length_histogram(lengths), "length-histogram"))
 
 
@@ -52,14 +52,14 @@ def op5_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that stand in documents, as pairs of ids."""
     from kinquery.llm.decontaminate import find_leaks
 
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_leaks(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents, learned from those that aren't held out."""
     from kinquery.llm.language import held_out, learn, predict
 
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     out = held_out(F.col("doc_id"))
     model = learn(docs, ~out)
     return predict(docs.select("doc_id", out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
@@ -76,7 +76,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents, linked at two or fewer differing bits."""
     from kinquery.llm.simhash import near_duplicates
 
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(spread(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -84,7 +84,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and templates in all documents."""
     from kinquery.llm.licenses import scan
 
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(spread(table(spark, sf_dir, "documents")))
 
 
 def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
