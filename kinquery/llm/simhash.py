@@ -127,12 +127,74 @@ class BKTree:
         return new
 
 
-def shard_links(values: list[int], reps: list[int], radius: int, alike: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+class BucketTree:
+    """A BK-tree whose edges lead to buckets of up to ``leaf`` values, scanned at once in numpy.
+
+    For shards of many values: a bucket that grows over ``leaf`` becomes a node with its own edges.
+    """
+
+    def __init__(self, leaf: int = 2048) -> None:
+        self.leaf, self.count, self.root = leaf, 0, None
+
+    def within(self, value: int, radius: int) -> list[int]:
+        found: list[int] = []
+        todo = [self.root] if self.root else []
+        v = np.uint64(value)
+        while todo:
+            pivot, place, kids = todo.pop()
+            d = (pivot ^ value).bit_count()
+            if d <= radius:
+                found.append(place)
+            for e in range(max(0, d - radius), min(64, d + radius) + 1):
+                kid = kids.get(e)
+                if kid is None:
+                    continue
+                if isinstance(kid, tuple):
+                    todo.append(kid)
+                else:
+                    n, values, places = kid
+                    near = np.bitwise_count(values[:n] ^ v) <= radius
+                    if near.any():
+                        found += places[:n][near].tolist()
+        return found
+
+    def add(self, value: int) -> None:
+        self._put(value, self.count)
+        self.count += 1
+
+    def _put(self, value: int, place: int) -> None:
+        if self.root is None:
+            self.root = (value, place, {})
+            return
+        node = self.root
+        while True:
+            pivot, _, kids = node
+            e = (pivot ^ value).bit_count()
+            kid = kids.get(e)
+            if isinstance(kid, tuple):
+                node = kid
+                continue
+            if kid is None:
+                kid = kids[e] = [0, np.zeros(8, np.uint64), np.zeros(8, np.int64)]
+            n = kid[0]
+            if n == len(kid[1]):
+                kid[1], kid[2] = np.concatenate([kid[1], np.zeros(n, np.uint64)]), np.concatenate([kid[2], np.zeros(n, np.int64)])
+            kid[1][n], kid[2][n], kid[0] = value, place, n + 1
+            if kid[0] > self.leaf:
+                kids[e] = (int(kid[1][0]), int(kid[2][0]), {})
+                for v, p in zip(kid[1][1 : kid[0]].tolist(), kid[2][1 : kid[0]].tolist(), strict=True):
+                    self._put(v, p)
+            return
+
+
+def shard_links(values: list[int], reps: list[int], radius: int, alike: Callable[[int, list[int], Callable[[int], bool]], Iterator[int]] | None = None) -> list[tuple[int, int]]:
     """(rep, root) of every linked class of one shard, by lookups in a growing BK-tree.
 
-    With ``alike`` a pair that isn't connected yet must also pass it.
+    With ``alike`` only those of the places found count that it gives back; it is told by a function
+    which ones are connected by then.
     """
-    tree, parent = BKTree(), list(range(len(values)))
+    tree = BucketTree() if len(values) > 256 else BKTree()
+    parent = list(range(len(values)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -141,9 +203,9 @@ def shard_links(values: list[int], reps: list[int], radius: int, alike: Callable
         return i
 
     for i, v in enumerate(values):
-        for j in tree.within(v, radius):
-            if root(j) != root(i) and (alike is None or alike(i, j)):
-                parent[root(j)] = root(i)
+        found = tree.within(v, radius)
+        for j in found if alike is None else alike(i, found, lambda j, i=i: root(j) == root(i)):
+            parent[root(j)] = root(i)
         tree.add(v)
     least: dict[int, int] = {}
     for i, r in enumerate(reps):
@@ -222,6 +284,44 @@ def jaccard(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     return float(np.searchsorted(both, union[-1], side="right")) / len(union) if len(union) else 1.0
 
 
+class SketchCheck:
+    """Which of some classes of a shard are similar to one of it.
+
+    How many hashes two sketches share bounds their similarity; it is counted for all candidates at
+    once, and only those it leaves are compared one by one, until one of their component is similar.
+    """
+
+    def __init__(self, sketches: list[bytes], sizes: list[int], similarity: float):
+        self.sets = [np.frombuffer(x, "<u4") for x in sketches]
+        self.sizes, self.similarity = np.array(sizes), similarity
+        self.lengths = np.array([len(x) for x in self.sets])
+        self.rows = np.zeros((len(sketches), max(1, int(self.lengths.max(initial=0)))), np.uint32)
+        for i, x in enumerate(self.sets):
+            self.rows[i, : len(x)] = x
+        self.filled = np.arange(self.rows.shape[1])[None, :] < self.lengths[:, None]
+
+    def __call__(self, i: int, places: list[int], connected: Callable[[int], bool]) -> Iterator[int]:
+        mine, s = self.sets[i], self.similarity
+        if not places or not len(mine):
+            return
+        at = np.array(places)
+        small, large = np.minimum(self.sizes[at], self.sizes[i]), np.maximum(self.sizes[at], self.sizes[i])
+        at = at[small >= s * large]
+        lo, step = 0, 8  # few at first: one of a large group connects all of it
+        while lo < len(at):
+            some = np.array([j for j in at[lo : lo + step].tolist() if not connected(j)], np.int64)
+            lo, step = lo + step, min(4096, step * 8)
+            if not len(some):
+                continue
+            rows = self.rows[some]
+            spot = np.minimum(np.searchsorted(mine, rows), len(mine) - 1)
+            shared = ((mine[spot] == rows) & self.filled[some]).sum(axis=1)
+            least = np.minimum(SKETCH, np.maximum(self.lengths[some], len(mine)))
+            for j in some[shared >= s * least].tolist():
+                if not connected(j) and jaccard(mine, self.sets[j]) >= s:
+                    yield j
+
+
 def shingle_sketches(docs: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame:
     """doc_id, fp, n (distinct shingles), same (a hash of all of them), sketch (the least, as uint32 bytes)."""
 
@@ -256,21 +356,14 @@ def similar_links(classes: DataFrame, similarity: float = 0.8, hot: int = 1000)
     burning = sized.where(F.col("c") > hot).select("rep").distinct()
     pairs = F.array(*(F.struct(F.get("keys", F.lit(i)).alias("k0"), F.get("keys", F.lit(j)).alias("k1")) for i, j in combinations(range(KEYS), 2)))
     again = classes.select("rep", "keys").join(burning, "rep", "left_semi").select("rep", F.explode(pairs).alias("p")).where("p.k0 is not null and p.k1 is not null").select("rep", "p.k0", "p.k1")
-    # classes of a single shingle set member have no second key; those of a hot key alone stay together
-    single = classes.where(F.size("keys") == 1).select("rep", F.get("keys", F.lit(0)).alias("k0"), F.lit(-2).cast("long").alias("k1"))
-    dealt = checkpoint(cold.unionByName(again).unionByName(single))
+    dealt = checkpoint(cold.unionByName(again))
     rows = dealt.join(classes.select("rep", "fp", "n", "sketch"), "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, values, reps, sizes, sketches = None, [], [], [], []
 
         def flush() -> pa.RecordBatch:
-            sets = [np.frombuffer(x, "<u4") for x in sketches]
-
-            def alike(i: int, j: int) -> bool:
-                small, large = sorted((sizes[i], sizes[j]))
-                return small >= similarity * large and jaccard(sets[i], sets[j]) >= similarity
-
+            alike = SketchCheck(sketches, sizes, similarity)
             found = shard_links(values, reps, WIDE, alike) if len(values) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 

@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 
 from kinquery.llm.components import components
-from kinquery.llm.simhash import BKTree, fingerprint_hashes, link_classes, majority, near_duplicates, one_of_each, similar_documents
+from kinquery.llm.simhash import BKTree, BucketTree, fingerprint_hashes, link_classes, majority, near_duplicates, one_of_each, similar_documents
 
 
 def slow_print(text):
@@ -72,7 +72,14 @@ def test_tree_finds_all():
         tree.add(v)
     for q in values[:100]:
         assert {tree.values[i] for i in tree.within(q, 2)} == {v for v in values if (v ^ q).bit_count() <= 2}
-    assert BKTree().within(3, 2) == []
+    assert BKTree().within(3, 2) == BucketTree().within(3, 2) == []
+    for leaf in (3, 50, 5000):
+        tree = BucketTree(leaf)
+        for v in values:
+            tree.add(v)
+        for q in values[:100]:
+            for radius in (2, 6):
+                assert sorted(tree.within(q, radius)) == [i for i, v in enumerate(values) if (v ^ q).bit_count() <= radius]
 
 
 def test_links_with_small_and_hot_shards(spark):
