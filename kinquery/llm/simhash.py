@@ -14,9 +14,7 @@ Two bits are far less than what a text of a few changed words differs by. ``simi
 for groups by a similarity of shingle sets instead: five-word shingles, Jaccard 0.8 or more. Its
 fingerprints are the same kind over five words; a class goes to shards keyed by its ``KEYS`` least
 shingle hashes (two sets of that similarity have none of them in common once in ten thousand times),
-the shard's BK-tree is searched with a radius of ``WIDE`` bits, and what it finds is checked on the
-``SKETCH`` least shingle hashes of both: exact up to so many shingles, and within some hundredths
-beyond. Shards over ``hot`` classes are dealt again by pairs of the keys.
+and there pairs within ``WIDE`` bits are checked on their whole sets (32 bits a shingle). Shards over ``hot`` classes are dealt again by pairs of the keys.
 
 Null and empty texts have fingerprint zero. Rows with equal doc_id are kept. Null doc_ids keep
 their row, with a null component unless their class has another id. Extra columns are ignored.
@@ -24,7 +22,7 @@ their row, with a null component unless their class has another id. Extra column
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -36,7 +34,7 @@ from pyspark.sql import functions as F
 from kinquery.llm.components import components
 from kinquery.runtime import checkpoint, stored
 
-KEYS, SKETCH, WIDE = 6, 128, 20
+KEYS, WIDE = 6, 20
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 
 
@@ -187,12 +185,8 @@ class BucketTree:
             return
 
 
-def shard_links(values: list[int], reps: list[int], radius: int, alike: Callable[[int, list[int], Callable[[int], bool]], Iterator[int]] | None = None) -> list[tuple[int, int]]:
-    """(rep, root) of every linked class of one shard, by lookups in a growing BK-tree.
-
-    With ``alike`` only those of the places found count that it gives back; it is told by a function
-    which ones are connected by then.
-    """
+def shard_links(values: list[int], reps: list[int], radius: int) -> list[tuple[int, int]]:
+    """(rep, root) of every linked class of one shard, by lookups in a growing BK-tree."""
     tree = BucketTree() if len(values) > 256 else BKTree()
     parent = list(range(len(values)))
 
@@ -203,8 +197,7 @@ def shard_links(values: list[int], reps: list[int], radius: int, alike: Callable
         return i
 
     for i, v in enumerate(values):
-        found = tree.within(v, radius)
-        for j in found if alike is None else alike(i, found, lambda j, i=i: root(j) == root(i)):
+        for j in tree.within(v, radius):
             parent[root(j)] = root(i)
         tree.add(v)
     least: dict[int, int] = {}
@@ -277,53 +270,68 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: i
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def jaccard(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
-    """The similarity of two sets by their least ``size`` hashes, each sorted and without repeats."""
-    union = np.union1d(a, b)[:size]
-    both = np.intersect1d(a, b, assume_unique=True)
-    return float(np.searchsorted(both, union[-1], side="right")) / len(union) if len(union) else 1.0
-
+class SetLinks:
+    """Links the similar ones of a shard's sets (sorted hashes without repeats, none empty).
 
-class SketchCheck:
-    """Which of some classes of a shard are similar to one of it.
-
-    How many hashes two sketches share bounds their similarity; it is counted for all candidates at
-    once, and only those it leaves are compared one by one, until one of their component is similar.
+    Sets are taken by size, so those a set can be similar to stand in one run before it. A few next
+    to it are compared first, as one of a large group connects all of it; how much is shared with
+    the rest is counted at once, in the sets themselves or over the shard's lists of each hash's
+    sets, whichever has less to read. All counts are of whole sets.
     """
 
-    def __init__(self, sketches: list[bytes], sizes: list[int], similarity: float):
-        self.sets = [np.frombuffer(x, "<u4") for x in sketches]
-        self.sizes, self.similarity = np.array(sizes), similarity
-        self.lengths = np.array([len(x) for x in self.sets])
-        self.rows = np.zeros((len(sketches), max(1, int(self.lengths.max(initial=0)))), np.uint32)
-        for i, x in enumerate(self.sets):
-            self.rows[i, : len(x)] = x
-        self.filled = np.arange(self.rows.shape[1])[None, :] < self.lengths[:, None]
-
-    def __call__(self, i: int, places: list[int], connected: Callable[[int], bool]) -> Iterator[int]:
-        mine, s = self.sets[i], self.similarity
-        if not places or not len(mine):
-            return
-        at = np.array(places)
-        small, large = np.minimum(self.sizes[at], self.sizes[i]), np.maximum(self.sizes[at], self.sizes[i])
-        at = at[small >= s * large]
-        lo, step = 0, 8  # few at first: one of a large group connects all of it
-        while lo < len(at):
-            some = np.array([j for j in at[lo : lo + step].tolist() if not connected(j)], np.int64)
-            lo, step = lo + step, min(4096, step * 8)
-            if not len(some):
-                continue
-            rows = self.rows[some]
-            spot = np.minimum(np.searchsorted(mine, rows), len(mine) - 1)
-            shared = ((mine[spot] == rows) & self.filled[some]).sum(axis=1)
-            least = np.minimum(SKETCH, np.maximum(self.lengths[some], len(mine)))
-            for j in some[shared >= s * least].tolist():
-                if not connected(j) and jaccard(mine, self.sets[j]) >= s:
-                    yield j
+    def __init__(self, sets: list[np.ndarray], reps: list[int], fps: list[int], similarity: float):
+        sizes = np.array([len(x) for x in sets], np.int64)
+        order = np.argsort(sizes, kind="stable")
+        self.sets, self.sizes, self.similarity = [sets[i] for i in order], sizes[order], similarity
+        self.reps, self.fps = [reps[i] for i in order], np.array(fps, np.uint64)[order]
+        self.ends = np.cumsum(self.sizes)
+        self.starts = self.ends - self.sizes
+        flat = np.concatenate(self.sets)
+        by = np.argsort(flat, kind="stable")
+        flat = flat[by]
+        opens = np.concatenate([[True], flat[1:] != flat[:-1]])
+        begin = np.maximum.accumulate(np.where(opens, np.arange(len(flat)), 0))
+        self.lists = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[by]
+        self.begin, self.before = np.empty(len(flat), np.int32), np.empty(len(flat), np.int32)
+        self.begin[by], self.before[by] = begin, np.arange(len(flat)) - begin
+
+    def _in_sets(self, i: int, some: np.ndarray) -> np.ndarray:
+        mine, theirs = self.sets[i], np.concatenate([self.sets[j] for j in some.tolist()])
+        hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+        return np.add.reduceat(hit, np.cumsum(self.sizes[some]) - self.sizes[some], dtype=np.int64)
+
+    def _in_lists(self, i: int, some: np.ndarray) -> np.ndarray:
+        one = slice(self.starts[i], self.ends[i])
+        n = self.before[one].astype(np.int64)
+        ends = np.cumsum(n)
+        at = np.arange(int(ends[-1])) + np.repeat(self.begin[one] - (ends - n), n)
+        return np.bincount(self.lists[at], minlength=i)[some]
+
+    def links(self) -> list[tuple[int, int]]:
+        """(rep, root) of every linked set."""
+        s, sizes, label = self.similarity, self.sizes, np.arange(len(self.sets))
+        low = np.searchsorted(sizes, s * sizes - 1e-9)
+        work = np.add.reduceat(self.before, self.starts, dtype=np.int64)
+        for i in range(1, len(sizes)):
+            rest = np.arange(low[i], i)
+            rest = rest[np.bitwise_count(self.fps[rest] ^ self.fps[i]) <= WIDE]
+            for some in (rest[-4:], rest[:-4]):
+                some = some[label[some] != label[i]]
+                if not len(some):
+                    continue
+                both = self._in_sets(i, some) if sizes[some].sum() <= work[i] or len(some) <= 4 else self._in_lists(i, some)
+                alike = some[both >= s * (sizes[some] + sizes[i] - both) - 1e-9]
+                if len(alike):
+                    label[np.isin(label, label[alike])] = label[i]
+        least: dict[int, int] = {}
+        for x, r in zip(label.tolist(), self.reps, strict=True):
+            least[x] = min(r, least.get(x, r))
+        return [(r, least[x]) for x, r in zip(label.tolist(), self.reps, strict=True) if r != least[x]]
 
 
-def shingle_sketches(docs: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame:
-    """doc_id, fp, n (distinct shingles), same (a hash of all of them), sketch (the least, as uint32 bytes)."""
+def shingle_sets(docs: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame:
+    """doc_id, fp, n (distinct shingles), same (a hash of all), keys (the least), hashes (all, sorted, as uint32 bytes)."""
+    names = ["doc_id", "fp", "n", "same", "keys", "hashes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -335,61 +343,53 @@ def shingle_sketches(docs: DataFrame, shingle: int = 5, seed: int = 42) -> DataF
                 fps = majority(np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])]))
                 sets = [np.unique((x >> np.uint64(32)).astype("<u4")) for x in each]
                 same = np.array([xxh64_intdigest(x.tobytes()) for x in sets], np.uint64)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(fps.view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), pa.array(same.view(np.int64)), pa.array([x[:SKETCH].tobytes() for x in sets], pa.binary())], ["doc_id", "fp", "n", "same", "sketch"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, n int, same long, sketch binary")
-
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(fps.view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), pa.array(same.view(np.int64)), pa.array([x[:KEYS].tolist() for x in sets], pa.list_(pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary())], names)
 
-def _least_keys() -> Column:
-    """The first hashes of a sketch, as longs."""
-    byte = lambda i, b: F.conv(F.hex(F.substring("sketch", 4 * i + b + 1, 1)), 16, 10).cast("long")
-    word = lambda i: byte(i, 0) + byte(i, 1) * 256 + byte(i, 2) * 65536 + byte(i, 3) * 16777216
-    return F.array_compact(F.array(*(F.when(F.octet_length("sketch") >= 4 * i + 4, word(i)) for i in range(KEYS))))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, n int, same long, keys array<long>, hashes binary")
 
 
-def similar_links(classes: DataFrame, similarity: float = 0.8, hot: int = 1000) -> DataFrame:
-    """classes(rep, fp, n, keys, sketch): edges (a, b) of reps that connect all similar ones found."""
-    first = classes.select("rep", F.explode("keys").alias("k"))
+def similar_links(classes: DataFrame, sets: DataFrame, similarity: float = 0.8, hot: int = 1000) -> DataFrame:
+    """classes(row, rep, n, keys), sets(row, fp, hashes): edges (a, b) of reps that connect all similar ones found."""
+    first = classes.select("row", "rep", F.explode("keys").alias("k"))
     counts = checkpoint(first.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     sized = first.join(counts, "k")
-    cold = sized.where(F.col("c") <= hot).select("rep", F.col("k").alias("k0"), F.lit(-1).cast("long").alias("k1"))
-    burning = sized.where(F.col("c") > hot).select("rep").distinct()
+    cold = sized.where(F.col("c") <= hot).select("row", "rep", F.col("k").alias("k0"), F.lit(-1).cast("long").alias("k1"))
+    burning = sized.where(F.col("c") > hot).select("row").distinct()
     pairs = F.array(*(F.struct(F.get("keys", F.lit(i)).alias("k0"), F.get("keys", F.lit(j)).alias("k1")) for i, j in combinations(range(KEYS), 2)))
-    again = classes.select("rep", "keys").join(burning, "rep", "left_semi").select("rep", F.explode(pairs).alias("p")).where("p.k0 is not null and p.k1 is not null").select("rep", "p.k0", "p.k1")
+    again = classes.select("row", "rep", "keys").join(burning, "row", "left_semi").select("row", "rep", F.explode(pairs).alias("p")).where("p.k0 is not null and p.k1 is not null").select("row", "rep", "p.k0", "p.k1")
     dealt = checkpoint(cold.unionByName(again))
-    rows = dealt.join(classes.select("rep", "fp", "n", "sketch"), "rep")
+    keys = ["k0", "k1"]
+    rows = dealt.join(sets, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, values, reps, sizes, sketches = None, [], [], [], []
+        now, reps, fps, held = None, [], [], []
 
         def flush() -> pa.RecordBatch:
-            alike = SketchCheck(sketches, sizes, similarity)
-            found = shard_links(values, reps, WIDE, alike) if len(values) > 1 else []
+            found = SetLinks(held, reps, fps, similarity).links() if len(reps) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("k0", "k1", "fp", "rep", "n", "sketch")]
-            for k0, k1, fp, rep, n, sketch in zip(*cols, strict=True):
-                if (k0, k1) != now:
-                    if len(values) > 1:
+            cols = [batch.column(c).to_pylist() for c in (*keys, "rep", "fp", "hashes")]
+            for *key, rep, fp, hashes in zip(*cols, strict=True):
+                if key != now:
+                    if len(reps) > 1:
                         yield flush()
-                    now, values, reps, sizes, sketches = (k0, k1), [], [], [], []
-                values.append(fp & 0xFFFFFFFFFFFFFFFF)
+                    now, reps, fps, held = key, [], [], []
                 reps.append(rep)
-                sizes.append(n)
-                sketches.append(sketch)
+                fps.append(fp & 0xFFFFFFFFFFFFFFFF)
+                held.append(np.frombuffer(hashes, "<u4"))
         yield flush()
 
-    return rows.repartition("k0", "k1").sortWithinPartitions("k0", "k1", "fp", "rep").mapInArrow(run, "a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(run, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42, hot: int = 1000) -> DataFrame:
     """One row a document: doc_id, component_id (the smallest doc_id reachable over similar texts)."""
-    prints = stored(shingle_sketches(docs, shingle, seed), "sketches")
-    one = F.min_by(F.struct("fp", "sketch"), "doc_id")
-    classes = prints.where("doc_id is not null").groupBy("same", "n").agg(F.min("doc_id").alias("rep"), one.alias("o")).select("same", "n", "rep", "o.*")
-    classes = checkpoint(classes.withColumn("keys", _least_keys()))
-    groups = components(similar_links(classes, similarity, hot))
+    prints = stored(shingle_sets(docs, shingle, seed).withColumn("row", F.monotonically_increasing_id()), "shingles")
+    one = F.min(F.struct("doc_id", "row"))
+    classes = prints.where("doc_id is not null").groupBy("same", "n").agg(one.alias("o"), F.first("keys").alias("keys"))
+    classes = checkpoint(classes.select("same", "n", F.col("o.doc_id").alias("rep"), "o.row", "keys"))
+    groups = components(similar_links(classes, prints.select("row", "fp", "hashes"), similarity, hot))
     named = checkpoint(classes.select("same", "n", "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("same", "n", F.coalesce("component", "rep").alias("component_id")))
     return prints.select("doc_id", "same", "n").join(named, ["same", "n"], "left").select("doc_id", "component_id")
 

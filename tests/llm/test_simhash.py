@@ -169,3 +169,37 @@ def test_similar_sets_against_brute_force(spark):
     nulls = spark.createDataFrame([(None, "a b"), (None, "a b"), (4, "a b"), (4, "a b")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.component_id) for r in similar_documents(nulls).collect()) == [(0, 4), (0, 4), (4, 4), (4, 4)]
     assert sorted(r.doc_id or 0 for r in one_of_each(nulls, similarity=0.8).collect()) == [0, 0, 4]
+
+
+def wrong_groups(spark, texts, **how):
+    """How many texts fall in another group than by comparing all pairs of five-word sets."""
+    words = [t.split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), **how).collect()}
+    return sum(got[i] != root(i) for i in range(len(texts)))
+
+
+def test_long_texts_near_the_limit_are_decided_on_whole_sets(spark):
+    rnd = random.Random(11)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rnd.randint(0, 10**6)}" for _ in range(rnd.randint(400, 900))]
+        for cut in (0.205, 0.195):  # the head alone, of a similarity a little below or above 0.8
+            keep = round((len(base) - 4) * (1 - cut)) + 4
+            texts.append(" ".join(base[:keep]))
+            texts.append(" ".join(base))
+            base = [f"v{x}" for x in base]
+    assert wrong_groups(spark, texts) == 0
