@@ -11,10 +11,9 @@ A shard of more than ``hot`` fingerprints is dealt again by the rest's blocks, w
 guarantee. Shards' links are joined by connected components.
 
 Two bits are far less than what a text of a few changed words differs by. ``similar_documents`` is
-for groups by a similarity of shingle sets instead: five-word shingles, Jaccard 0.8 or more. Its
-fingerprints are the same kind over five words; a class goes to shards keyed by its ``KEYS`` least
-shingle hashes (two sets of that similarity have none of them in common once in ten thousand times),
-and there pairs within ``WIDE`` bits are checked on their whole sets (32 bits a shingle). Shards over ``hot`` classes are dealt again by pairs of the keys.
+for groups by a similarity of shingle sets instead: five-word shingles, Jaccard 0.8 or more. A class
+of texts of one set goes to shards keyed by its ``KEYS`` least shingle hashes (two sets of that similarity have none of them in common once in ten thousand times),
+and there all pairs are checked on their whole sets (32 bits a shingle). Shards over ``hot`` classes are dealt again by pairs of the keys.
 
 Null and empty texts have fingerprint zero. Rows with equal doc_id are kept. Null doc_ids keep
 their row, with a null component unless their class has another id. Extra columns are ignored.
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from kinquery.llm.components import components
 from kinquery.runtime import checkpoint, stored
 
-KEYS, WIDE = 6, 20
+KEYS = 6
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 
 
@@ -279,11 +278,11 @@ class SetLinks:
     sets, whichever has less to read. All counts are of whole sets.
     """
 
-    def __init__(self, sets: list[np.ndarray], reps: list[int], fps: list[int], similarity: float):
+    def __init__(self, sets: list[np.ndarray], reps: list[int], similarity: float):
         sizes = np.array([len(x) for x in sets], np.int64)
         order = np.argsort(sizes, kind="stable")
         self.sets, self.sizes, self.similarity = [sets[i] for i in order], sizes[order], similarity
-        self.reps, self.fps = [reps[i] for i in order], np.array(fps, np.uint64)[order]
+        self.reps = [reps[i] for i in order]
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
         flat = np.concatenate(self.sets)
@@ -314,7 +313,6 @@ class SetLinks:
         work = np.add.reduceat(self.before, self.starts, dtype=np.int64)
         for i in range(1, len(sizes)):
             rest = np.arange(low[i], i)
-            rest = rest[np.bitwise_count(self.fps[rest] ^ self.fps[i]) <= WIDE]
             for some in (rest[-4:], rest[:-4]):
                 some = some[label[some] != label[i]]
                 if not len(some):
@@ -330,8 +328,8 @@ class SetLinks:
 
 
 def shingle_sets(docs: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame:
-    """doc_id, fp, n (distinct shingles), same (a hash of all), keys (the least), hashes (all, sorted, as uint32 bytes)."""
-    names = ["doc_id", "fp", "n", "same", "keys", "hashes"]
+    """doc_id, n (distinct shingles), same (a hash of all), keys (the least), hashes (all, sorted, as uint32 bytes)."""
+    names = ["doc_id", "n", "same", "keys", "hashes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -340,16 +338,15 @@ def shingle_sets(docs: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
                 each = [fingerprint_hashes(t, shingle, seed) for t in some.column("text").to_pylist()]
-                fps = majority(np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])]))
                 sets = [np.unique((x >> np.uint64(32)).astype("<u4")) for x in each]
                 same = np.array([xxh64_intdigest(x.tobytes()) for x in sets], np.uint64)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(fps.view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), pa.array(same.view(np.int64)), pa.array([x[:KEYS].tolist() for x in sets], pa.list_(pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([len(x) for x in sets], pa.int32()), pa.array(same.view(np.int64)), pa.array([x[:KEYS].tolist() for x in sets], pa.list_(pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, n int, same long, keys array<long>, hashes binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n int, same long, keys array<long>, hashes binary")
 
 
 def similar_links(classes: DataFrame, sets: DataFrame, similarity: float = 0.8, hot: int = 1000) -> DataFrame:
-    """classes(row, rep, n, keys), sets(row, fp, hashes): edges (a, b) of reps that connect all similar ones found."""
+    """classes(row, rep, n, keys), sets(row, hashes): edges (a, b) of reps that connect all similar ones found."""
     first = classes.select("row", "rep", F.explode("keys").alias("k"))
     counts = checkpoint(first.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     sized = first.join(counts, "k")
@@ -362,21 +359,20 @@ def similar_links(classes: DataFrame, sets: DataFrame, similarity: float = 0.8,
     rows = dealt.join(sets, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, reps, fps, held = None, [], [], []
+        now, reps, held = None, [], []
 
         def flush() -> pa.RecordBatch:
-            found = SetLinks(held, reps, fps, similarity).links() if len(reps) > 1 else []
+            found = SetLinks(held, reps, similarity).links() if len(reps) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in (*keys, "rep", "fp", "hashes")]
-            for *key, rep, fp, hashes in zip(*cols, strict=True):
+            cols = [batch.column(c).to_pylist() for c in (*keys, "rep", "hashes")]
+            for *key, rep, hashes in zip(*cols, strict=True):
                 if key != now:
                     if len(reps) > 1:
                         yield flush()
-                    now, reps, fps, held = key, [], [], []
+                    now, reps, held = key, [], []
                 reps.append(rep)
-                fps.append(fp & 0xFFFFFFFFFFFFFFFF)
                 held.append(np.frombuffer(hashes, "<u4"))
         yield flush()
 
@@ -389,7 +385,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     one = F.min(F.struct("doc_id", "row"))
     classes = prints.where("doc_id is not null").groupBy("same", "n").agg(one.alias("o"), F.first("keys").alias("keys"))
     classes = checkpoint(classes.select("same", "n", F.col("o.doc_id").alias("rep"), "o.row", "keys"))
-    groups = components(similar_links(classes, prints.select("row", "fp", "hashes"), similarity, hot))
+    groups = components(similar_links(classes, prints.select("row", "hashes"), similarity, hot))
     named = checkpoint(classes.select("same", "n", "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("same", "n", F.coalesce("component", "rep").alias("component_id")))
     return prints.select("doc_id", "same", "n").join(named, ["same", "n"], "left").select("doc_id", "component_id")
 

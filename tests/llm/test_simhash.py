@@ -203,3 +203,14 @@ def test_long_texts_near_the_limit_are_decided_on_whole_sets(spark):
             texts.append(" ".join(base))
             base = [f"v{x}" for x in base]
     assert wrong_groups(spark, texts) == 0
+
+
+def test_texts_that_repeat_a_line_are_linked_by_their_sets(spark):
+    rnd = random.Random(12)
+    line = lambda: " " + " ".join(f"x{rnd.randint(0, 10**6)}" for _ in range(8))
+    texts = []
+    for times in (5, 10, 20, 40):
+        for _ in range(6):
+            base = " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(250))
+            texts += [base + line() * times, base + line() * times]
+    assert wrong_groups(spark, texts) == 0
