@@ -13,7 +13,9 @@ guarantee. Shards' links are joined by connected components.
 Two bits are far less than what a text of a few changed words differs by. ``similar_documents`` is
 for groups by a similarity of shingle sets instead: five-word shingles, Jaccard 0.8 or more. A class
 of texts of one set goes to shards keyed by its ``KEYS`` least shingle hashes (two sets of that similarity have none of them in common once in ten thousand times),
-and there all pairs are checked on their whole sets (32 bits a shingle). Shards over ``hot`` classes are dealt again by pairs of the keys.
+and there all pairs are checked on their whole sets (32 bits a shingle). Shards over ``hot`` classes are cut into bands of sizes,
+each class going to its own and the next one, and bands over ``hot`` into parts that meet two by
+two, so that every pair that could be similar still meets.
 
 Null and empty texts have fingerprint zero. Rows with equal doc_id are kept. Null doc_ids keep
 their row, with a null component unless their class has another id. Extra columns are ignored.
@@ -347,15 +349,23 @@ def shingle_sets(docs: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame
 
 def similar_links(classes: DataFrame, sets: DataFrame, similarity: float = 0.8, hot: int = 1000) -> DataFrame:
     """classes(row, rep, n, keys), sets(row, hashes): edges (a, b) of reps that connect all similar ones found."""
-    first = classes.select("row", "rep", F.explode("keys").alias("k"))
-    counts = checkpoint(first.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    most = hot * 4000  # shingles of a shard
+    first = classes.select("row", "rep", "n", F.explode("keys").alias("k"))
+    size = (F.count(F.lit(1)).alias("c"), F.sum(F.col("n").cast("long")).alias("t"))
+    counts = checkpoint(first.groupBy("k").agg(*size).where("c > 1"))
     sized = first.join(counts, "k")
-    cold = sized.where(F.col("c") <= hot).select("row", "rep", F.col("k").alias("k0"), F.lit(-1).cast("long").alias("k1"))
-    burning = sized.where(F.col("c") > hot).select("row").distinct()
-    pairs = F.array(*(F.struct(F.get("keys", F.lit(i)).alias("k0"), F.get("keys", F.lit(j)).alias("k1")) for i, j in combinations(range(KEYS), 2)))
-    again = classes.select("row", "rep", "keys").join(burning, "row", "left_semi").select("row", "rep", F.explode(pairs).alias("p")).where("p.k0 is not null and p.k1 is not null").select("row", "rep", "p.k0", "p.k1")
-    dealt = checkpoint(cold.unionByName(again))
-    keys = ["k0", "k1"]
+    fits = (F.col("c") <= hot) & (F.col("t") <= most)
+    whole = F.lit(-1).cast("long")
+    cold = sized.where(fits).select("row", "rep", "k", whole.alias("band"), whole.alias("x"), whole.alias("y"))
+    own = F.floor(F.log("n") / F.lit(-np.log(similarity)) + F.lit(1e-9))
+    banded = sized.where(~fits).select("row", "rep", "n", "k", own.alias("own"), F.explode(F.array(own, own + 1)).alias("band"))
+    bands = checkpoint(banded.groupBy("k", "band").agg(*size, F.max(F.col("own") == F.col("band")).alias("home")).where("c > 1 and home"))
+    parts = F.ceil(F.greatest(F.col("c") / hot, F.col("t") / most))
+    cut = banded.join(bands.select("k", "band", parts.alias("g")), ["k", "band"]).withColumn("h", F.pmod(F.xxhash64("rep"), "g"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda o: F.struct(F.least("h", o).alias("x"), F.greatest("h", o).alias("y")))).alias("p")
+    met = cut.select("row", "rep", "k", "band", pair).select("row", "rep", "k", "band", "p.x", "p.y")
+    dealt = checkpoint(cold.unionByName(met))
+    keys = ["k", "band", "x", "y"]
     rows = dealt.join(sets, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -214,3 +214,14 @@ def test_texts_that_repeat_a_line_are_linked_by_their_sets(spark):
             base = " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(250))
             texts += [base + line() * times, base + line() * times]
     assert wrong_groups(spark, texts) == 0
+
+
+def test_hot_shards_lose_no_pair(spark):
+    rnd = random.Random(13)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = []
+    for n in (15, 20, 30, 60, 100, 160) * 4:
+        base = [f"w{rnd.randint(0, 10**6)}" for _ in range(n)]
+        texts += [passage + " " + " ".join(base), passage + " " + " ".join(base[: n * 9 // 10]), passage + " " + " ".join([*base[: n // 2], "other", *base[n // 2 + 1 :]])]
+    for hot in (2, 8):
+        assert wrong_groups(spark, texts, hot=hot) == 0
