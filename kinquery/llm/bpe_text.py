@@ -6,7 +6,7 @@ therefore be cut there, and its parts encoded on their own have the same ids as
 parts of a batch are told apart by Arrow's dictionaries; new ones are encoded together, a few dozen
 in one string, and each begins at the id whose piece starts with its separator. Parts that occur
 more than once are kept for later batches, up to a bound. A text with other white space at its
-parts' ends is given to the library as a whole.
+parts' ends, or with an added token's content in it, is given to the library as a whole.
 """
 
 from __future__ import annotations
@@ -33,7 +33,6 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
         with open(tokenizer_file, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -41,8 +40,9 @@ class CachedEncoder:
         for piece, i in vocab.items():
             self.opens[" "][i] = piece.startswith("Ġ")
             self.opens["\n"][i] = piece.startswith("Ċ")
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
         pre = spec.get("pre_tokenizer") or {}
-        self.cuttable = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec.get("normalizer") is None and not spec["model"].get("dropout")
+        self.cuttable = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec.get("normalizer") is None and not spec["model"].get("dropout") and not any(c.isspace() for t in self.added for c in t)
         self.max_parts, self.group, self.batch_bytes = max_parts, group, batch_bytes
         self._forget()
 
@@ -100,10 +100,13 @@ class CachedEncoder:
         place = pc.fill_null(pc.index_in(words, value_set=self.keys), -1).to_numpy(zero_copy_only=False)
         known, new = np.flatnonzero(place >= 0), np.flatnonzero((place < 0) & (times > 0))
         text = words.take(pa.array(new)).to_pylist()
-        tidy = np.fromiter(map(_tidy, text), bool, len(text))
+        holds = np.zeros(len(words), bool)
+        for content in self.added:
+            holds |= pc.match_substring(words, content).to_numpy(zero_copy_only=False)
+        tidy = np.fromiter(map(_tidy, text), bool, len(text)) & ~holds[new]
         untidy = np.zeros(len(words), bool)
         untidy[new[~tidy]] = True
-        fine = np.array([n == 1 or bool(h) and not h[-1].isspace() for n, h in zip(np.diff(at).tolist(), heads, strict=True)], bool)
+        fine = np.array([n == 1 or bool(h) and not h[-1].isspace() for n, h in zip(np.diff(at).tolist(), heads, strict=True)], bool) & ~holds[code[at[:-1]]]
         odd = ~fine | np.logical_or.reduceat(untidy[code] & ~head, at[:-1])
 
         start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)

@@ -106,3 +106,14 @@ def test_limits_by_brute_force(spark):
     assert sorted(map(tuple, token_lengths(docs, FILE, ["doc_id"]).collect())) == [(1, 2), (2, 0), (3, 0)]
     none = context_limits(length_histogram(spark.createDataFrame([], "n_tokens long")))
     assert none.count() == 0 and quantile(none, 0.5) is None
+
+
+def test_added_tokens_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    fresh, enc = Tokenizer.from_file(FILE), CachedEncoder(FILE, max_parts=300)
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b c", "one two", "x\n<|endoftext|>\ny", "<|endoftext|> one two", *odd_texts(1000, 6)]
+    for _ in range(2):  # the second time from kept parts
+        got = [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)]
+        assert got == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == [505, 220, 50256, 734]
