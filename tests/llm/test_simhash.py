@@ -225,3 +225,14 @@ def test_hot_shards_lose_no_pair(spark):
         texts += [passage + " " + " ".join(base), passage + " " + " ".join(base[: n * 9 // 10]), passage + " " + " ".join([*base[: n // 2], "other", *base[n // 2 + 1 :]])]
     for hot in (2, 8):
         assert wrong_groups(spark, texts, hot=hot) == 0
+
+
+def test_pairs_of_one_common_key_that_is_hot_are_linked(spark):
+    rnd = random.Random(14)
+    least = lambda t: set(np.unique(fingerprint_hashes(t, 5, 42) >> np.uint64(32))[:6].tolist())
+    texts = []
+    while len(texts) < 4:
+        w = [f"w{rnd.randint(0, 10**6)}" for _ in range(49)]
+        pair = [" ".join(w[:40]), " ".join(w)]
+        texts += pair if len(least(pair[0]) & least(pair[1])) == 1 else []
+    assert wrong_groups(spark, texts, hot=1) == 0
