@@ -27,24 +27,22 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it.
 
-    Only where nothing is set (tests, a single machine) a temporary folder is chosen.
+    Only a local master, whose tasks run on this machine, may do without: a temporary folder is
+    chosen there. On a cluster a missing setting is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="kinquery-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 _SCRATCH: list[str] = []
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
@@ -54,22 +52,50 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete the tables this driver wrote into the shared folder, once nothing reads them any more."""
-    conf = spark._jsc.hadoopConfiguration()
-    while _SCRATCH:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        path.getFileSystem(conf).delete(path, True)
+def drop_scratch(spark: SparkSession, since: int = 0, but: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the tables this driver wrote into the shared folder, once nothing reads them any more.
+
+    ``since``: only what came after that ``scratch_mark()``. ``but``: frames whose tables stay.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for df in but for f in df.inputFiles()}
+    stay = []
+    while len(_SCRATCH) > since:
+        name = _SCRATCH.pop()
+        if name.rsplit("/", 1)[-1] in kept:
+            stay.append(name)
+            continue
+        path = at(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _SCRATCH.extend(reversed(stay))
+
+
+def scratch_mark() -> int:
+    return len(_SCRATCH)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write a frame as Parquet in the shared folder and read it back."""
+    """Write a frame as Parquet in the shared folder and read it back.
+
+    This cuts the lineage; the shuffle files of the job go with its end, as the table is all that
+    later jobs read.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, what)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared folder, which outlives lost executors."""
+    return stored(df, "cut")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
