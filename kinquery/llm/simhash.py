@@ -10,12 +10,8 @@ pairs. Shard trees are built where their rows are and aren't broadcast: their si
 A shard of more than ``hot`` fingerprints is dealt again by the rest's blocks, with the same
 guarantee. Shards' links are joined by connected components.
 
-Two bits are far less than what a text of a few changed words differs by. ``similar_documents`` is
-for groups by a similarity of shingle sets instead: five-word shingles, Jaccard 0.8 or more. A class
-of texts of one set goes to shards keyed by its ``KEYS`` least shingle hashes (two sets of that similarity have none of them in common once in ten thousand times),
-and there all pairs are checked on their whole sets (32 bits a shingle). Shards over ``hot`` classes are cut into bands of sizes,
-each class going to its own and the next one, and bands over ``hot`` into parts that meet two by
-two, so that every pair that could be similar still meets.
+Two bits are far less than what a text of a few changed words differs by. ``one_of_each`` can
+therefore also link texts by their sets of five-word shingles (``kinquery.llm.shingle_sets``).
 
 Null and empty texts have fingerprint zero. Rows with equal doc_id are kept. Null doc_ids keep
 their row, with a null component unless their class has another id. Extra columns are ignored.
@@ -29,13 +25,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinquery.llm.components import components
-from kinquery.runtime import checkpoint, stored
+from kinquery.runtime import checkpoint, drop_scratch, scratch_mark, stored
 
-KEYS = 6
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 
 
@@ -271,147 +265,49 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: i
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-class SetLinks:
-    """Links the similar ones of a shard's sets (sorted hashes without repeats, none empty).
+def copies(docs: DataFrame, similarity: float | None = None, shingle: int = 3, seed: int = 42, radius: int = 2, hot: int = 128, **sets) -> DataFrame:
+    """doc_id of all documents that aren't their component's smallest.
 
-    Sets are taken by size, so those a set can be similar to stand in one run before it. A few next
-    to it are compared first, as one of a large group connects all of it; how much is shared with
-    the rest is counted at once, in the sets themselves or over the shard's lists of each hash's
-    sets, whichever has less to read. All counts are of whole sets.
+    Components are those of fingerprints; with ``similarity`` the links of similar shingle sets
+    count as well. Texts are hashed once for both, and components are found once.
     """
+    from kinquery.llm.shingle_sets import set_prints, similar_classes
+
+    mark = scratch_mark()
+    known = docs.where("doc_id is not null")
+    prints = stored(fingerprints(known, shingle, seed) if similarity is None else set_prints(known, similarity, fingerprint=shingle, seed=seed, **{k: v for k, v in sets.items() if k == "shingle"}), "prints")
+    by_print = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    edge = lambda a, b: (F.col(a).alias("a"), F.col(b).alias("b"))
+    edges = [prints.join(by_print, "fp").select(*edge("doc_id", "rep")), link_classes(by_print, radius, hot)]
+    if similarity is not None:
+        classes, links = similar_classes(known, prints, similarity, seed=seed, **sets)
+        edges += [prints.select("doc_id", "same").join(classes.select("same", "rep"), "same").select(*edge("doc_id", "rep")), links]
+    every = edges[0]
+    for e in edges[1:]:
+        every = every.unionByName(e)
+    gone = stored(components(every.where("a <> b")).where("id <> component").select(F.col("id").alias("doc_id")).distinct(), "copies")
+    drop_scratch(docs.sparkSession, mark, (gone,))
+    return gone
 
-    def __init__(self, sets: list[np.ndarray], reps: list[int], similarity: float):
-        sizes = np.array([len(x) for x in sets], np.int64)
-        order = np.argsort(sizes, kind="stable")
-        self.sets, self.sizes, self.similarity = [sets[i] for i in order], sizes[order], similarity
-        self.reps = [reps[i] for i in order]
-        self.ends = np.cumsum(self.sizes)
-        self.starts = self.ends - self.sizes
-        flat = np.concatenate(self.sets)
-        by = np.argsort(flat, kind="stable")
-        flat = flat[by]
-        opens = np.concatenate([[True], flat[1:] != flat[:-1]])
-        begin = np.maximum.accumulate(np.where(opens, np.arange(len(flat)), 0))
-        self.lists = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[by]
-        self.begin, self.before = np.empty(len(flat), np.int32), np.empty(len(flat), np.int32)
-        self.begin[by], self.before[by] = begin, np.arange(len(flat)) - begin
-
-    def _in_sets(self, i: int, some: np.ndarray) -> np.ndarray:
-        mine, theirs = self.sets[i], np.concatenate([self.sets[j] for j in some.tolist()])
-        hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
-        return np.add.reduceat(hit, np.cumsum(self.sizes[some]) - self.sizes[some], dtype=np.int64)
-
-    def _in_lists(self, i: int, some: np.ndarray) -> np.ndarray:
-        one = slice(self.starts[i], self.ends[i])
-        n = self.before[one].astype(np.int64)
-        ends = np.cumsum(n)
-        at = np.arange(int(ends[-1])) + np.repeat(self.begin[one] - (ends - n), n)
-        return np.bincount(self.lists[at], minlength=i)[some]
-
-    def links(self) -> list[tuple[int, int]]:
-        """(rep, root) of every linked set."""
-        s, sizes, label = self.similarity, self.sizes, np.arange(len(self.sets))
-        low = np.searchsorted(sizes, s * sizes - 1e-9)
-        work = np.add.reduceat(self.before, self.starts, dtype=np.int64)
-        for i in range(1, len(sizes)):
-            rest = np.arange(low[i], i)
-            for some in (rest[-4:], rest[:-4]):
-                some = some[label[some] != label[i]]
-                if not len(some):
-                    continue
-                both = self._in_sets(i, some) if sizes[some].sum() <= work[i] or len(some) <= 4 else self._in_lists(i, some)
-                alike = some[both >= s * (sizes[some] + sizes[i] - both) - 1e-9]
-                if len(alike):
-                    label[np.isin(label, label[alike])] = label[i]
-        least: dict[int, int] = {}
-        for x, r in zip(label.tolist(), self.reps, strict=True):
-            least[x] = min(r, least.get(x, r))
-        return [(r, least[x]) for x, r in zip(label.tolist(), self.reps, strict=True) if r != least[x]]
-
-
-def shingle_sets(docs: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame:
-    """doc_id, n (distinct shingles), same (a hash of all), keys (the least), hashes (all, sorted, as uint32 bytes)."""
-    names = ["doc_id", "n", "same", "keys", "hashes"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
-                each = [fingerprint_hashes(t, shingle, seed) for t in some.column("text").to_pylist()]
-                sets = [np.unique((x >> np.uint64(32)).astype("<u4")) for x in each]
-                same = np.array([xxh64_intdigest(x.tobytes()) for x in sets], np.uint64)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([len(x) for x in sets], pa.int32()), pa.array(same.view(np.int64)), pa.array([x[:KEYS].tolist() for x in sets], pa.list_(pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary())], names)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n int, same long, keys array<long>, hashes binary")
-
-
-def similar_links(classes: DataFrame, sets: DataFrame, similarity: float = 0.8, hot: int = 1000) -> DataFrame:
-    """classes(row, rep, n, keys), sets(row, hashes): edges (a, b) of reps that connect all similar ones found."""
-    most = hot * 4000  # shingles of a shard
-    first = classes.select("row", "rep", "n", F.explode("keys").alias("k"))
-    size = (F.count(F.lit(1)).alias("c"), F.sum(F.col("n").cast("long")).alias("t"))
-    counts = checkpoint(first.groupBy("k").agg(*size).where("c > 1"))
-    sized = first.join(counts, "k")
-    fits = (F.col("c") <= hot) & (F.col("t") <= most)
-    whole = F.lit(-1).cast("long")
-    cold = sized.where(fits).select("row", "rep", "k", whole.alias("band"), whole.alias("x"), whole.alias("y"))
-    own = F.floor(F.log("n") / F.lit(-np.log(similarity)) + F.lit(1e-9))
-    banded = sized.where(~fits).select("row", "rep", "n", "k", own.alias("own"), F.explode(F.array(own, own + 1)).alias("band"))
-    bands = checkpoint(banded.groupBy("k", "band").agg(*size, F.max(F.col("own") == F.col("band")).alias("home")).where("c > 1 and home"))
-    parts = F.ceil(F.greatest(F.col("c") / hot, F.col("t") / most))
-    cut = banded.join(bands.select("k", "band", parts.alias("g")), ["k", "band"]).withColumn("h", F.pmod(F.xxhash64("rep"), "g"))
-    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda o: F.struct(F.least("h", o).alias("x"), F.greatest("h", o).alias("y")))).alias("p")
-    met = cut.select("row", "rep", "k", "band", pair).select("row", "rep", "k", "band", "p.x", "p.y")
-    dealt = checkpoint(cold.unionByName(met))
-    keys = ["k", "band", "x", "y"]
-    rows = dealt.join(sets, "row")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, reps, held = None, [], []
-
-        def flush() -> pa.RecordBatch:
-            found = SetLinks(held, reps, similarity).links() if len(reps) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in (*keys, "rep", "hashes")]
-            for *key, rep, hashes in zip(*cols, strict=True):
-                if key != now:
-                    if len(reps) > 1:
-                        yield flush()
-                    now, reps, held = key, [], []
-                reps.append(rep)
-                held.append(np.frombuffer(hashes, "<u4"))
-        yield flush()
+#: Ids to broadcast at most (8 bytes each); a larger set is joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(run, "a long, b long")
 
-
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42, hot: int = 1000) -> DataFrame:
-    """One row a document: doc_id, component_id (the smallest doc_id reachable over similar texts)."""
-    prints = stored(shingle_sets(docs, shingle, seed).withColumn("row", F.monotonically_increasing_id()), "shingles")
-    one = F.min(F.struct("doc_id", "row"))
-    classes = prints.where("doc_id is not null").groupBy("same", "n").agg(one.alias("o"), F.first("keys").alias("keys"))
-    classes = checkpoint(classes.select("same", "n", F.col("o.doc_id").alias("rep"), "o.row", "keys"))
-    groups = components(similar_links(classes, prints.select("row", "hashes"), similarity, hot))
-    named = checkpoint(classes.select("same", "n", "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("same", "n", F.coalesce("component", "rep").alias("component_id")))
-    return prints.select("doc_id", "same", "n").join(named, ["same", "n"], "left").select("doc_id", "component_id")
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def one_of_each(docs: DataFrame, similarity: float | None = None, **how) -> DataFrame:
     """The documents whose id is their component's smallest; of rows with that same id, one.
 
-    Components are those of fingerprints; with ``similarity`` those of similar shingle sets link
-    them further. Which of several rows with one id stays is settled by their text's hash. A row
+    Which of several rows with one id stays is settled by their text's hash, then the text. A row
     without an id can't be told to be another's copy and stays. All columns are kept.
     """
-    links = near_duplicates(docs, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    if similarity is not None:
-        more = similar_documents(docs, similarity=similarity).where("doc_id <> component_id")
-        links = links.unionByName(more.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
-    gone = stored(components(links).where("id <> component").select(F.col("id").alias("doc_id")).distinct(), "copies")
-    order = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    gone = copies(docs, similarity, **how)
+    twice = stored(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
+    single = docs.join(_small(gone.unionByName(twice)), "doc_id", "left_anti")  # nulls stay
+    first = F.min_by(F.struct(*(F.col(c) for c in docs.columns)), F.struct(F.xxhash64("text"), "text")).alias("r")
+    again = docs.join(_small(twice), "doc_id", "left_semi").join(_small(gone), "doc_id", "left_anti")
+    chosen = again.groupBy(F.col("doc_id").alias("__id")).agg(first).select("r.*")
+    return single.select(docs.columns).unionByName(chosen.select(docs.columns))

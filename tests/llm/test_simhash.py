@@ -7,7 +7,8 @@ import numpy as np
 import xxhash
 
 from kinquery.llm.components import components
-from kinquery.llm.simhash import BKTree, BucketTree, fingerprint_hashes, link_classes, majority, near_duplicates, one_of_each, similar_documents
+from kinquery.llm.shingle_sets import SetLinks, fits, must_share, prefix_length, similar_documents
+from kinquery.llm.simhash import BKTree, BucketTree, fingerprint_hashes, link_classes, majority, near_duplicates, one_of_each
 
 
 def slow_print(text):
@@ -159,10 +160,9 @@ def test_similar_sets_against_brute_force(spark):
                 a, b = root(i), root(j)
                 up[max(a, b)] = min(a, b)
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n int").repartition(3)
-    for hot in (1000, 8):
-        got = {r.doc_id: r.component_id for r in similar_documents(docs, hot=hot).collect()}
-        wrong = sum(got[i] != root(i) for i in range(len(texts)))
-        assert wrong <= (0 if hot == 1000 else 2), wrong
+    for how in ({}, {"cold": 3, "hot": 8}, {"cold": 2, "hot": 3, "ordered": 0}, {"cold": 64, "ordered": 3}):
+        got = {r.doc_id: r.component_id for r in similar_documents(docs, **how).collect()}
+        assert [i for i in range(len(texts)) if got[i] != root(i)] == [], how
     kept = one_of_each(docs, similarity=0.8)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} <= {root(i) for i in range(len(texts))}
     assert similar_documents(docs.limit(0)).count() == 0 and one_of_each(docs.limit(0), similarity=0.8).count() == 0
@@ -223,8 +223,8 @@ def test_hot_shards_lose_no_pair(spark):
     for n in (15, 20, 30, 60, 100, 160) * 4:
         base = [f"w{rnd.randint(0, 10**6)}" for _ in range(n)]
         texts += [passage + " " + " ".join(base), passage + " " + " ".join(base[: n * 9 // 10]), passage + " " + " ".join([*base[: n // 2], "other", *base[n // 2 + 1 :]])]
-    for hot in (2, 8):
-        assert wrong_groups(spark, texts, hot=hot) == 0
+    for how in ({"cold": 2, "hot": 2, "ordered": 0}, {"cold": 4, "hot": 8}, {"cold": 8, "hot": 8, "ordered": 20}):
+        assert wrong_groups(spark, texts, **how) == 0
 
 
 def test_pairs_of_one_common_key_that_is_hot_are_linked(spark):
@@ -235,4 +235,28 @@ def test_pairs_of_one_common_key_that_is_hot_are_linked(spark):
         w = [f"w{rnd.randint(0, 10**6)}" for _ in range(49)]
         pair = [" ".join(w[:40]), " ".join(w)]
         texts += pair if len(least(pair[0]) & least(pair[1])) == 1 else []
-    assert wrong_groups(spark, texts, hot=1) == 0
+    assert wrong_groups(spark, texts, cold=1, hot=1) == 0
+
+
+def test_bounds_lose_no_pair():
+    """Prefixes, places and counts in buckets against all pairs of small sets."""
+    rnd = np.random.default_rng(15)
+    pool = rnd.integers(0, 2**63, 40, dtype=np.uint64)
+    sets = [np.sort(rnd.choice(pool, rnd.integers(1, 30), replace=False)) for _ in range(200)]
+    for s in (0.5, 0.8, 0.9):
+        for x in sets[:60]:
+            for y in sets:
+                both = len(np.intersect1d(x, y))
+                assert (both >= must_share(len(x), len(y), s)) == (both >= s * (len(x) + len(y) - both) - 1e-9)
+                if both >= must_share(len(x), len(y), s):
+                    first = np.intersect1d(x, y)[0]
+                    i, j = int(np.searchsorted(x, first)), int(np.searchsorted(y, first))
+                    assert i < prefix_length(len(x), s) and j < prefix_length(len(y), s) and fits(len(x), i, len(y), j, s)
+        links = SetLinks(sets, [0] * len(sets), list(range(len(sets))), s).links()
+        assert all(a > b for a, b in links)
+
+
+def test_pipeline_links_null_ids_to_nothing(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (2, "a b c d e f"), (2, "x"), (2, "y"), (7, None), (8, "")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text or "") for r in one_of_each(docs, similarity=0.8).collect())[:1] == [(0, "a b c d e f")]
+    assert sorted(r.doc_id or 0 for r in one_of_each(docs, similarity=0.8).collect()) == [0, 2, 7]
