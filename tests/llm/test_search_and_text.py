@@ -191,6 +191,53 @@ def test_shards_are_even_and_keep_groups(spark):
     assert balanced_shards(docs.limit(0)).count() == 0
     few = balanced_shards(docs.limit(3)).collect()
     assert len({r.shard for r in few}) == 3
+    # the result is a frame like any other
+    result = balanced_shards(docs)
+    want = sorted(map(str, result.collect()))
+    assert sorted(map(str, result.coalesce(1).collect())) == sorted(map(str, result.repartition(5).collect())) == want
+    both = result.limit(0).unionByName(result.where("shard = 3")).unionByName(result.where("shard <> 3"))
+    assert sorted(map(str, both.collect())) == want and result.count() == len(want)
+    assert result.join(result.select("shard", "slot"), ["shard", "slot"]).count() == len(want)
+
+
+def shards_of(spark, texts):
+    from kinquery.llm.sharding import balanced_shards, cut_links
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    result = balanced_shards(docs)
+    out = {r.doc_id: r.shard for r in result.collect()}
+    sizes = [list(out.values()).count(s) for s in range(8)]
+    assert len(out) == len(texts) and max(sizes) - min(sizes) <= 1
+    return out, cut_links(result).first()
+
+
+def test_shards_full_of_pairs_swap_them(spark):
+    texts = [f"pair {i // 2}" for i in range(4000)]
+    _, (linked, cut) = shards_of(spark, texts)
+    assert linked == 4000 and cut <= 80  # a random start cuts 1750
+
+
+def test_shards_keep_what_fits_and_cut_the_rest_into_few(spark):
+    texts = [f"alone {i}" for i in range(3000)] + ["nearly a shard"] * 550 + ["a third"] * 1600 + [f"three {i // 3}" for i in range(300)]
+    out, (linked, cut) = shards_of(spark, texts)
+    assert len({out[i] for i in range(3000, 3550)}) == 1 and len({out[i] for i in range(3550, 5150)}) <= 4
+    assert linked == 2450 and cut <= 1200  # the third needs three shards
+
+
+def test_grants_keep_quotas():
+    from kinquery.llm.sharding import grant
+
+    rnd = random.Random(6)
+    for _ in range(200):
+        room = [rnd.randint(-5, 20) for _ in range(4)]
+        asked = [(rnd.random() < 0.2, rnd.randint(0, 9), rnd.randrange(4), rnd.randrange(4), rnd.randint(1, 30)) for _ in range(40)]
+        net = list(room)
+        granted = set(grant(asked, room))
+        for evicted, bucket, to, start, rows in asked:
+            if (to, bucket, evicted) in granted and to != start:
+                net[to] -= rows
+                net[start] += rows
+        assert all(n >= min(0, r) for n, r in zip(net, room, strict=True))
 
 
 # op9: licences
