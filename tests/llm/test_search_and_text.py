@@ -1,5 +1,6 @@
 """op2, op5, op6, op7, op9, op10 against brute force, and their edge cases."""
 
+import math
 import random
 import re
 import zlib
@@ -57,27 +58,36 @@ def test_boilerplate_by_repetition(spark):
 # op5: decontamination
 
 
-def leaks_by_hand(texts, items, threshold=0.5, overlap=0.8):
-    from kinquery.llm.decontaminate import ItemIndex, words_of
-
-    index = ItemIndex(items, threshold)
-    out = set()
+def leaks_by_hand(texts, items, threshold=0.5, overlap=0.8, k1=1.2, b=0.75):
+    """(doc, item): score, with plain dictionaries and sets of word tuples."""
+    word = lambda t: re.findall(r"[^\W_]+", t.lower())
+    bags, parts = {}, {}
+    for i, text in items:
+        lines = [w for w in map(word, text.split("\n")) if w]
+        if lines:
+            question, answer = lines[0], sum(lines[1:], [])
+            parts[i] = [question, answer] if min(len(question), len(answer)) >= 5 else [question + answer]
+            bags[i] = question + answer
+    mean, longest = sum(map(len, bags.values())) / len(bags), max(map(len, bags.values()))
+    df = {}
+    for bag in bags.values():
+        for w in set(bag):
+            df[w] = df.get(w, 0) + 1
+    weights = {}
+    for i, bag in bags.items():
+        w = {x: math.log(1 + (len(bags) - df[x] + 0.5) / (df[x] + 0.5)) * bag.count(x) * (k1 + 1) / (bag.count(x) + k1 * (1 - b + b * len(bag) / mean)) for x in set(bag)}
+        weights[i] = {x: v / sum(w.values()) for x, v in w.items()}
+    out = {}
     for d, text in texts:
-        words = words_of(text)
-        n = index.longest
-        passages = [set(words[i : i + 2 * n]) for i in range(0, max(1, len(words)), n)]
-        for k, item in enumerate(index.ids):
-            w = index._weights(k)
-            if max(sum(v for t, v in w.items() if t in p) for p in passages) < threshold:
-                continue
-            ok = True
-            for part in index.parts[k]:
-                if part:
-                    m = len(next(iter(part)))
-                    have = {tuple(words[j : j + m]) for j in range(len(words) - m + 1)}
-                    ok &= len(part & have) / len(part) >= overlap
-            if ok:
-                out.add((d, item))
+        words = word(text)
+        passages = [set(words[i : i + 2 * longest]) for i in range(0, max(1, len(words)), longest)]
+        for i, w in weights.items():
+            score = max(sum(v for x, v in w.items() if x in p) for p in passages)
+            if score >= threshold:
+                runs = lambda ws, n: {tuple(ws[j : j + n]) for j in range(len(ws) - n + 1)}
+                n = min(5, len(parts[i][0]))
+                if all(len(runs(p, n) & runs(words, n)) >= overlap * len(runs(p, n)) for p in parts[i]):
+                    out[d, i] = score
     return out
 
 
@@ -102,9 +112,19 @@ def test_leaks(spark):
     bench = spark.createDataFrame([*items, (None, "no id here at all"), (80, None)], "item_id long, text string")
     want = leaks_by_hand(docs, items)
     got = find_leaks(frame, bench).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) and len(want) > 15
-    several = find_leaks(frame, bench, index_bytes=700)
-    assert {r.doc_id for r in several.collect()} >= {d for d, _ in want if d % 4 == 0}
+    assert {(r.doc_id, r.item_id): round(r.score, 9) for r in got} == {k: round(v, 9) for k, v in want.items()} and len(got) == len(want) > 15
+    for chunk in (4000, 700, 200):
+        assert sorted(map(tuple, find_leaks(frame, bench, index_bytes=chunk).collect())) == sorted(map(tuple, got))
+    # partial copies about the threshold, however items are dealt
+    partial = []
+    for d in range(150):
+        words = items[d % 40][1].split()
+        partial.append((d, " ".join(words[: max(1, len(words) * rnd.randint(70, 100) // 100)])))
+    some = spark.createDataFrame(partial, "doc_id long, text string")
+    by_hand = leaks_by_hand(partial, items, threshold=0.85)
+    for chunk in (1 << 20, 700):
+        rows = find_leaks(some, bench, threshold=0.85, index_bytes=chunk).collect()
+        assert {(r.doc_id, r.item_id): round(r.score, 9) for r in rows} == {k: round(v, 9) for k, v in by_hand.items()}
     left = without_leaks(frame, bench)
     dirty = {d for d, _ in want}
     assert sorted(r.doc_id or -1 for r in left.collect()) == sorted(d for d, _ in [*docs, (600, None)] if d not in dirty) and left.columns == frame.columns
