@@ -333,9 +333,37 @@ def test_bounds_prune(spark):
     rng = np.random.default_rng(6)
     base = np.repeat(rng.normal(0, 40, (40, 1, 16)), 60, axis=1).reshape(2400, 16).repeat(4, axis=1) + rng.normal(0, 2, (2400, 64))
     x = np.floor(base).astype(np.int64)
-    s = BlockSearch(np.arange(50), x[:50], 5)
+    s = BlockSearch(np.arange(50), x[:50], 5, 1)
     s.feed(np.arange(2400), x)
     assert s.pairs_exact < 0.25 * 50 * 2400
     score = x[:50] @ x.T
     for i in range(50):
         assert [(-a, b) for a, b in s.best[i]] == [(v, j) for v, j in sorted(((int(score[i, j]), j) for j in range(2400) if j != i), key=lambda p: (-p[0], p[1]))[:5]]
+
+
+def test_top_k_is_exact_in_integers_of_any_size(spark):
+    from kinquery.llm.vector_topk import exact_top_k
+
+    rnd = np.random.default_rng(9)
+    for size in (2.0**21, 2.0**26, 2.0**29, 3e7 * 1e6, 1e40, 1e300):
+        x = rnd.normal(size=(60, 3)) * size
+        x[7] = x[3]
+        x[11] = -x[3]
+        x[20:30] = rnd.normal(size=(10, 3))
+        rows = [(i, v) for i, v in enumerate(x.tolist())]
+        whole = [[(n * 256) // d for n, d in map(float.as_integer_ratio, v)] for _, v in rows]
+        got = {}
+        for r in exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 10 == 0).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        for q in range(0, 60, 10):
+            best = sorted((-sum(a * b for a, b in zip(whole[q], whole[c], strict=True)), c) for c in range(60) if c != q)[:5]
+            assert sorted(got[q]) == [(k + 1, c, max(-(2**63 - 1), min(2**63 - 1, -s))) for k, (s, c) in enumerate(best)], (size, q)
+
+
+def test_top_k_over_many_blocks(spark):
+    from kinquery.llm.vector_topk import exact_top_k
+
+    rnd = np.random.default_rng(10)
+    docs = spark.createDataFrame([(i, v) for i, v in enumerate(rnd.normal(size=(200, 8)).tolist())], "vec_id long, embedding array<double>")
+    one, many = (sorted(map(tuple, exact_top_k(docs, F.col("vec_id") % 4 == 0, block_bytes=n).collect())) for n in (1 << 20, 160))
+    assert one == many and len(one) == 250
