@@ -27,7 +27,7 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     from kinquery.llm.html_main import main_text
 
-    return main_text(spread(table(spark, sf_dir, "pages")))
+    return main_text(spread(table(spark, sf_dir, "pages"))).select("page_id", "url", "text", "n_chars")
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +139,7 @@ ORACLES: dict[str, str] = {
                 replace(replace(replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', chr(34)), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'),
                 '\s+', ' ', 'g'))) AS parts FROM a),
         c AS (SELECT page_id, url, coalesce(array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10)), '') AS text FROM b)
-        SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars, CAST(0 AS BIGINT) AS boilerplate_tokens FROM c
+        SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM c
     """,
     "op9_licenses": _licence_sql(),
     "op10_vectors": """

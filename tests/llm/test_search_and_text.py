@@ -16,12 +16,19 @@ PAGE = """<html><head><title>x</title></head><body><header><h1>Site</h1></header
 
 
 def test_blocks_of_a_page():
-    from kinquery.llm.html_main import blocks_of, shown
+    from kinquery.llm.html_main import blocks_of, joined, marked, uncovered
 
-    assert shown(blocks_of(PAGE), [], 8) == ("Head & line\n\nOne two three\n\nFour <five> é x\n\na\n\nb", 0)
+    text = lambda page: joined(b, marked(b)) if marked(b := blocks_of(page)) is not None else uncovered(b, [], 8)[0]
+    assert text(PAGE) == "Head & line\n\nOne two three\n\nFour <five> é x\n\na\n\nb"
     assert blocks_of(None) == blocks_of("") == blocks_of("<script>x") == []
     assert [t for _, t in blocks_of("<p>a<div>b</p>c</div>d<br>e 1 < 2 <a href='x>y'>l</a>")] == ["a", "b", "c", "d e 1 < 2 l"]
-    assert shown(blocks_of("<body><div class='has-sidebar'><p>kept</p></div><div class=sidebar>no</div>"), [], 8)[0] == "kept"
+    assert text("<body><div class='has-sidebar'><p>kept</p></div><div class=sidebar>no</div>") == "kept"
+    for wrap in ("form id=aspnetForm", "div class=content-with-sidebar", "div class=sidebar-layout", "div id=page-header"):
+        tag = wrap.split()[0]
+        assert text(f"<{wrap}><nav>m</nav><article><header>H</header><p>kept</p><form>f</form></article><p>not</p></{tag}><footer>f</footer>") == "H\n\nkept"
+        assert text(f"<{wrap}><article>teaser</article></{tag}><article>kept</article>") == "kept"
+    for wrap in ("nav", "aside", "div class=sidebar", "div class=comments", "ol class=comment-list", "div hidden"):
+        assert text(f"<{wrap}><article>not</article></{wrap.split()[0]}>") == ""
 
 
 def test_suffix_array_orders_and_counts():
