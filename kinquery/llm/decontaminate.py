@@ -270,7 +270,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     The decision is one of the text alone, so it is joined back by the text's 64-bit hash, which
     is the same whenever a lost part is computed again. Null texts and null ids stay.
     """
-    hashed = F.xxhash64("text")
-    found = find_leaks(docs.select(hashed.alias("__text"), "text"), benchmark, key="__text", **how)
-    bad = checkpoint(found.select(F.col("doc_id").alias("__text")).distinct())
-    return docs.withColumn("__text", hashed).join(bad, "__text", "left_anti").select(docs.columns)
+    hashed, free = F.xxhash64("text"), "_" * (1 + max(map(len, docs.columns)))
+    found = find_leaks(docs.select(hashed.alias("h"), "text"), benchmark, key="h", **how)
+    bad = checkpoint(found.select(F.col("doc_id").alias(free)).distinct())
+    return docs.withColumn(free, hashed).join(bad, free, "left_anti").select(docs.columns)

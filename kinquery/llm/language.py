@@ -2,7 +2,9 @@
 
 A text is lower-cased, every run of non-letters becomes one space, and n-grams of one to three
 characters are hashed into ``buckets``. Learning adds up counts by language and bucket; what it
-returns has one row of buckets a language, so its size is bounded by ``max_langs`` and broadcast.
+returns has one row of buckets a language and is broadcast. Over ``most_cells`` / ``buckets``
+languages (256) buckets are halved until the matrix has ``most_cells`` cells or fewer (256 buckets at least), which bounds it
+at 64 MB up to 65,536 languages.
 Prediction sums the log-probabilities of a batch's n-grams in numpy, a run of positions a text.
 
 Learning takes at most about ``per_lang`` documents a language (all, where there are fewer), picked
@@ -103,17 +105,18 @@ class LanguageModel:
         return [self.langs[b] if ok else UND for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)], np.where(lettered, post, 0.0)
 
 
-def learn(docs: DataFrame, usable: Column, buckets: int = 1 << 16, per_lang: int = 10_000, alpha: float = 0.5, max_langs: int = 256) -> LanguageModel:
+def learn(docs: DataFrame, usable: Column, buckets: int = 1 << 16, per_lang: int = 10_000, alpha: float = 0.5, most_cells: int = 1 << 24) -> LanguageModel:
     """Learn from text and lang of the rows where ``usable`` holds."""
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("string").alias("key"), "lang", "text")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(max_langs + 1).collect()}
-    if len(sizes) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(sizes)
+    while buckets > 256 and len(langs) * buckets > most_cells:
+        buckets //= 2
     if not langs:
         return LanguageModel([], np.zeros((0, buckets)), np.zeros(0), buckets)
-    share = F.element_at(F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, per_lang / sizes[k])))), F.col("lang"))
-    picked = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1 << 20)) < share * F.lit(1 << 20)).select("lang", "text")
+    large = {k: per_lang / n for k, n in sizes.items() if n > per_lang}  # a few at most
+    share = F.element_at(F.create_map(*(F.lit(x) for k, s in large.items() for x in (k, s))), F.col("lang")) if large else F.lit(1.0)
+    picked = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1 << 20)) < F.coalesce(share, F.lit(1.0)) * F.lit(1 << 20)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(langs), buckets), np.int64)
@@ -139,9 +142,11 @@ def learn(docs: DataFrame, usable: Column, buckets: int = 1 << 16, per_lang: int
 
 
 def predict(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """All columns of ``docs``, and the language predicted from ``text`` with its score."""
-    if clash := set(names) & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are there already")
+    """All columns of ``docs``, and the language predicted from ``text`` with its score.
+
+    Columns that have one of ``names`` already are replaced.
+    """
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     from pyspark.sql import types as T
 

@@ -341,12 +341,13 @@ def _lists(parts: list[bytes]) -> pa.Array:
 def encode_documents(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """All columns of ``docs``, and ``ids`` array<int>; with ``decoded`` also the text decoded from the ids.
 
-    Decoding in the same pass saves a second Python worker a task. Columns of those names must not
-    be there yet.
+    Decoding in the same pass saves a second Python worker a task. Columns that have one of those
+    names already are replaced.
     """
     added = [ids, *([decoded] if decoded else [])]
-    if clash := set(added) & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are there already")
+    if text in added:
+        raise ValueError(f"{text} can't be both read and added")
+    docs = docs.drop(*added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -363,9 +364,10 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text", ids:
 
 
 def decode_documents(encoded: DataFrame, model_file: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """All columns, and the text of the ``ids`` (null: empty)."""
-    if text in encoded.columns:
-        raise ValueError(f"there is a column {text} already")
+    """All columns, and the text of the ``ids`` (null: empty); a column of that name is replaced."""
+    if text == ids:
+        raise ValueError(f"{text} can't be both read and added")
+    encoded = encoded.drop(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

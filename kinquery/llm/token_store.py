@@ -56,7 +56,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, s
         if keys:
             yield flush()
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id, or without one, are told apart by their text's hash, so they don't all meet in one task
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    dealt = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     dealt.mapInArrow(run, SEGMENTS).write.option("compression", "none").parquet(path)
 
 

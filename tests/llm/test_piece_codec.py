@@ -68,5 +68,8 @@ def test_frames(spark, both):
     assert sorted(r.decoded for r in again) == sorted(t or "" for _, t, _ in rows)
     assert decode_documents(spark.createDataFrame([(None,)], "ids array<int>"), MODEL).collect()[0].decoded == ""
     assert encode_documents(docs.limit(0), MODEL).count() == 0
+    clash = encode_documents(docs.withColumnRenamed("lang", "ids"), MODEL)
+    assert clash.columns == ["doc_id", "text", "ids"] and sorted(map(len, (r.ids for r in clash.collect()))) == sorted(len(r.ids) for r in got)
+    assert decode_documents(out.withColumnRenamed("lang", "decoded"), MODEL).columns == ["doc_id", "text", "ids", "back", "decoded"]
     with pytest.raises(ValueError):
-        encode_documents(docs.withColumnRenamed("lang", "ids"), MODEL)
+        encode_documents(docs, MODEL, ids="text")

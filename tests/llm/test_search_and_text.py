@@ -173,6 +173,52 @@ def test_language_is_held_out_and_right(spark):
     assert predict(docs.limit(0).drop("score"), model).count() == 0
 
 
+def test_naive_bayes_against_dictionaries(spark):
+    """The learned model and its scores against sums over dictionaries of n-grams, their buckets aside."""
+    from kinquery.llm.language import features, learn, predict
+
+    rows = sample_languages(150, 2) + [(900, "The  OF--and", "en"), (901, "é è", "fr"), (902, "x", "xx"), (903, None, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    buckets, alpha = 1 << 12, 0.5
+
+    def grams(text):
+        cleaned = " " + re.sub(r"[^a-zà-ÿ]+", " ", text.lower())
+        cleaned = " " + cleaned.lstrip(" ") if cleaned.strip() else " "
+        return [cleaned[max(0, i - n + 1) : i + 1] for i in range(len(cleaned)) for n in (1, 2, 3)]
+
+    def hashed(text):
+        found, bounds = features([text], buckets)
+        return np.concatenate([g[: bounds[1]] for g in found]).tolist()
+
+    # as many distinct n-grams by hand as buckets, where the hash is wide
+    wide = [g[: b[1]] for g, b in (features([rows[3][1]], 1 << 23),) for g in g]
+    by_order = [{x[-n:].rjust(n) for x in grams(rows[3][1])} for n in (1, 2, 3)]
+    assert len(set(wide[0].tolist())) == len({x for x in by_order[0]})
+    counts, docs_of = {}, {}
+    for _, text, lang in rows:
+        if text is not None:
+            docs_of[lang] = docs_of.get(lang, 0) + 1
+            for b in hashed(text):
+                counts.setdefault(lang, {})[b] = counts.setdefault(lang, {}).get(b, 0) + 1
+    total = sum(docs_of.values())
+
+    def by_hand(text):
+        scores = {}
+        for lang, n in docs_of.items():
+            whole = sum(counts[lang].values()) + alpha * buckets
+            scores[lang] = math.log(n / total) + sum(math.log((counts[lang].get(b, 0) + alpha) / whole) for b in hashed(text))
+        best = min(scores, key=lambda k: (-scores[k], k))
+        return best, 1 / sum(math.exp(v - scores[best]) for v in scores.values())
+
+    for r in predict(docs.drop("lang"), learn(docs, F.lit(True), buckets)).collect():
+        if r.text:
+            lang, score = by_hand(r.text)
+            assert r.lang_pred == lang and abs(r.score - score) < 1e-3
+    many = spark.createDataFrame([(i, f"word{i} ab", f"l{i:04d}") for i in range(600)], "doc_id long, text string, lang string")
+    model = learn(many, F.lit(True), most_cells=1 << 20)
+    assert len(model.langs) == 600 and model.buckets * 600 <= 1 << 20 and predict(many, model).count() == 600
+
+
 def test_features_by_hand():
     from kinquery.llm.language import features
 
