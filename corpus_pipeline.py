@@ -15,16 +15,17 @@ from kinquery.llm.language import UND, held_out, learn, predict
 from kinquery.llm.piece_codec import encode_documents
 from kinquery.llm.registry import tokenizer_path
 from kinquery.llm.simhash import one_of_each
-from kinquery.runtime import stored, table
+from kinquery.runtime import drop_scratch, scratch_mark, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: those without a text or without any letter go.
 
-    The names of the two columns added for the decision are freed again; a table that has them
-    already keeps its own.
+    The two columns added for the decision have names that no column of the table has, and go again.
+    A table with a column of such a name keeps its own.
     """
-    names = ("__lang_pred", "__lang_score")
+    free = "_" * (1 + max(map(len, docs.columns)))
+    names = (f"{free}lang", f"{free}score")
     model = learn(docs, ~held_out(F.col("doc_id")))
     return predict(docs, model, names).where(F.col(names[0]) != UND).select(docs.columns)
 
@@ -56,7 +57,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), scratch_mark()
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_scratch(spark, mark, (docs,))  # what the stage read and wrote on its way
     return docs
