@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinquery.functions import columns as C
+from kinquery.runtime import stored
 
 BROADCAST_BYTES = 8 << 20
 
@@ -43,6 +44,8 @@ class Bm25Index:
             from pyspark import StorageLevel
 
             self.postings.persist(StorageLevel.MEMORY_AND_DISK)
+        else:
+            self.postings = stored(self.postings, "postings")
 
     def search(self, queries: DataFrame, k: int = 4, query: str = "query_id", query_text: str = "query") -> DataFrame:
         """query, doc, score, rank. Terms count once a query; ties go to the smaller doc."""

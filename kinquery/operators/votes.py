@@ -24,13 +24,17 @@ def majority(votes: DataFrame, by: list[str], pred: str = "pred", sep: str = ","
 def usage_sum(usage: DataFrame, by: list[str], column: str = "usage") -> DataFrame:
     """by, path, total: leaves of JSON usage objects added up by dotted path; null and missing count 0.
 
-    The paths are those of each group's objects; a group of empty objects has no rows.
+    The paths are those of each group's objects, however deep; a group of empty objects has no
+    rows. How deep they are is counted first (brackets inside quotes count too, which does no harm).
     """
-    return usage.select(*by, F.explode(_leaves(F.col(column))).alias("l")).groupBy(*by, F.col("l.path").alias("path")).agg(F.sum(F.coalesce("l.value", F.lit(0.0))).alias("total"))
+    step = lambda s, c: F.struct((s["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("now"), F.greatest(s["most"], s["now"] + F.when(c == "{", 1).otherwise(0)).alias("most"))
+    braces = F.split(F.regexp_replace(F.coalesce(F.col(column), F.lit("")), "[^{}]", ""), "")
+    depth = usage.agg(F.max(F.aggregate(braces, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step)["most"])).first()[0] or 1
+    return usage.select(*by, F.explode(_leaves(F.col(column), depth)).alias("l")).groupBy(*by, F.col("l.path").alias("path")).agg(F.sum(F.coalesce("l.value", F.lit(0.0))).alias("total"))
 
 
-def _leaves(text: Column, depth: int = 4) -> Column:
-    """(path, value) of the leaves of a JSON object, ``depth`` levels down at most."""
+def _leaves(text: Column, depth: int) -> Column:
+    """(path, value) of the leaves of a JSON object of at most ``depth`` levels."""
     kind = "array<struct<path:string,value:double>>"
     none = F.array().cast(kind)
     entries = lambda t: F.coalesce(F.map_entries(F.from_json(t, "map<string,string>")), F.array().cast("array<struct<key:string,value:string>>"))

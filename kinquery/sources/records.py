@@ -29,15 +29,15 @@ def _split_of() -> Column:
     return F.url_decode(F.element_at(F.split(F.input_file_name(), "/"), -2))
 
 
-def read_corpus(spark: SparkSession, *paths: str) -> DataFrame:
-    """title, article, facts of JSON arrays, with the folder of each file as its split."""
-    return spark.read.schema(CORPUS).option("multiLine", True).json(list(paths)).withColumn("split", _split_of())
+def read_corpus(spark: SparkSession, *paths: str, lines: bool = False) -> DataFrame:
+    """title, article, facts of JSON arrays (or lines), with the folder of each file as its split."""
+    return spark.read.schema(CORPUS).option("multiLine", not lines).json(list(paths)).withColumn("split", _split_of())
 
 
-def read_questions(spark: SparkSession, *paths: str) -> DataFrame:
-    """Question records; the older name of the traces' column is taken as well."""
+def read_questions(spark: SparkSession, *paths: str, lines: bool = False) -> DataFrame:
+    """Question records of JSON arrays (or lines); the older name of the traces' column is taken as well."""
     old = QUESTIONS.replace("solution_traces string", "solution_traces string, intermediate_answers string")
-    df = spark.read.schema(old).option("multiLine", True).json(list(paths))
+    df = spark.read.schema(old).option("multiLine", not lines).json(list(paths))
     return df.withColumn("solution_traces", F.coalesce("solution_traces", "intermediate_answers")).drop("intermediate_answers").withColumn("split", _split_of())
 
 
@@ -76,7 +76,7 @@ def load_split(spark: SparkSession, path: str, split: str, exclude_aggregation_q
     qa = read_questions(spark, f"{base}/questions*.json")
     if depth is not None:
         known = spark.createDataFrame([(t.question,) for t in templates(depth)], "template array<string>")
-        qa = qa.join(F.broadcast(known), "template", "left_semi")
+        qa = qa.join(known, "template", "left_semi")
     if exclude_aggregation_questions:
         qa = without_aggregations(qa)
     return {"text_corpus": read_corpus(spark, f"{base}/articles*.json"), "qa_pairs": qa, "database": read_database_text(spark, f"{base}/facts.pl")}
@@ -120,6 +120,12 @@ def read_hobbies(spark: SparkSession, path: str) -> DataFrame:
     return df.groupBy(F.col("Type").alias("category")).agg(F.array_sort(F.collect_list(F.lower("`Hobby-name`"))).alias("hobbies"))
 
 
+def read_pool(spark: SparkSession, path: str) -> list[str]:
+    """A pool of names or jobs, one a line; empty lines and what follows # don't count."""
+    text = C.strip(F.split("value", "#")[0])
+    return [r[0] for r in spark.read.text(path).select(text.alias("v")).where("v <> ''").collect()]  # a pool is a settings file
+
+
 def read_limits(spark: SparkSession, path: str) -> DataFrame:
     """server, model, tier, rpm, tpm of an indented file: server, then model, then usage_tier=k, then RPM and TPM."""
     stack: list[tuple[int, str]] = []

@@ -119,11 +119,11 @@ def _joined(c: str = "answer"):
 
 
 def _asked(spark: SparkSession, sf_dir: str, shape: str) -> DataFrame:
-    """(qid, P_1): every twentieth person is asked about, as a question set."""
-    return table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.concat(F.lit(shape), F.col("c_custkey").cast("string")).alias("qid"), F.col("c_custkey").cast("string").alias("P_1"))
+    """(qid, P_1): every person is asked about, as a question set."""
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit(shape), F.col("c_custkey").cast("string")).alias("qid"), F.col("c_custkey").cast("string").alias("P_1"))
 
 
-_ASKED = "asked AS (SELECT CAST(c_custkey AS VARCHAR) AS p FROM customer WHERE c_custkey % 20 = 0)"
+_ASKED = "asked AS (SELECT CAST(c_custkey AS VARCHAR) AS p FROM customer)"
 _LIST = "string_agg(DISTINCT {0}, '|' ORDER BY {0})"
 
 
@@ -247,7 +247,7 @@ def _sentence_sql() -> str:
         else:
             src = f"SELECT DISTINCT x, y FROM {name}"
         parts.append(f"SELECT x, '{name}' AS pred, count(*) AS n, string_agg(y, ', ' ORDER BY CAST(regexp_extract(y, '^[0-9]+') AS VARCHAR), y) AS ys, '{one}' AS one, '{more or one}' AS more FROM ({src}) GROUP BY x")
-    return f"{with_rules(*(s for s in SENTENCES if s in RULES))} SELECT x AS name, pred, CAST(n AS BIGINT) AS n, length(replace(CASE WHEN n > 1 THEN more ELSE one END, '<subject>', x) || ' ' || ys || '.') AS sentence_length FROM ({' UNION ALL '.join(parts)})"
+    return f"{with_rules(*(s for s in SENTENCES if s in RULES))} SELECT x AS name, pred, CAST(n AS BIGINT) AS n, replace(CASE WHEN n > 1 THEN more ELSE one END, '<subject>', x) AS head, CAST(list_sort(string_split(ys, ', ')) AS VARCHAR) AS targets FROM ({' UNION ALL '.join(parts)})"
 
 
 @_query("article_sentences", _sentence_sql())
@@ -256,7 +256,9 @@ def article_sentences(spark, sf_dir):
 
     rows = sentences(facts(spark, sf_dir))
     pred = F.get(F.array(*map(F.lit, SENTENCES)), F.col("place"))
-    return rows.select("name", pred.alias("pred"), F.size("facts").cast("long").alias("n"), F.length("sentence").cast("long").alias("sentence_length"))
+    head = F.regexp_extract("sentence", r"^(.*? (?:is|are)) ", 1)
+    said = F.array_sort(F.split(F.regexp_replace("sentence", r"^.*? (?:is|are) |\.$", ""), ", "))
+    return rows.select("name", pred.alias("pred"), F.size("facts").cast("long").alias("n"), head.alias("head"), F.concat(F.lit("["), F.array_join(said, ", "), F.lit("]")).alias("targets"))
 
 
 @_query("article_full", f"""{with_rules('brother', 'friend')}, o AS (
@@ -326,9 +328,8 @@ def gen_tree(spark, sf_dir):
 def gen_friends(spark, sf_dir):
     from kinquery.operators.generation import friendships
 
-    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), F.col("c_name").alias("name"))
-    n = people.count()
-    return friendships(people.where(F.col("i") < n), n, 3.0)
+    people = table(spark, sf_dir, "customer").select((F.col("c_custkey") - 1).alias("i"), F.col("c_name").alias("name"))
+    return friendships(people, people.count(), 3.0)
 
 
 @_rows_only("gen_attributes")

@@ -110,10 +110,15 @@ def leaderboard(spark, sf_dir):
     return wide.select("_size", "_model", *(F.round(100 * F.col(m), 4).alias(m) for m in ("cot", "react")))
 
 
-@query("leaderboard_cells", f"""{_SCORES} SELECT _size, _model, count(DISTINCT method) FILTER (method = 'cot') AS cot, count(DISTINCT method) FILTER (method = 'react') AS react FROM e WHERE _size IN (50, 500) AND _model IN ('model-0', 'model-4') GROUP BY ALL""")
+@query("leaderboard_cells", f"""{_SCORES}, a AS (SELECT _size, _model, method, _data_seed, _seed, avg(f1) AS f1 FROM e WHERE _size IN (50, 500) AND _model IN ('model-0', 'model-4') GROUP BY ALL),
+  b AS (SELECT _size, _model, method, _data_seed, avg(f1) AS f1 FROM a GROUP BY ALL), c AS (SELECT _size, _model, method, avg(f1) AS m, stddev_samp(f1) / sqrt(count(*)) AS s FROM b GROUP BY ALL)
+  SELECT _size, _model, method, CAST(round(m, 4) AS DOUBLE) AS mean, CAST(round(s, 4) AS DOUBLE) AS error FROM c""")
 def leaderboard_cells(spark, sf_dir):
+    """The numbers that stand in the cells, to a unit of their last place."""
     board = E.leaderboard(scores(spark, sf_dir), ["cot", "react"], [50, 500], ["MODEL-0", "model-4"])
-    return board.select("_size", "_model", *(F.coalesce(F.col(m).rlike(r"^\d+\.\d\d ± ").cast("long"), F.lit(0)).alias(m) for m in ("cot", "react")))
+    cells = board.unpivot(["_size", "_model"], ["cot", "react"], "method", "cell").where("cell is not null")
+    part = lambda i: F.round(F.split("cell", " ± ")[i].cast("double") / 100, 4)
+    return cells.select("_size", "_model", "method", part(0).alias("mean"), part(1).alias("error"))
 
 
 @query("out_of_context", f"{_SCORES} SELECT _size, method, CASE WHEN _size > 500 AND method = 'cot' THEN '--' ELSE CAST(count(*) AS VARCHAR) END AS cell FROM e WHERE _model = 'model-2' GROUP BY _size, method")
@@ -202,23 +207,23 @@ _TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+')
 
 
 @query("bm25_top4", f"""WITH d AS (SELECT doc_id, {_TOKENS.format('text')} AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
-  q AS (SELECT DISTINCT item_id, unnest({_TOKENS.format('text')}) AS t FROM benchmark WHERE item_id < 10), tf AS (SELECT doc_id, len(w) AS l, t, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS t FROM d) GROUP BY doc_id, l, t),
+  q AS (SELECT DISTINCT item_id, unnest({_TOKENS.format('text')}) AS t FROM benchmark), tf AS (SELECT doc_id, len(w) AS l, t, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS t FROM d) GROUP BY doc_id, l, t),
   df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
   r AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / mean))) AS score FROM q JOIN tf USING (t) JOIN df USING (t), s GROUP BY item_id, doc_id)
   SELECT item_id, doc_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM r) WHERE rank <= 4""")
 def bm25_top4(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").where("item_id < 10").select("item_id", F.col("text").alias("query"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
     return R.bm25(table(spark, sf_dir, "documents"), asked, 4, query="item_id").withColumn("score", F.round("score", 5))
 
 
 def _dense_sql(score: str, order: str) -> str:
-    return f"""WITH r AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, {score} AS score FROM embeddings q JOIN embeddings d ON q.vec_id < 5)
+    return f"""WITH r AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, {score} AS score FROM embeddings q JOIN embeddings d ON q.vec_id % 100 = 0)
   SELECT query_id, doc_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) {order}, doc_id) AS rank FROM r) WHERE rank <= 4"""
 
 
 def _vectors(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    return v, v.where("doc_id < 5").select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    return v, v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query_vector"))
 
 
 @query("dense_top4", _dense_sql("list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[]))", "DESC"))
@@ -244,12 +249,20 @@ def title_exact(spark, sf_dir):
     return R.by_title(_titled(spark, sf_dir), asked, query="item_id").select("item_id", "doc_id")
 
 
-@query("title_or_bm25", f"WITH {_TITLED}, q AS (SELECT item_id, 'Doc src' || (item_id % 20) || '-' || (item_id % 30) AS query FROM benchmark WHERE item_id < 30) SELECT item_id, CASE WHEN bool_or(lower(title) = lower(query)) THEN 'title' ELSE 'bm25' END AS how FROM q, d GROUP BY item_id")
+_ASKS = "q AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN text ELSE 'Doc src' || (item_id % 20) || '-' || (item_id % 30) END AS query FROM benchmark)"
+
+
+@query("title_or_bm25", f"""WITH {_TITLED}, {_ASKS}, t AS (SELECT item_id, min(doc_id) AS doc_id FROM q JOIN d ON lower(title) = lower(query) GROUP BY item_id),
+  w AS (SELECT doc_id, {_TOKENS.format('text')} AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w),
+  a AS (SELECT DISTINCT item_id, unnest({_TOKENS.format('query')}) AS t FROM q WHERE item_id NOT IN (SELECT item_id FROM t)), tf AS (SELECT doc_id, len(w) AS l, t, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS t FROM w) GROUP BY doc_id, l, t),
+  df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+  r AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / mean))) AS score FROM a JOIN tf USING (t) JOIN df USING (t), s GROUP BY item_id, doc_id)
+  SELECT item_id, doc_id, 'title' AS how, CAST(1 AS INTEGER) AS rank FROM t UNION ALL
+  SELECT item_id, doc_id, 'bm25', CAST(rank AS INTEGER) FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM r) WHERE rank <= 2""")
 def title_or_bm25(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").where("item_id < 30").select("item_id", F.concat(F.lit("Doc src"), F.col("item_id") % 20, F.lit("-"), F.col("item_id") % 30).alias("query"))
-    found = R.title_or_bm25(_titled(spark, sf_dir), asked.withColumn("query", F.col("query")), query="item_id")
-    hit = asked.select("item_id").join(found.groupBy("item_id").agg(F.max("how").alias("how")), "item_id", "left")
-    return hit.select("item_id", F.coalesce("how", F.lit("bm25")).alias("how"))
+    titles = F.concat(F.lit("Doc src"), F.col("item_id") % 20, F.lit("-"), F.col("item_id") % 30)
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(titles).alias("query"))
+    return R.title_or_bm25(_titled(spark, sf_dir), asked, query="item_id").select("item_id", "doc_id", "how", "rank")
 
 
 @query("ids_by_title", "SELECT source, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents GROUP BY 1")
@@ -263,9 +276,9 @@ def mean_count(spark, sf_dir):
     return E.mean_count(rows, ["_model"]).select("_model", F.col("count").alias("n"))
 
 
-@query("chunk_merge", "SELECT source AS title, length(string_agg(substr(text, 1, 20), chr(10) ORDER BY doc_id)) AS n, md5(string_agg(substr(text, 1, 20), chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY source")
+@query("chunk_merge", "SELECT source AS title, length(string_agg(text, chr(10) ORDER BY doc_id)) AS n, md5(string_agg(text, chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY source")
 def chunk_merge(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.substring("text", 1, 20).alias("body"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("body"))
     return R.merged_chunks(rows).select("title", F.length("body").cast("long").alias("n"), F.md5("body").alias("h"))
 
 
@@ -282,15 +295,15 @@ def ordinal_labels(spark, sf_dir):
 _SENT = "regexp_split_to_array(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?]) ', '\\1' || chr(1), 'g'), chr(1))"
 
 
-@query("keyword_lookup", f"WITH s AS (SELECT doc_id, unnest({_SENT}) AS sentence FROM documents) SELECT doc_id, count(*) AS n, CAST(sum(length(sentence)) AS BIGINT) AS chars FROM s WHERE contains(lower(sentence), 'licen') GROUP BY doc_id")
+@query("keyword_lookup", f"""WITH s AS (SELECT doc_id, {_SENT} AS s FROM documents), k AS (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM s)
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS n, s[i] AS sentence, array_to_string(s[greatest(i - 2, 1) : i + 2], ' ') AS context FROM k WHERE contains(lower(s[i]), 'licen')""")
 def keyword_lookup(spark, sf_dir):
-    found = R.keyword_lookup(table(spark, sf_dir, "documents"), "Licen")
-    return found.groupBy("doc_id").agg(F.max("n").cast("long").alias("n"), F.sum(F.length("sentence")).alias("chars"))
+    return R.keyword_lookup(table(spark, sf_dir, "documents"), "Licen")
 
 
-@query("evidence_join", "SELECT source, md5(string_agg(lang, chr(10) || '================' || chr(10) || chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY source")
+@query("evidence_join", "SELECT source, md5(string_agg(text, chr(10) || '================' || chr(10) || chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY source")
 def evidence_join(spark, sf_dir):
-    return R.evidence(table(spark, sf_dir, "documents"), ["source"], "doc_id", "lang").select("source", F.md5("evidence").alias("h"))
+    return R.evidence(table(spark, sf_dir, "documents"), ["source"], "doc_id", "text").select("source", F.md5("evidence").alias("h"))
 
 
 @query("relevant_articles", "SELECT r_regionkey AS id, string_agg(n_name, chr(10) || '================' || chr(10) || chr(10) ORDER BY n_nationkey DESC) AS evidence FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
@@ -306,18 +319,18 @@ def constant_evidence(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").crossJoin(F.broadcast(one)).select("item_id", F.concat("evidence", F.lit(": "), "text").alias("prompt"))
 
 
-@query("jsonl_export", "SELECT CAST(doc_id AS VARCHAR) AS id, length('\"' || doc_id || '\"' || chr(10) || text) AS n FROM documents")
+@query("jsonl_export", "SELECT CAST(doc_id AS VARCHAR) AS id, md5('\"' || doc_id || '\"' || chr(10) || text) AS contents FROM documents")
 def jsonl_export(spark, sf_dir):
     from kinquery.sources.records import passages
 
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("title"), F.col("text").alias("article"))
-    return passages(docs).select("id", F.length("contents").cast("long").alias("n"))
+    return passages(docs).select("id", F.md5("contents").alias("contents"))
 
 
-@query("passage_title_body", "SELECT conv_id, turn, lower(source) AS title, length(text) AS n FROM (SELECT conv_id, turn, 'Talk ' || role AS source, text FROM conversations)")
+@query("passage_title_body", "SELECT conv_id, turn, lower(source) AS title, text AS body FROM (SELECT conv_id, turn, 'Talk ' || role AS source, text FROM conversations)")
 def passage_title_body(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit('"Talk '), "role", F.lit('"\n'), "text").alias("contents"))
-    return rows.select("conv_id", "turn", C.title_of("contents").alias("title"), F.length(C.body_of("contents")).cast("long").alias("n"))
+    return rows.select("conv_id", "turn", C.title_of("contents").alias("title"), C.body_of("contents").alias("body"))
 
 
 # parsing
@@ -360,11 +373,6 @@ def retrieved_titles(spark, sf_dir):
     return rows.select(F.col("n_regionkey").alias("g"), F.array_join(C.retrieved_titles(message, "(BEGIN EVIDENCE)", "(END EVIDENCE)", "\n=====\n"), "|").alias("titles"))
 
 
-@query("page_titles", "SELECT page_id, regexp_extract(html, '<html lang=\"(\\w+)\"', 1) AS lang FROM pages")
-def page_titles(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r'<html lang="(\w+)"', 1).alias("lang"))
-
-
 @query("fill_question", "SELECT c_custkey, 'Who is the sister of ' || c_name || '?' AS question FROM customer")
 def fill_question(spark, sf_dir):
     tokens = F.array(*map(F.lit, ("Who is", "the", "<relation>_3", "of", "<name>_31", "?")))
@@ -407,9 +415,9 @@ def hist_equal_width(spark, sf_dir):
     return S.equal_width_histogram(table(spark, sf_dir, "orders"), "o_totalprice").select("bin", "n", F.round("density", 12).alias("density"))
 
 
-@query("dense_grid", "WITH s AS (SELECT n_nationkey AS a, n_regionkey AS b, 1.0::DOUBLE AS v FROM nation WHERE n_nationkey < 9) SELECT g.a, g.b, s.v FROM (SELECT x.a, y.b FROM (SELECT DISTINCT a FROM s) x, (SELECT DISTINCT b FROM s) y) g LEFT JOIN s ON s.a = g.a AND s.b = g.b")
+@query("dense_grid", "WITH s AS (SELECT n_nationkey AS a, n_regionkey AS b, 1.0::DOUBLE AS v FROM nation) SELECT g.a, g.b, s.v FROM (SELECT x.a, y.b FROM (SELECT DISTINCT a FROM s) x, (SELECT DISTINCT b FROM s) y) g LEFT JOIN s ON s.a = g.a AND s.b = g.b")
 def dense_grid(spark, sf_dir):
-    return S.dense_grid(table(spark, sf_dir, "nation").where("n_nationkey < 9").select(F.col("n_nationkey").alias("a"), F.col("n_regionkey").alias("b"), F.lit(1.0).alias("v")), "a", "b", "v")
+    return S.dense_grid(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"), F.col("n_regionkey").alias("b"), F.lit(1.0).alias("v")), "a", "b", "v")
 
 
 @query("padded_grid", "SELECT n_nationkey AS a, n_regionkey AS b, 1.0::DOUBLE AS v FROM nation UNION ALL SELECT CAST(x AS INTEGER), b, 0.0 FROM range(30, 41, 5) t(x), (SELECT DISTINCT n_regionkey AS b FROM nation)")
@@ -449,9 +457,16 @@ def seeds_per_size(spark, sf_dir):
 
 @query("union_scores", "SELECT 'a' AS method, o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'b', o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 0")
 def union_scores(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    part = lambda m, k: o.where(f"o_orderkey % {k} = 0").select("o_orderkey", "o_totalprice", F.lit(m).alias("method"))
-    return part("a", 2).unionByName(part("b", 3))
+    """Two methods' score files, written and read as one table."""
+    from kinquery.runtime import scratch_path
+    from kinquery.sources.records import read_scores, write_scores
+
+    o, paths = table(spark, sf_dir, "orders"), []
+    for method, k in (("a", 2), ("b", 3)):
+        paths.append(scratch_path(spark, f"scores-{method}"))
+        write_scores(o.where(f"o_orderkey % {k} = 0").select(F.lit(method).alias("method"), "o_orderkey", "o_totalprice"), paths[-1])
+    types = dict(o.dtypes)
+    return read_scores(spark, *paths).select("method", *(F.col(c).cast(types[c]).alias(c) for c in ("o_orderkey", "o_totalprice")))
 
 
 @query("predictions_parse", "SELECT CAST(c_custkey AS VARCHAR) AS id, 'model-x' AS _model, CAST(3 AS INTEGER) AS batch_in_name, CAST(c_custkey AS INTEGER) AS _seed, c_name AS pred, CAST(2 AS BIGINT) AS n_true, CAST(1 AS BIGINT) AS n_messages FROM customer")
