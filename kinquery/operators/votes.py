@@ -34,22 +34,17 @@ def usage_sum(usage: DataFrame, by: list[str], column: str = "usage") -> DataFra
 
 
 def _leaves(text: Column, depth: int) -> Column:
-    """(path, value) of the leaves of a JSON object of at most ``depth`` levels."""
-    kind = "array<struct<path:string,value:double>>"
-    none = F.array().cast(kind)
+    """(path, value) of the leaves of a JSON object of at most ``depth`` levels, opened level by level."""
     entries = lambda t: F.coalesce(F.map_entries(F.from_json(t, "map<string,string>")), F.array().cast("array<struct<key:string,value:string>>"))
 
-    def level(t: Column, prefix: Column, left: int) -> Column:
-        def leaf(e: Column) -> Column:
-            path = F.concat(prefix, e["key"])
-            one = F.array(F.struct(path.alias("path"), e["value"].try_cast("double").alias("value")))
-            if not left:
-                return one
-            return F.when(F.startswith(F.coalesce(e["value"], F.lit("")), F.lit("{")), level(e["value"], F.concat(path, F.lit(".")), left - 1)).otherwise(one)
+    def opened(x: Column) -> Column:
+        inner = F.transform(entries(x["value"]), lambda e: F.struct(F.concat_ws(".", x["path"], e["key"]).alias("path"), e["value"].alias("value")))
+        return F.when(F.startswith(F.coalesce(x["value"], F.lit("")), F.lit("{")), inner).otherwise(F.array(x))
 
-        return F.coalesce(F.flatten(F.transform(entries(t), leaf)), none)
-
-    return level(F.coalesce(text, F.lit("{}")), F.lit(""), depth - 1)
+    rows = F.array(F.struct(F.lit(None).cast("string").alias("path"), F.coalesce(text, F.lit("{}")).alias("value")))
+    for _ in range(depth):
+        rows = F.flatten(F.transform(rows, opened))
+    return F.transform(rows, lambda x: F.struct(x["path"].alias("path"), x["value"].try_cast("double").alias("value")))
 
 
 def with_fallback(first: DataFrame, second: DataFrame, key: str, prefix: str) -> DataFrame:

@@ -107,36 +107,66 @@ def run_prefixes(facts, goals: list[str]) -> list[tuple[str, list[dict] | None,
     return out
 
 
-def run_predicted(facts, preds: DataFrame, id: str = "id", query: str = "prolog_query", debug: bool = False, most: int = 10_000) -> DataFrame:
+def _shape(goals: list[str]) -> tuple[tuple[str, ...], list[str]]:
+    """The goals with their constants as variables, and the constants."""
+    given: list[str] = []
+    if not goals:
+        raise ValueError("an empty query")
+
+    def text(goal: Atom | CountDistinct) -> str:
+        if isinstance(goal, CountDistinct):
+            return f"aggregate_all(count, distinct({text(goal.atom)}), {goal.out.name})"
+        names = []
+        for a in goal.args:
+            if isinstance(a, Const):
+                given.append(a.value)
+            names.append(a.name if isinstance(a, Var) else f"Given__{len(given)}")
+        return f"{goal.predicate}({', '.join(names)})"
+
+    return tuple(map(text, parse_query(goals))), given
+
+
+def run_predicted(facts, preds: DataFrame, id: str = "id", query: str = "prolog_query", debug: bool = False) -> DataFrame:
     """id, pred, error, steps: written queries run against the facts.
 
     The query is the last line of the text; its answer is the distinct values of its target variable,
     in the order of their text, joined by commas. What can't be parsed or isn't known gives an error
-    and no answer. With ``debug`` steps has each prefix's bindings as JSON, up to the first that fails.
-    Each distinct query is a plan of its own, so at most ``most`` distinct ones are taken.
+    and no answer. Queries that differ in constants only run as one plan, whose bindings stay in the
+    cluster; the driver has the distinct texts. With ``debug`` steps has each prefix's bindings as
+    JSON, up to the first that fails, for each query by itself.
     """
     import json
 
     rows = preds.select(F.col(id), last_line(F.coalesce(F.col(query), F.lit(""))).alias("__query"))
-    asked = [r[0] for r in rows.select("__query").distinct().limit(most + 1).collect()]
-    if len(asked) > most:
-        raise ValueError(f"more than {most} distinct queries")
-    out = []
-    for text in asked:
+    failed: list[tuple[str, str]] = []
+    shapes: dict[tuple[tuple[str, ...], str | None], list[tuple[str, list[str]]]] = {}
+    steps: list[tuple[str, str]] = []
+    for (text,) in rows.select("__query").distinct().collect():
         try:
             goals = split_top(text)
-            target = target_variable(goals)
-            bound = evaluate(facts, goals)
-            values = sorted({str(r[0]) for r in bound.select(target).distinct().collect()}) if target else [str(bool(bound.count())).lower()]
-            pred, error = ",".join(values), None
-        except (ValueError, KeyError) as e:
-            goals, pred, error = [], None, str(e)
-        steps = None
+            texts, given = _shape(goals)
+            shapes.setdefault((texts, target_variable(goals)), []).append((text, given))
+        except ValueError as e:
+            failed.append((text, str(e)))
         if debug:
             try:
-                steps = json.dumps(run_prefixes(facts, split_top(text)))
+                steps.append((text, json.dumps(run_prefixes(facts, split_top(text)))))
             except ValueError as e:
-                steps = json.dumps([[text, None, str(e)]])
-        out.append((text, pred, error, steps))
-    done = facts.spark.createDataFrame(out, "__query string, pred string, error string, steps string")
+                steps.append((text, json.dumps([[text, None, str(e)]])))
+    done = None
+    for (texts, target), asked in shapes.items():
+        width = len(asked[0][1])
+        params = facts.spark.createDataFrame([(t, *c) for t, c in asked], ", ".join(["`__query` string", *(f"`Given__{i + 1}` string" for i in range(width))]))
+        try:
+            bound = evaluate(facts, list(texts), params)
+            found = answers(bound, target, ["__query"]) if target else bound.select("__query").distinct().withColumn("answer", F.array(F.lit("true")))
+        except (ValueError, KeyError) as e:
+            failed += [(t, str(e)) for t, _ in asked]
+            continue
+        none = "" if target else "false"
+        part = params.select("__query").join(found, "__query", "left").select("__query", F.coalesce(F.array_join("answer", ","), F.lit(none)).alias("pred"), F.lit(None).cast("string").alias("error"))
+        done = part if done is None else done.unionByName(part)
+    wrong = facts.spark.createDataFrame([(t, None, e) for t, e in failed], "`__query` string, pred string, error string")
+    done = wrong if done is None else done.unionByName(wrong)
+    done = done.join(facts.spark.createDataFrame(steps, "`__query` string, steps string"), "__query", "left")
     return rows.join(done, "__query", "left").select(id, "pred", "error", "steps")

@@ -31,6 +31,8 @@ class Config:
     skip_traces: bool = False
     article_format: str = "json"
     question_format: str = "json_by_type"
+    jobs: list[str] | None = None  # None: spelled by a rule
+    hobbies: dict[str, list[str]] | None = None
 
 
 @dataclass
@@ -74,7 +76,7 @@ def build(spark: SparkSession, config: Config | None = None, output: str | None
     """Generate a universe, and write it below ``output`` where that is given."""
     config, timings = config or Config(), Timings()
     with timings.stage("facts_generate"):
-        facts = generate(spark, config.trees, config.seed, config.friend_seed, config.friends, config.rules).cache()
+        facts = generate(spark, config.trees, config.seed, config.friend_seed, config.friends, config.rules, config.jobs, config.hobbies).cache()
     if output:
         with timings.stage("facts_save"):
             facts.save(f"{output}/facts")

@@ -22,6 +22,10 @@ def test_usage(spark):
     rows = [(1, '{"a": 1, "b": {"c": 2, "d": null}}'), (1, '{"a": null, "b": {"c": 5}}'), (1, None), (2, "{}")]
     got = {(r.q, r.path): r.total for r in V.usage_sum(spark.createDataFrame(rows, "q int, usage string"), ["q"]).collect()}
     assert got == {(1, "a"): 1.0, (1, "b.c"): 7.0, (1, "b.d"): 0.0}
+    deep = '{"k":' * 9 + '{"n": 3, "s": "}{"}' + "}" * 9
+    found = V.usage_sum(spark.createDataFrame([(1, deep), (1, deep)], "q int, usage string"), ["q"]).collect()
+    assert {(r.path, r.total) for r in found} == {("k." * 9 + "n", 6.0), ("k." * 9 + "s", 0.0)}
+    assert V.usage_sum(spark.createDataFrame([(1, None)], "q int, usage string"), ["q"]).count() == 0
 
 
 def test_scores_of_odd_answers(spark):

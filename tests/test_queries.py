@@ -7,6 +7,7 @@ from kinquery.functions import columns as C
 from kinquery.functions.goals import Atom, Const, CountDistinct, Var, difficulty, parse_query, split_top, target_variable
 from kinquery.functions.templates import is_aggregation_question, templates
 from kinquery.functions.wording import alias, plural
+from kinquery.functions.goals import split_top, target_variable
 from kinquery.plans.compiler import evaluate, run_prefixes, traces
 from kinquery.plans.facts import FactBase
 
@@ -132,3 +133,20 @@ def test_trees_keep_their_rules(spark):
     assert people == family_trees(spark, 6, seed=3, rules=Rules(max_size=30)).collect()
     facts = family_facts(family_trees(spark, 2, seed=3))
     assert facts.where("pred = 'parent'").count() == 2 * family_trees(spark, 2, seed=3).where("mother is not null").count()
+
+
+def test_written_queries_of_one_shape_are_one_plan(spark, facts):
+    from kinquery.plans.compiler import run_predicted
+
+    texts = ['child(ann, A)', "child('bob', A)", 'child("ann", B)', "child(A, B)", "child(ann, bob)", "aggregate_all(count, distinct(child(ann, Y)), C)", "nosuch(A, 1)", "child(", "", "child(nobody, A)"]
+    got = {r.i: (r.pred, r.error is None, r.steps) for r in run_predicted(facts, spark.createDataFrame(list(enumerate(texts)), "i int, q string"), "i", "q", debug=True).collect()}
+    for i, text in enumerate(texts):
+        try:
+            goals = split_top(text)
+            target = target_variable(goals)
+            bound = evaluate(facts, goals)
+            want = ",".join(sorted({str(r[0]) for r in bound.select(target).collect()})) if target else str(bound.count() > 0).lower()
+            assert got[i][:2] == (want, True), text
+        except (ValueError, KeyError):
+            assert got[i][:2] == (None, False), text
+    assert all(v[2] is not None for v in got.values())
