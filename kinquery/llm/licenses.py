@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinquery.runtime import stored
+
 #: Phrases and labels of the base scan.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
@@ -50,19 +52,26 @@ def words_of(text: Column) -> Column:
     return F.when(F.length(low) == 0, F.array().cast("array<string>")).otherwise(F.array_remove(F.split(low, _SEPARATORS, -1), ""))
 
 
-def document_frequencies(docs: DataFrame, vocabulary: list[str], text: str = "text") -> tuple[int, dict[str, int]]:
-    """Number of rows, and in how many of them each word of a fixed vocabulary stands."""
-    wanted = F.array(*map(F.lit, vocabulary))
-    hits = docs.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect(words_of(F.col(text)), wanted))).alias("w"))
-    counts = {r["w"]: r["count"] for r in hits.groupBy("w").count().collect()}
-    return counts.pop("", 0), counts
+def _read(docs: DataFrame, key: str, text: str, phrases: list[list[str]], vocabulary: list[str]) -> DataFrame:
+    """__key, n_words, __have (words of a fixed vocabulary), __words of rows that have all words of a phrase."""
+    split = docs.select(F.col(key).alias("__key"), words_of(F.col(text)).alias("__words"))
+    have = split.select("__key", "__words", F.array_intersect("__words", F.array(*map(F.lit, vocabulary))).alias("__have"))
+    some = F.lit(False)
+    for phrase in phrases:
+        some = some | (F.size(F.array_except(F.array(*map(F.lit, phrase)), "__have")) == 0)
+    return have.select("__key", F.size("__words").cast("long").alias("n_words"), "__have", F.when((F.size("__have") > 0) & some, F.col("__words")).alias("__words"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", accept: float = 0.6) -> DataFrame:
-    """One row a row of ``docs``: key, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    """One row a row of ``docs``: key, n_words, n_base, first_word, last_word, base_labels, labels, score.
+
+    Texts are split once: words in order are only kept of rows that have all words of some phrase.
+    """
     phrases = [(label, p.split(), p.split(), True) for p, label in BASE] + [(label, k.split(), line.split(), False) for label, k, line in TEMPLATES]
     vocabulary = sorted({w for _, _, line, _ in phrases for w in line})
-    total, df = document_frequencies(docs, vocabulary, text)
+    read = stored(_read(docs, key, text, [p for _, p, _, _ in phrases], vocabulary), "licence-words")
+    df = {r["w"]: r["count"] for r in read.select(F.explode("__have").alias("w")).groupBy("w").count().collect()}
+    total = read.count()
 
     def idf(word: str) -> float:
         n = df.get(word, 0)
@@ -77,13 +86,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", accept: float
         offsets.append((anchor, at))
     anchors = sorted(postings)
     words = F.col("__words")
-    contains = F.lit(False)
-    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
-    for a in anchors:
-        contains = contains | F.contains(lowered, F.lit(a))
     spots = F.filter(F.transform(words, lambda w, i: F.when(w.isin(anchors), i)), lambda i: i.isNotNull())
-    read = docs.select(F.col(key).alias("__key"), words_of(F.col(text)).alias("__words"), contains.alias("__any"))
-    placed = read.select("__key", "__words", F.when(F.col("__any"), spots).otherwise(F.array().cast("array<int>")).alias("__spots"))
+    placed = read.withColumn("__spots", F.when(words.isNotNull(), spots).otherwise(F.array().cast("array<int>")))
 
     def candidates(i: Column) -> Column:
         """Phrases that the word at place i may belong to, and where they would start."""
@@ -118,7 +122,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", accept: float
 
     nowhere = F.array().cast("array<struct<t:int,s:int,g:double>>")
     hits = F.transform(F.filter(F.flatten(F.transform("__spots", candidates)), stands), lambda c: F.struct(c["t"].alias("t"), c["s"].alias("s"), agreement(c).alias("g")))
-    found = placed.select("__key", F.size("__words").cast("long").alias("n_words"), F.when(F.size("__spots") > 0, hits).otherwise(nowhere).alias("__hits"))
+    found = placed.select("__key", "n_words", F.when(F.size("__spots") > 0, hits).otherwise(nowhere).alias("__hits"))
     n_base = len(BASE)
     base = F.filter("__hits", lambda h: h["t"] < n_base)
     good = F.filter("__hits", lambda h: (h["t"] >= n_base) & (h["g"] >= accept))
