@@ -251,8 +251,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, ov
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for lo in range(0, batch.num_rows, 500):
-                    some = batch.slice(lo, 500)
+                for lo in range(0, batch.num_rows, 200):
+                    some = batch.slice(lo, 200)
                     rows = shared.value.search(list(zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True)))
                     rows = [r for r in rows if r[3] >= overlap and r[4] >= overlap]
                     yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64() if j < 2 else pa.float64()) for j in range(5)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])

@@ -41,6 +41,8 @@ COLD = 64
 ORDERED = 1 << 18
 BITMAP = 1 << 26
 SALTS = 64
+#: Shingles of a shard at most, some 60 bytes each while it is joined; a shard of more is cut.
+SHARD_SHINGLES = 1 << 21
 BUCKETS = 256
 EPS = 1e-9
 
@@ -102,7 +104,7 @@ def set_prints(docs: DataFrame, similarity: float, fingerprint: int | None = Non
                         heads.append(x[: int(prefix_length(len(x), similarity))])
                         held += len(heads[-1])
                 common: list[bytes | None] = [None] * len(texts)
-                if held > 1 << 21 or lo + 256 >= batch.num_rows:
+                if held > 1 << 19 or lo + 256 >= batch.num_rows:
                     common[0] = often(heads)
                     heads, held = [], 0
                 yield pa.RecordBatch.from_arrays(
@@ -351,8 +353,8 @@ def _decided(pairs: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 left.append(len(np.intersect1d(x, y, assume_unique=True)) >= must_share(len(x), len(y), similarity))
             yield batch.select(["a", "b"]).filter(pa.array(left, pa.bool_()))
 
@@ -361,7 +363,7 @@ def _decided(pairs: DataFrame, similarity: float) -> DataFrame:
 
 def _in_shards(rows: DataFrame, sets: DataFrame, similarity: float, hot: int) -> DataFrame:
     """rows(k, a, n, i, rep) of keys of many classes: edges (a, b) of reps that connect all similar ones."""
-    most = hot * 4000  # shingles of a shard
+    most = SHARD_SHINGLES
     size = (F.count(F.lit(1)).alias("c"), F.sum(F.col("n").cast("long")).alias("t"))
     sized = rows.join(checkpoint(rows.groupBy("k").agg(*size).where("c > 1")), "k")
     fit = (F.col("c") <= hot) & (F.col("t") <= most)
@@ -385,7 +387,7 @@ def _in_shards(rows: DataFrame, sets: DataFrame, similarity: float, hot: int) ->
             found = SetLinks(held, places, reps, similarity).links() if len(reps) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
-        for batch in batches:
+        for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
             cols = [batch.column(c).to_pylist() for c in (*keys, "i", "rep", "hashes")]
             for *key, i, rep, hashes in zip(*cols, strict=True):
                 if key != now:
