@@ -1,6 +1,6 @@
 """Connected components of an edge table, by alternating large and small stars.
 
-Every round is two aggregations and two joins on (a, b) pairs; the edges are checkpointed into the
+Every round is two aggregations and two joins on (a, b) pairs; the edges are written once a star into the
 shared folder and never leave the cluster. What comes to the driver is one row a round: how many
 edges there are and a checksum, which stop the loop once they no longer change.
 """
@@ -16,7 +16,7 @@ from kinquery.runtime import checkpoint
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """edges(a > b). A large star links larger neighbours to the least; a small star the smaller ones."""
     pairs = edges if small else edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = checkpoint(pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+    least = pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     moved = pairs.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"), F.col("a").alias("u"))
     kept = moved.where("a > b") if small else moved.where("a > u")
     out = kept.select("a", "b")

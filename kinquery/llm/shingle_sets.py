@@ -41,8 +41,8 @@ COLD = 64
 ORDERED = 1 << 18
 BITMAP = 1 << 26
 SALTS = 64
-#: Shingles of a shard at most, some 60 bytes each while it is joined; a shard of more is cut.
-SHARD_SHINGLES = 1 << 21
+#: Shingles of a shard at most, some 40 bytes each while it is joined; a shard of more is cut.
+SHARD_SHINGLES = 1 << 23
 BUCKETS = 256
 EPS = 1e-9
 
@@ -104,7 +104,7 @@ def set_prints(docs: DataFrame, similarity: float, fingerprint: int | None = Non
                         heads.append(x[: int(prefix_length(len(x), similarity))])
                         held += len(heads[-1])
                 common: list[bytes | None] = [None] * len(texts)
-                if held > 1 << 19 or lo + 256 >= batch.num_rows:
+                if held > 1 << 21 or lo + 256 >= batch.num_rows:
                     common[0] = often(heads)
                     heads, held = [], 0
                 yield pa.RecordBatch.from_arrays(
@@ -244,17 +244,16 @@ class _Lists:
         opens = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, bool)
         begin = np.maximum.accumulate(np.where(opens, np.arange(len(flat)), 0)) if len(flat) else np.zeros(0, np.int64)
         self.lists = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[by]
-        self.begin, self.before = np.empty(len(flat), np.int64), np.empty(len(flat), np.int64)
+        self.begin, self.before = np.empty(len(flat), np.int32), np.empty(len(flat), np.int32)
         self.begin[by], self.before[by] = begin, np.arange(len(flat)) - begin
-        self.work = np.concatenate([[0], np.cumsum(self.before)])
 
     def cost(self, i: int) -> int:
-        return int(self.work[self.ends[i]] - self.work[self.starts[i]])
+        return int(self.before[self.starts[i] : self.ends[i]].sum(dtype=np.int64))
 
     def counts(self, i: int) -> np.ndarray:
         """By set before i: how many shingles of i it has."""
         one = slice(self.starts[i], self.ends[i])
-        n = self.before[one]
+        n = self.before[one].astype(np.int64)
         if not len(n):
             return np.zeros(i, np.int64)
         ends = np.cumsum(n)
@@ -275,13 +274,12 @@ class SetLinks:
         order = np.argsort(sizes, kind="stable")
         self.sets, self.sizes, self.similarity = [sets[i] for i in order], sizes[order], similarity
         self.reps, self.places = [reps[i] for i in order], np.array(places, np.int64)[order]
-        self.sorted = [np.sort(x) for x in self.sets]
         self.whole, self.early = _Lists(self.sets), _Lists([x[:p] for x, p in zip(self.sets, self.places.tolist(), strict=True)])
 
     def _shared(self, i: int, some: np.ndarray) -> np.ndarray:
         if self.sizes[some].sum() > self.whole.cost(i):
             return self.whole.counts(i)[some]
-        mine, theirs = self.sorted[i], np.concatenate([self.sets[j] for j in some.tolist()])
+        mine, theirs = np.sort(self.sets[i]), np.concatenate([self.sets[j] for j in some.tolist()])
         hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
         return np.add.reduceat(hit, np.cumsum(self.sizes[some]) - self.sizes[some], dtype=np.int64)
 
@@ -365,7 +363,7 @@ def _in_shards(rows: DataFrame, sets: DataFrame, similarity: float, hot: int) ->
     """rows(k, a, n, i, rep) of keys of many classes: edges (a, b) of reps that connect all similar ones."""
     most = SHARD_SHINGLES
     size = (F.count(F.lit(1)).alias("c"), F.sum(F.col("n").cast("long")).alias("t"))
-    sized = rows.join(checkpoint(rows.groupBy("k").agg(*size).where("c > 1")), "k")
+    sized = rows.join(checkpoint(rows.groupBy("k").agg(*size).where("c > 1")), "k")  # small once written, so rows stay where they are
     fit = (F.col("c") <= hot) & (F.col("t") <= most)
     whole = F.lit(-1).cast("long")
     cols = ("a", "i", "rep", "k")

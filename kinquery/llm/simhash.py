@@ -230,7 +230,7 @@ def link_classes(classes: DataFrame, radius: int = 2, hot: int = 128) -> DataFra
         raise ValueError("three blocks find pairs of up to two differing bits")
     keys = ["k0", "k1", "k2", "k3"]
     first = classes.select("fp", "rep", F.explode(_shards()).alias("k")).select("fp", "rep", "k.*")
-    counts = checkpoint(first.groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    counts = first.groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sized = first.join(counts, ["k0", "k1"])
     again = sized.where(F.col("n") > hot).select("fp", "rep", F.col("k0").alias("b"), F.explode(_finer_shards()).alias("k")).where("b = k.k0")
     dealt = sized.where(F.col("n") <= hot).select("fp", "rep", *keys).unionByName(again.select("fp", "rep", "k.*"))
