@@ -71,7 +71,7 @@ class PairTable:
 
 
 class PieceCodec:
-    def __init__(self, model_file: str, max_words: int = 300_000):
+    def __init__(self, model_file: str, max_words: int = 150_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -322,7 +322,7 @@ def codec(model_file: str) -> PieceCodec:
     return _CODECS[model_file]
 
 
-def _slices(batch: pa.RecordBatch, column: str, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts or ids have about ``most`` bytes together."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)) if pa.types.is_string(batch.column(column).type) else pc.multiply(pc.list_value_length(batch.column(column)), 4), 0)
     ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64) + 8)
