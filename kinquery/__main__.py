@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from kinquery.runtime import ship
+from kinquery.runtime import drop_scratch, scratch_mark, ship
 
 
 def parser() -> argparse.ArgumentParser:
@@ -46,7 +46,9 @@ def main(args: list[str] | None = None) -> None:
         hobbies = {r["category"]: r["hobbies"] for r in read_hobbies(spark, o.hobbies).collect()} if o.hobbies else None
         rules = Rules(names=names, max_depth=o.max_family_tree_depth, max_children=o.max_branching_factor, max_size=o.max_family_tree_size, stop_prob=o.stop_prob)
         config = Config(o.num_family_trees, rules, o.friendship_k, o.friendship_seed, o.seed, o.question_depth, o.num_questions_per_type, o.num_sampling_attempts, o.easy_mode, o.skip_solution_traces, o.article_format, o.question_format, pool(o.jobs) or None, hobbies)
+        mark = scratch_mark()
         print(build(spark, config, o.output).timings)
+        drop_scratch(spark, mark)  # all is written
     else:
         from kinquery.operators.evaluation import accuracy, scored, with_questions
         from kinquery.sources.records import read_predictions, read_questions, write_scores

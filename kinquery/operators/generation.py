@@ -6,6 +6,7 @@ is partitioned. Trees are independent: names are unique because each tree has su
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import date, timedelta
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 from kinquery.functions import columns as C
 from kinquery.functions.templates import Template, templates
 from kinquery.functions.wording import ATTRIBUTE_ALIAS, plural_words, question_words
+from kinquery.plans.compiler import evaluate, traces_of, values_of
 from kinquery.plans.facts import FactBase
 from kinquery.plans.relations import ASKABLE, ATTRIBUTES, EASY
+from kinquery.runtime import stored
 
 SYLLABLES = ("ba", "co", "da", "el", "fi", "go", "ha", "in", "jo", "ka", "lu", "mi", "no", "or", "pa", "ri")
 PEOPLE = "tree int, idx int, name string, surname string, female boolean, level int, dob string, mother int, father int"
@@ -263,7 +266,7 @@ def sample_questions(facts: FactBase, template: Template, n: int, kind: int = 0,
         for step, goal in enumerate(reversed(template.goals)):
             state = _take(state, goal, facts, edges, kind, seed, step)
         best = state.groupBy("q").agg(F.min_by(F.struct("values", "words"), "a").alias("m")).select("q", "m.values", "m.words")
-        found = best.persist()
+        found = stored(best, "walked")
         done = found if done is None else done.unionByName(found)
         if first + at_once >= attempts or done.count() == n:
             break
@@ -289,8 +292,6 @@ def _start(state: DataFrame, listed: DataFrame | None, people: DataFrame, many:
 
 def _take(state: DataFrame, goal: str, facts: FactBase, edges: DataFrame, kind: int, seed: int, step: int) -> DataFrame:
     """One goal of the walk: choose an edge (or an attribute) of the person where each walk is."""
-    import re
-
     uniform = (F.pmod(F.xxhash64(F.lit(seed), F.lit(kind), F.lit(step), "q", "a", "rel", "y"), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
     race = -F.log(uniform) / F.col("mult")
     key = re.search(r"<(?:relation|relation_plural|attribute_name)>_\d+", goal)[0]
@@ -319,31 +320,34 @@ def _take(state: DataFrame, goal: str, facts: FactBase, edges: DataFrame, kind:
     return chosen.select("q", "a", onward.alias("at"), F.map_concat("m.values", F.create_map(*put)).alias("values"), F.map_concat("m.words", F.create_map(*say)).alias("words"))
 
 
-def answered(facts: FactBase, questions: DataFrame, template: Template) -> DataFrame:
-    """The questions of one template with their sorted answers, one plan for all of them.
+def answered(facts: FactBase, questions: DataFrame, template: Template, traced: bool = False) -> DataFrame:
+    """The questions of one template with their sorted answers: solutions, an array.
 
-    The constants of all instances are read back from their goals; instances of the same relation
-    names share a plan, and those that differ are filtered by name inside one union of relations.
+    With ``traced`` also traces: a JSON array of the distinct bindings. The constants of all instances
+    are read back from their goals; instances of the same relation names share a plan, which binds each
+    question's answers and traces at once.
     """
     rows = questions.select("qid", "query").collect()  # at most what one template was asked for
-    out = None
-    shapes: dict[tuple[str, ...], list[tuple[str, list[str]]]] = {}
-    import re
-
     quoted = re.compile(r'"((?:[^"\\]|\\.)*)"')
+    shapes: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
     for r in rows:
         consts: list[str] = []
         shape = tuple(quoted.sub(lambda m: (consts.append(m[1]), f"P_{len(consts)}")[1], g) for g in r["query"])
-        shapes.setdefault(shape, []).append((r["qid"], consts))
+        shapes.setdefault(shape, []).append((r["qid"], *consts))
+    none = {"solutions": F.array().cast("array<string>"), **({"traces": F.lit("[]")} if traced else {})}
+    out = None
     for shape, asked in shapes.items():
-        width = len(asked[0][1])
-        params = facts.spark.createDataFrame([(q, *c) for q, c in asked], ", ".join(["qid string", *(f"P_{i + 1} string" for i in range(width))]))
-        part = facts.answer(list(shape), template.answer, params, ["qid"])
+        params = facts.spark.createDataFrame(asked, ", ".join(["qid string", *(f"P_{i} string" for i in range(1, len(asked[0])))]))
+        bound = evaluate(facts, list(reversed(shape)), params)
+        found = [values_of(template.answer).alias("solutions")]
+        if traced:
+            names = [c for c in bound.columns if c not in params.columns]
+            found.append(F.concat(F.lit("["), F.array_join(traces_of(names), ", "), F.lit("]")).alias("traces"))
+        part = bound.groupBy("qid").agg(*found)
         out = part if out is None else out.unionByName(part)
-    empty = F.array().cast("array<string>")
     if out is None:
-        return questions.withColumn("solutions", empty)
-    return questions.join(out.withColumnRenamed("answer", "solutions"), "qid", "left").withColumn("solutions", F.coalesce("solutions", empty))
+        return questions.withColumns(none)
+    return questions.join(out, "qid", "left").withColumns({c: F.coalesce(c, empty) for c, empty in none.items()})
 
 
 def generate(spark: SparkSession, trees: int = 1, seed: int = 1, friend_seed: int = 1, friends: float = 3.0, rules: Rules | None = None, jobs: list[str] | None = None, hobbies: dict[str, list[str]] | None = None) -> FactBase:

@@ -82,16 +82,23 @@ def _count(facts, goal: CountDistinct, state: DataFrame | None, bag: bool) -> Da
     return state.join(counts, shared, "left").withColumn(out, F.coalesce("__n", F.lit(0)).cast("long")).drop("__n")
 
 
+def values_of(answer: str) -> Column:
+    return F.array_sort(F.collect_set(F.col(answer).cast("string")))
+
+
+def traces_of(names: list[str]) -> Column:
+    return F.array_sort(F.collect_set(F.to_json(F.struct(*names))))
+
+
 def answers(bindings: DataFrame, answer: str, by: list[str]) -> DataFrame:
     """by, answer: the distinct values of a variable as text, in the order of their text."""
-    value = F.col(answer).cast("string")
-    return bindings.groupBy(*by).agg(F.array_sort(F.collect_set(value)).alias("answer"))
+    return bindings.groupBy(*by).agg(values_of(answer).alias("answer"))
 
 
 def traces(bindings: DataFrame, by: list[str]) -> DataFrame:
     """by, traces: the distinct bindings as JSON objects, in the order of their text."""
     names = [c for c in bindings.columns if c not in by and not c.startswith("__")]
-    return bindings.groupBy(*by).agg(F.array_sort(F.collect_set(F.to_json(F.struct(*names)))).alias("traces"))
+    return bindings.groupBy(*by).agg(traces_of(names).alias("traces"))
 
 
 def run_prefixes(facts, goals: list[str]) -> list[tuple[str, list[dict] | None, str | None]]:

@@ -11,9 +11,9 @@ from kinquery.functions import columns as C
 from kinquery.functions.templates import templates
 from kinquery.operators.documents import articles
 from kinquery.operators.generation import Rules, answered, generate, sample_questions, walk_edges
-from kinquery.plans.compiler import evaluate, traces
 from kinquery.plans.facts import FactBase
 from kinquery.plans.relations import ASKABLE, EASY
+from kinquery.runtime import stored
 from kinquery.sources.records import Timings, write_articles, write_questions
 
 
@@ -44,34 +44,27 @@ class Universe:
 
 
 def questions(facts: FactBase, config: Config) -> DataFrame:
-    """Question records of all templates of the depth: sampled, answered, with traces and difficulty."""
-    edges = walk_edges(facts, EASY if config.easy else ASKABLE).persist()
+    """Question records of all templates of the depth: sampled, answered, with traces and difficulty.
+
+    Each template's records are written before the next one's are planned, so that no plan grows with
+    the number of templates.
+    """
+    edges = stored(walk_edges(facts, EASY if config.easy else ASKABLE), "walk-edges")
     out = None
     for kind, t in enumerate(templates(config.depth)):
-        asked = sample_questions(facts, t, config.per_type, kind, config.seed, config.attempts, config.easy, edges).persist()
-        rows = answered(facts, asked, t)
+        asked = stored(sample_questions(facts, t, config.per_type, kind, config.seed, config.attempts, config.easy, edges), "asked")
+        rows = answered(facts, asked, t, not config.skip_traces)
         if config.skip_traces:
             rows = rows.withColumn("traces", F.lit("[]"))
-        else:
-            rows = rows.join(_traces(facts, asked), "qid", "left").withColumn("traces", F.coalesce("traces", F.lit("[]")))
         part = rows.select(
             F.col("qid").alias("id"), "question", F.col("traces").alias("solution_traces"), F.col("solutions").alias("answer"),
             F.struct("query", F.lit(t.answer).alias("answer")).alias("prolog"), F.array(*map(F.lit, t.question)).alias("template"),
             "type", "difficulty", C.is_aggregation("question").alias("is_aggregation_question"))
+        part = stored(part, "questions")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _traces(facts: FactBase, asked: DataFrame) -> DataFrame:
-    """qid, traces: a JSON array of the bindings of each question, which are few."""
-    out = None
-    for r in asked.select("qid", "query").collect():  # at most what one template was asked for
-        bound = evaluate(facts, list(reversed(r["query"]))).withColumn("qid", F.lit(r["qid"]))
-        part = traces(bound, ["qid"]).select("qid", F.concat(F.lit("["), F.array_join("traces", ", "), F.lit("]")).alias("traces"))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else asked.select("qid", F.lit("[]").alias("traces"))
-
-
 def build(spark: SparkSession, config: Config | None = None, output: str | None = None) -> Universe:
     """Generate a universe, and write it below ``output`` where that is given."""
     config, timings = config or Config(), Timings()

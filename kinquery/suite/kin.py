@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinquery.plans.facts import FactBase
 from kinquery.plans.relations import RELATIONS
-from kinquery.runtime import table
+from kinquery.runtime import stored, table
 
 
 def facts(spark: SparkSession, sf_dir: str) -> FactBase:
@@ -346,7 +346,7 @@ def walk_questions(spark, sf_dir):
     from kinquery.plans.relations import EASY
 
     kin = facts(spark, sf_dir)
-    edges = walk_edges(kin, EASY).persist()
+    edges = stored(walk_edges(kin, EASY), "edges")
     t = templates(6)[0]
-    asked = sample_questions(kin, t, 5, 0, edges=edges, at_once=5, attempts=20).persist()
+    asked = stored(sample_questions(kin, t, 5, 0, edges=edges, at_once=5, attempts=20), "asked")
     return answered(kin, asked, t)

@@ -1,5 +1,7 @@
 """Goals, conjunctive queries, templates and articles."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +107,10 @@ def test_questions_by_walks(facts):
         assert len(rows) == 4
         for r in rows:
             assert "<" not in r.question and not any("<" in g for g in r.query) and r.solutions and r.question.endswith("?")
+    for r in answered(facts, asked, t, traced=True).collect():  # as if each were planned by itself
+        alone = traces(evaluate(facts, list(reversed(r.query))).withColumn("q", F.lit(1)), ["q"]).first().traces
+        key = lambda b: sorted(b.items())
+        assert sorted(map(key, json.loads(r.traces))) == sorted(key(json.loads(x)) for x in alone) and r.solutions == sorted({str(json.loads(x)[t.answer]) for x in alone})
     again = [r.question for r in sample_questions(facts, t, 4, 1, edges=edges, attempts=20).orderBy("qid").collect()]
     assert again == [r.question for r in asked.orderBy("qid").collect()]
 
