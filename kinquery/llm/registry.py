@@ -94,7 +94,33 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {"op1_token_ids": op1_token_ids, "op2_main_text": op2_main_text, "op3_pieces": op3_pieces, "op4_token_counts": op4_token_counts, "op5_leaks": op5_leaks, "op6_language": op6_language, "op7_shards": op7_shards, "op8_simhash": op8_simhash, "op9_licenses": op9_licenses, "op10_vectors": op10_vectors}
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every assistant turn as an example, all turns before it as context, written and read again."""
+    from kinquery.llm.chat_format import digests, with_control_text, write_examples
+
+    path = scratch_path(spark, "chat")
+    write_examples(with_control_text(table(spark, sf_dir, "conversations")), path)
+    return digests(spark, path)
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents, with a proof each and some leaves tampered with."""
+    from kinquery.llm.merkle import manifest
+
+    found = manifest(spread(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each source in every order."""
+    from kinquery.llm.filter_audit import audit
+
+    return audit(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_token_ids": op1_token_ids, "op2_main_text": op2_main_text, "op3_pieces": op3_pieces, "op4_token_counts": op4_token_counts, "op5_leaks": op5_leaks, "op6_language": op6_language, "op7_shards": op7_shards, "op8_simhash": op8_simhash, "op9_licenses": op9_licenses, "op10_vectors": op10_vectors, "op11_chat": op11_chat, "op12_manifest": op12_manifest, "op13_filters": op13_filters}
+
+
 def _licence_sql() -> str:
     """The scan in SQL: phrases at every place, and the share of a line's IDF that stands around one."""
     from kinquery.llm.licenses import BASE, TEMPLATES
@@ -130,6 +156,101 @@ def _licence_sql() -> str:
     """
 
 
+def _chat_sql() -> str:
+    """Pieces' lengths by formula, digests of joined texts, and a cumulative length an example."""
+    control = "'<|im_end|><|im_start|>assistant ok'"
+    return rf"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL VALUES (-1, 0, 'user', {control}), (-1, 1, 'assistant', {control})),
+        n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, role = 'assistant' AS reply,
+                     length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 12 + 1 + 10 + 1 AS chars FROM c),
+        s AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY place) AS until, place = max(place) OVER (PARTITION BY conv_id) AS is_last FROM n)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (reply), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (reply), '')) AS loss_sha256,
+            CAST(sum(until) FILTER (reply OR is_last) AS BIGINT) AS formatted_chars, count(*) FILTER (reply OR is_last) AS n_examples
+        FROM s GROUP BY conv_id
+    """
+
+
+def _manifest_sql(levels: int = 5, top_levels: int = 3, width: int = 16) -> str:
+    """The tree level by level for up to width ** levels leaves a source; crc32 from its polynomial."""
+
+    def climb(name: str, depth: int) -> list[str]:
+        """n<k>: grp, place, d, run, size of the group; up to one node a group. p<k> below: paths from level k on."""
+        steps = []
+        for k in range(depth):
+            steps.append(f"{name}r{k} AS (SELECT *, list(d) OVER (PARTITION BY grp, place // {width} ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS run, count(*) OVER (PARTITION BY grp) AS size FROM {name}{k})")
+            steps.append(f"{name}{k + 1} AS (SELECT grp, place // {width} AS place, CASE WHEN size = 1 THEN d ELSE sha256(array_to_string(run, '')) END AS d FROM {name}r{k} WHERE place % {width} = 0)")
+        return steps
+
+    def descend(name: str, depth: int) -> str:
+        """Siblings before and after at every level, null where the group has one node only."""
+        cols, joins = [], []
+        for k in range(depth):
+            r = f"r{k}"
+            joins.append(f"JOIN {name}r{k} {r} ON {r}.grp = l.grp AND {r}.place = l.place // {width**k}")
+            alone = f"{r}.size = 1"
+            cols.append(f"CASE WHEN {alone} THEN '' ELSE array_to_string({r}.run[1 : {r}.place % {width}], '') END AS {name}a{k}, CASE WHEN {alone} THEN '' ELSE array_to_string({r}.run[{r}.place % {width} + 2 :], '') END AS {name}b{k}, {alone} AS {name}s{k}")
+        return f"SELECT l.grp, l.place, {', '.join(cols)} FROM {name}0 l {' '.join(joins)}"
+
+    field = lambda f: f"coalesce(CAST(strlen(CAST({f} AS VARCHAR)) AS VARCHAR) || ':' || CAST({f} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(f) for f in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    bits = "list_reduce(list_prepend(i, list_transform(range(8), lambda z: CAST(z AS BIGINT))), lambda c, z: xor(c // 2, (c % 2) * 3988292384))"
+    crc = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ord(ch) AS BIGINT))), lambda c, b: xor(c // 256, crc.t[xor(c % 256, b) + 1])), 4294967295)"
+    steps, at = [], "coalesce(forged, leaf)"
+    for name, depth in (("n", levels), ("m", top_levels)):
+        for k in range(depth):
+            steps.append(f"CASE WHEN {name}s{k} THEN {at} ELSE sha256({name}a{k} || {at} || {name}b{k}) END AS f{len(steps)}")
+            at = f"f{len(steps) - 1}"
+    chain, source = [], "every"
+    for i, step in enumerate(steps):
+        chain.append(f"fold{i} AS (SELECT *, {step} FROM {source})")
+        source = f"fold{i}"
+    proof = " || ".join(f"{name}a{k} || {name}b{k}" for name, depth in (("n", levels), ("m", top_levels)) for k in range(depth))
+    return f"""
+        WITH crc AS (SELECT list_transform(range(256), lambda i: {bits}) AS t),
+        h AS (SELECT doc_id, coalesce('=' || source, '') AS grp, {leaf('text')} AS leaf, {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS low, {crc} % 5 = 0 AS is_forged FROM documents, crc),
+        leaves AS (SELECT doc_id, grp, leaf, CASE WHEN is_forged THEN low END AS forged, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM h),
+        n0 AS (SELECT grp, place, leaf AS d FROM leaves),
+        {", ".join(climb("n", levels))},
+        m0 AS (SELECT 0 AS grp, row_number() OVER (ORDER BY grp) - 1 AS place, grp AS of, d FROM n{levels}),
+        {", ".join(climb("m", top_levels))},
+        np AS ({descend("n", levels)}), mp AS ({descend("m", top_levels)}),
+        every AS (
+            SELECT doc_id, leaf, forged, m0.d AS subroot, (SELECT d FROM m{top_levels}) AS root, np.* EXCLUDE (grp, place), mp.* EXCLUDE (grp, place)
+            FROM leaves JOIN np USING (grp, place) JOIN m0 ON m0.of = leaves.grp JOIN mp ON mp.place = m0.place),
+        {", ".join(chain)}
+        SELECT doc_id, leaf, subroot, root, sha256({proof}) AS proof_sha256, {at} AS folded_root, {at} = root AS verified FROM {source}
+    """
+
+
+#: From counts of each set of failed filters, a removal by the smallest place of a failed filter in the order.
+_FILTERS_SQL = r"""
+    WITH d AS (
+        SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+            doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS e FROM documents),
+    l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS bad FROM labels GROUP BY doc_id),
+    f AS (
+        SELECT part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b, 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS c,
+            regexp_matches(text, '[#$%&*|]') AS d, coalesce(e, FALSE) AS e, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad FROM d LEFT JOIN l USING (doc_id)),
+    g AS (SELECT part, (CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END) AS fails,
+            count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM f GROUP BY ALL),
+    x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS v),
+    o AS (SELECT p.v || q.v || r.v || s.v || t.v AS filter_order FROM x p, x q, x r, x s, x t WHERE len(list_distinct([p.v, q.v, r.v, s.v, t.v])) = 5),
+    w AS (
+        SELECT part, filter_order, step, n, good, bad, fails, contains(fails, filter_order[step]) AS fails_here,
+            list_max(list_transform(range(1, step), lambda k: CASE WHEN contains(fails, filter_order[k]) THEN 1 ELSE 0 END)) AS gone
+        FROM g, o, (SELECT unnest(range(1, 6)) AS step)),
+    z AS (
+        SELECT part, filter_order, step, coalesce(sum(n) FILTER (NOT fails_here AND coalesce(gone, 0) = 0), 0) AS kept, coalesce(sum(n) FILTER (fails_here AND coalesce(gone, 0) = 0), 0) AS removed,
+            coalesce(sum(n) FILTER (fails_here AND gone = 1), 0) AS redundant, coalesce(sum(n) FILTER (fails_here AND len(fails) = 1), 0) AS unique_fails,
+            coalesce(sum(good) FILTER (fails_here AND coalesce(gone, 0) = 0), 0) AS good_lost, coalesce(sum(bad) FILTER (fails_here AND coalesce(gone, 0) = 0), 0) AS toxic_lost
+        FROM w GROUP BY ALL)
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+        CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM z
+"""
+
+
 ORACLES: dict[str, str] = {
     # for pages with an article of paragraphs and headings, as the tables have them
     "op2_main_text": r"""
@@ -142,6 +263,9 @@ ORACLES: dict[str, str] = {
         SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM c
     """,
     "op9_licenses": _licence_sql(),
+    "op11_chat": _chat_sql(),
+    "op12_manifest": _manifest_sql(),
+    "op13_filters": _FILTERS_SQL,
     "op10_vectors": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
