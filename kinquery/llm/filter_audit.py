@@ -98,7 +98,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row a part, order of the filters and step."""
     sums = ["removed", "redundant", "unique_fails", "good_lost", "toxic_lost"]
-    partial = failure_counts(docs, labels).mapInArrow(_count, "part string, filter_order string, step int, " + ", ".join(f"{c} long" for c in [*sums, "total"]))
+    counts = failure_counts(docs, labels).repartition("part")  # 128 rows a part at most, so a part's partial sums come from one task
+    partial = counts.mapInArrow(_count, "part string, filter_order string, step int, " + ", ".join(f"{c} long" for c in [*sums, "total"]))
     whole = partial.groupBy("part", "filter_order", "step").agg(*(F.sum(c).alias(c) for c in [*sums, "total"]))
     so_far = Window.partitionBy("part", "filter_order").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     letter = F.substring(F.col("filter_order"), F.col("step"), F.lit(1))
