@@ -11,15 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinquery.functions.clauses import Compare, Not
 from kinquery.functions.columns import last_line
 from kinquery.functions.goals import Atom, Const, CountDistinct, Var, parse_query, split_top, target_variable
 
 MULT = "__mult"
 
 
-def _rows(facts, atom: Atom, bag: bool) -> DataFrame:
+def _rows(facts, atom: Atom, bag: bool, given: DataFrame | None = None) -> DataFrame:
     """One column a variable of the atom (and its multiplicity), constants and repeats filtered."""
-    rel = facts.relation(atom.predicate, len(atom.args), "counted" if bag else "set")
+    rel = given if given is not None else facts.relation(atom.predicate, len(atom.args), "counted" if bag else "set")
     names = [c for c in rel.columns if c != "mult"]
     if len(names) != len(atom.args):
         raise ValueError(f"{atom.predicate} has {len(names)} arguments")
@@ -37,27 +38,113 @@ def _rows(facts, atom: Atom, bag: bool) -> DataFrame:
     return found.distinct() if taken else found.limit(1).select(F.lit(1).alias("__any"))
 
 
-def evaluate(facts, goals: list[str] | str, params: DataFrame | None = None, bag: bool = False) -> DataFrame:
+def evaluate(facts, goals, params: DataFrame | None = None, bag: bool = False, keep: set[str] | None = None, rows: dict[int, DataFrame] | None = None, few: bool = False) -> DataFrame:
     """Bindings: one column a variable, and the columns of ``params``; with ``bag`` also __mult.
 
     ``facts`` gives relation(name, arity, mode). Parameter columns are variables that are bound
     from the start. A query of ground goals alone gives one row, without columns of its own, if it holds.
+    ``keep``: variables and columns wanted in the end; others go after the last goal that has them.
+    ``rows``: rows of goals by place, instead of their predicates' whole ones. Goals with a constant
+    are walked from it, and with ``few`` all goals from what is bound, where ``facts`` can ``extend``
+    bindings: the rows of a step are then those that can be reached, and no whole relation is derived.
     """
     state = params.withColumn(MULT, F.lit(1).cast("long")) if params is not None and bag else params
-    for goal in parse_query(goals):
-        state = _count(facts, goal, state, bag) if isinstance(goal, CountDistinct) else _join(facts, goal, state, bag)
+    parsed = [g if not isinstance(g, str) else parse_query([g])[0] for g in (parse_query(goals) if isinstance(goals, str) else goals)]
+    for i, goal in enumerate(parsed):
+        if isinstance(goal, CountDistinct):
+            state = _count(facts, goal, state, bag)
+        elif isinstance(goal, Compare):
+            state = _compare(goal, state)
+        elif isinstance(goal, Not):
+            state = _without(facts, goal.atom, state)
+        elif rows and i in rows:
+            state = _join(facts, goal, state, bag, rows[i])
+        else:
+            walked = _walk(facts, goal, state, bag, few)
+            state = walked if walked is not None else _join(facts, goal, state, bag)
+        if keep is not None:
+            state = _needed(state, keep.union(*map(names_in, parsed[i + 1 :])), bag)
     if state is None:
         raise ValueError("an empty query")
     return state.drop("__any")
 
 
+def names_in(goal) -> set[str]:
+    """The variables of a goal."""
+    if isinstance(goal, Compare):
+        return {a.name for a in (goal.left, goal.right) if isinstance(a, Var)}
+    if isinstance(goal, CountDistinct):
+        return names_in(goal.atom) | {goal.out.name}
+    return {a.name for a in (goal.atom if isinstance(goal, Not) else goal).args if isinstance(a, Var)}
+
+
+def _needed(state: DataFrame, names: set[str], bag: bool) -> DataFrame:
+    """Bindings without the columns that nothing needs any more; rows that are alike then become one."""
+    kept = [c for c in state.columns if c in names or c in (MULT, "__any")]
+    if len(kept) == len(state.columns):
+        return state
+    if bag:
+        by = [c for c in kept if c != MULT]
+        return state.groupBy(*by).agg(F.sum(MULT).alias(MULT)).where(F.col(MULT) > 0)
+    return state.select(*kept).distinct() if kept else state.limit(1).select(F.lit(1).alias("__any"))
+
+
+def _compare(goal: Compare, state: DataFrame | None) -> DataFrame:
+    if state is None:
+        raise ValueError("a comparison before anything is bound")
+    sides = [F.lit(a.value) if isinstance(a, Const) else F.col(a.name) if a.name in state.columns else a for a in (goal.left, goal.right)]
+    free = [s for s in sides if isinstance(s, Var)]
+    if not free:
+        return state.where(sides[0] == sides[1] if goal.same else sides[0] != sides[1])
+    if len(free) == 2 or not goal.same:
+        raise ValueError(f"{free[0].name} is compared before it is bound")
+    return state.withColumn(free[0].name, next(s for s in sides if not isinstance(s, Var)))
+
+
+def _without(facts, atom: Atom, state: DataFrame | None) -> DataFrame:
+    if state is None:
+        raise ValueError("a negation before anything is bound")
+    rows, shared = _rows(facts, atom, False), _bound(state, atom)
+    if shared:
+        return state.join(rows.select(*shared).distinct(), shared, "left_anti")
+    none = rows.agg((F.count(F.lit(1)) == 0).alias("__none"))  # one row
+    return state.crossJoin(F.broadcast(none)).where("__none").drop("__none")
+
+
+def _walk(facts, atom: Atom, state: DataFrame | None, bag: bool, few: bool) -> DataFrame | None:
+    """Bindings carried along a goal of two arguments from the one that is known; None where it can't be."""
+    if len(atom.args) != 2 or not hasattr(facts, "extend"):
+        return None
+    first, second = atom.args
+    have = set(state.columns) if state is not None else set()
+    constant = [isinstance(a, Const) for a in atom.args]
+    known = [c or (few and a.name in have) for a, c in zip(atom.args, constant, strict=True)]
+    if not any(known) or not facts.can_extend(atom.predicate) or any(a.name == "_" for a in atom.args if isinstance(a, Var)):
+        return None
+    if state is not None and any(constant) and not few and any(a.name in have for a in atom.args if isinstance(a, Var)):
+        return None  # joined to bindings on the other argument, the constant is a filter below that join
+    back = not known[0]
+    start, end = (second, first) if back else (first, second)
+    if state is None:
+        state = facts.spark.range(1).select(F.lit(1).alias("__any"), *([F.lit(1).cast("long").alias(MULT)] if bag else []))
+    at = start.name if isinstance(start, Var) else "__from"
+    if isinstance(start, Const):
+        state = state.withColumn(at, F.lit(start.value))
+    bound_end = isinstance(end, Const) or end.name in have or end == start
+    out = "__to" if bound_end else end.name
+    found = facts.extend(state, at, atom.predicate, out, bag, back)
+    if bound_end:
+        found = found.where(F.col(out) == (F.lit(end.value) if isinstance(end, Const) else F.col(end.name))).drop(out)
+    return found.drop("__from") if isinstance(start, Const) else found
+
+
 def _bound(state: DataFrame | None, atom: Atom) -> list[str]:
     have = set(state.columns) if state is not None else set()
     return list(dict.fromkeys(a.name for a in atom.args if isinstance(a, Var) and a.name in have))
 
 
-def _join(facts, atom: Atom, state: DataFrame | None, bag: bool) -> DataFrame:
-    rows = _rows(facts, atom, bag)
+def _join(facts, atom: Atom, state: DataFrame | None, bag: bool, given: DataFrame | None = None) -> DataFrame:
+    rows = _rows(facts, atom, bag, given)
     if state is None:
         return rows
     shared = _bound(state, atom)

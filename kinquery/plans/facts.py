@@ -9,21 +9,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinquery.functions.clauses import Directive, Rule, cut, is_fact, parse_clause, rule_text
 from kinquery.functions.goals import Atom, Const, Var, parse_goal
 from kinquery.plans.compiler import answers, evaluate
 from kinquery.plans.relations import RELATIONS, RelationPlans
+from kinquery.plans.rules import RulePlans
 
 SCHEMA = "pred string, x string, y string, ord long"
 #: Unary rules, each a gender.
 UNARY = ("female", "male", "nonbinary")
+#: Rows of a parameter frame whose goals are walked from the people asked about.
+FEW = 10_000
 
 
 class FactBase:
-    def __init__(self, spark: SparkSession, facts: DataFrame | None = None, arities: dict[str, int] | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, facts: DataFrame | None = None, arities: dict[str, int] | None = None, rules: list[tuple[int, Rule]] | None = None):
+        self.spark, self.rules = spark, list(rules or [])
         self.facts = facts if facts is not None else spark.createDataFrame([], SCHEMA)
         self.arities = dict(arities or {})
         self._plans: RelationPlans | None = None
+        self._rules: RulePlans | None = None
 
     @classmethod
     def of_frames(cls, spark: SparkSession, frames: dict[str, DataFrame]) -> FactBase:
@@ -41,7 +46,7 @@ class FactBase:
     # changes: each gives a fact base of its own, the old one stays as it is
 
     def _with(self, facts: DataFrame, arities: dict[str, int] | None = None) -> FactBase:
-        return FactBase(self.spark, facts, {**self.arities, **(arities or {})})
+        return FactBase(self.spark, facts, {**self.arities, **(arities or {})}, self.rules)
 
     def add(self, *facts: str) -> FactBase:
         """Append ground facts, duplicates kept."""
@@ -81,27 +86,45 @@ class FactBase:
         """Declare predicates ('p/2') without facts."""
         return self._with(self.facts, {s.rpartition("/")[0]: int(s.rpartition("/")[2]) for s in signatures})
 
-    def consult(self, *paths: str) -> FactBase:
-        """Append the facts of text files."""
-        from kinquery.sources.fact_files import read_facts
+    def consult(self, *paths: str, strict: bool = True) -> FactBase:
+        """Append the facts and rules of text files, in their order.
 
-        new = read_facts(self.spark, *paths)
-        last = self.facts.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("last"))
-        more = new.crossJoin(F.broadcast(last)).select("pred", "x", "y", (F.col("ord") + F.col("last") + 1).alias("ord"))
-        return self._with(self.facts.unionByName(more))
+        Rules for a name replace the built-in relation of that name. Clauses that can't be read are an
+        error that names them; without ``strict`` they are left out, and ``read_clauses`` lists them.
+        """
+        from kinquery.sources.fact_files import read_clauses
+
+        found = read_clauses(self.spark, *paths)
+        if strict and (bad := found.problems.orderBy("ord").limit(5).collect()):
+            raise ValueError("; ".join(f"{r['error']}: {r['clause'][:200]}" for r in bad))
+        last = max(self.facts.agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0], max((o for o, _ in self.rules), default=-1))
+        more = found.facts.select("pred", "x", "y", (F.col("ord") + F.lit(last + 1)).alias("ord"))
+        rules = [*self.rules, *((o + last + 1, r) for o, r in found.rules)]
+        return FactBase(self.spark, self.facts.unionByName(more), self.arities, rules)
+
+    def with_rules(self, text: str) -> FactBase:
+        """Append the rules of a program's text; clauses that aren't rules are an error."""
+        clauses, is_open = cut(text)
+        found = [r for c in clauses if not isinstance(rs := parse_clause(c), Directive) for r in rs]
+        if is_open or any(is_fact(r) for r in found):
+            raise ValueError("not a text of rules")
+        last = max((o for o, _ in self.rules), default=-1)
+        return FactBase(self.spark, self.facts, self.arities, [*self.rules, *((last + 1 + i, r) for i, r in enumerate(found))])
 
     @classmethod
     def from_disk(cls, spark: SparkSession, path: str) -> FactBase:
         return cls(spark).consult(path)
 
     def save(self, path: str, text: bool = True) -> None:
+        """Facts, and with ``text`` rules among them, in order."""
         from kinquery.sources.fact_files import write_facts
 
-        write_facts(self.facts, path, text)
+        rules = self.spark.createDataFrame([(o, rule_text(r)) for o, r in self.rules], "ord long, clause string") if self.rules else None
+        write_facts(self.facts, path, text, rules)
 
     def cache(self) -> FactBase:
         self.facts = self.facts.persist()
-        self._plans = None
+        self._plans = self._rules = None
         return self
 
     # reading
@@ -126,6 +149,27 @@ class FactBase:
 
     def relation(self, name: str, arity: int = 2, mode: str = "set") -> DataFrame:
         """Rows of a fact or rule: x, y (or x), and mult when counted."""
+        return self.rule_plans.get(name, arity, mode) if self.rules else self._stated(name, arity, mode)
+
+    @property
+    def rule_plans(self) -> RulePlans:
+        """Plans of the consulted rules, over the facts and the built-in relations."""
+        if self._rules is None:
+            self._rules = RulePlans([r for _, r in self.rules], self._stated, self._facts_beside)
+        return self._rules
+
+    def _facts_beside(self, name: str, arity: int) -> DataFrame | None:
+        """Facts of a predicate that has rules as well."""
+        rows = self.frame(name).where("y is null" if arity == 1 else "y is not null")
+        return rows.select(*["x", "y"][:arity]) if arity in (1, 2) else None
+
+    def can_extend(self, name: str) -> bool:
+        return name in RELATIONS or name in ("parent", "friend_") if not any(r.key[0] == name for _, r in self.rules) else False
+
+    def extend(self, state: DataFrame, at: str, name: str, out: str, bag: bool = False, back: bool = False) -> DataFrame:
+        return self.plans.extend(state, at, name, out, bag, back)
+
+    def _stated(self, name: str, arity: int = 2, mode: str = "set") -> DataFrame:
         if name in UNARY and arity == 1:
             rows = self.frame("gender").where(F.col("y") == name).select("x")
         elif name in RELATIONS or name in ("parent", "friend_"):
@@ -160,14 +204,18 @@ class FactBase:
     def query(self, goals: list[str] | str, bag: bool = False) -> DataFrame:
         return evaluate(self, goals, bag=bag)
 
-    def answer(self, goals: list[str], answer: str, params: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    def answer(self, goals: list[str], answer: str, params: DataFrame | None = None, by: list[str] | None = None, few: bool | None = None) -> DataFrame:
         """Sorted answers of a question whose goals are given outermost first, as templates have them.
 
         The goals run from the last to the first, so that counts come after what they count for.
         With a parameter frame every row of it (its ``by`` columns) is a question of the same shape.
+        ``few``: whether goals are walked from the people asked about, or whole relations are derived;
+        by itself, frames of up to ``FEW`` rows are walked. The answers are the same.
         """
         if params is None:
-            params, by = self.spark.range(1).select(F.lit(0).alias("__q")), ["__q"]
-        bound = evaluate(self, list(reversed(goals)), params)
+            params, by, few = self.spark.range(1).select(F.lit(0).alias("__q")), ["__q"], True
+        if few is None:
+            few = params.limit(FEW + 1).count() <= FEW
+        bound = evaluate(self, list(reversed(goals)), params, keep={*by, answer}, few=few)
         found = answers(bound, answer, by)
         return found.drop("__q")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinquery.suite import files, kin, tables
+from kinquery.suite import files, kin, rules, tables
 
-QUERIES: dict = {**kin.QUERIES, **tables.QUERIES, **files.QUERIES}
-ORACLES: dict = {**kin.ORACLES, **tables.ORACLES, **files.ORACLES}
+QUERIES: dict = {**kin.QUERIES, **tables.QUERIES, **files.QUERIES, **rules.QUERIES}
+ORACLES: dict = {**kin.ORACLES, **tables.ORACLES, **files.ORACLES, **rules.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
