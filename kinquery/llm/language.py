@@ -2,10 +2,10 @@
 
 A text is lower-cased, every run of non-letters becomes one space, and n-grams of one to three
 characters are hashed into ``buckets``. Learning adds up counts by language and bucket; what it
-returns has one row of buckets a language and is broadcast. Over ``most_cells`` / ``buckets``
-languages (256) buckets are halved until the matrix has ``most_cells`` cells or fewer (256 buckets at least), which bounds it
-at 64 MB up to 65,536 languages.
-Prediction sums the log-probabilities of a batch's n-grams in numpy, a run of positions a text.
+returns has one row of buckets a language and is broadcast. A matrix of more than ``most_cells``
+cells (64 MB: 256 languages of 65,536 buckets) is an error; fewer buckets or more cells are the caller's choice.
+Prediction sums the log-probabilities of a batch's n-grams in numpy, a run of positions a text. Texts
+are read some million bytes at a time, longer ones in windows whose sums add up.
 
 Learning takes at most about ``per_lang`` documents a language (all, where there are fewer), picked
 by a hash of the id; that is the one bound here, everything else reads all rows and whole texts.
@@ -22,10 +22,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinquery.llm.batches import slices
+
 UND = "und"
+#: Characters of a text that is read in windows, and bytes of the texts read together (some 80 bytes a character in work).
+LONG, TOGETHER = 500_000, 1_000_000
 _TABLE: np.ndarray | None = None
 
 
@@ -43,13 +48,21 @@ def _letters() -> np.ndarray:
     return _TABLE
 
 
+def _grams(c: np.ndarray, p1: np.ndarray, p2: np.ndarray, buckets: int) -> list[np.ndarray]:
+    """Buckets of the n-grams of one, two and three that end at letters ``c`` after ``p1`` and ``p2``."""
+    mask = np.uint32(buckets - 1)
+    one = (c * np.uint32(0x9E3779B1)) >> np.uint32(7)
+    two = ((c * np.uint32(0x85EBCA77)) ^ (p1 * np.uint32(0xC2B2AE3D) + np.uint32(1))) * np.uint32(0x27D4EB2F)
+    three = ((two ^ (p2 * np.uint32(0x165667B1) + np.uint32(2))) * np.uint32(0x9E3779B1)) >> np.uint32(9)
+    return [one & mask, (two >> np.uint32(11)) & mask, three & mask]
+
+
 def features(texts: list[str | None], buckets: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The bucket of each n-gram, an array an order, and where each text's characters start and end.
 
     All arrays have one entry a character: the n-gram that ends there. Every text begins with a
     space, and n-grams never reach into the text before, so a text's are the same in any batch.
     """
-    mask = np.uint32(buckets - 1)
     joined = "".join(["\n" + (t or "") for t in texts]).encode("utf-32-le", "surrogatepass")
     c = _letters()[np.frombuffer(joined, np.uint32)]
     lengths = np.array([len(t or "") for t in texts], np.int64) + 1
@@ -63,10 +76,23 @@ def features(texts: list[str | None], buckets: int) -> tuple[list[np.ndarray], n
     heads = bounds[:-1]
     p1[heads] = p2[heads] = 0
     p2[np.minimum(heads + 1, len(c) - 1)] = 0
-    one = (c * np.uint32(0x9E3779B1)) >> np.uint32(7)
-    two = ((c * np.uint32(0x85EBCA77)) ^ (p1 * np.uint32(0xC2B2AE3D) + np.uint32(1))) * np.uint32(0x27D4EB2F)
-    three = ((two ^ (p2 * np.uint32(0x165667B1) + np.uint32(2))) * np.uint32(0x9E3779B1)) >> np.uint32(9)
-    return [one & mask, (two >> np.uint32(11)) & mask, three & mask], bounds
+    return _grams(c, p1, p2, buckets), bounds
+
+
+def windows(text: str, buckets: int, size: int = 1 << 18) -> Iterator[list[np.ndarray]]:
+    """The n-grams ``features`` finds in one text, by windows of ``size`` characters.
+
+    The last two letters and whether the last character was none go on to the next window.
+    """
+    tail, after_letter = np.zeros(2, np.uint32), True
+    for lo in range(0, len(text) + 1, size):
+        part = ("\n" if lo == 0 else "") + text[max(0, lo - 1) : lo + size - 1]
+        c = _letters()[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        keep = (c != 0) | np.concatenate([[after_letter], c[:-1] != 0])[: len(c)]
+        after_letter = bool(c[-1])
+        c = np.concatenate([tail, c[keep]])
+        tail = c[-2:]
+        yield _grams(c[2:], c[1:-1], c[:-2], buckets)
 
 
 @dataclass
@@ -80,10 +106,15 @@ class LanguageModel:
 
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Log-scores by text and language, and whether the text has a letter."""
-        grams, bounds = features(texts, self.buckets)
         n = len(texts)
         lettered = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts], bool)
         out = np.tile(self.log_prior, (n, 1))
+        if n == 1 and texts[0] and len(texts[0]) > LONG:
+            for grams in windows(texts[0], self.buckets):
+                for k, row in enumerate(self.log_prob):
+                    out[0, k] += sum(row[g].sum(dtype=np.float64) for g in grams)
+            return out, lettered
+        grams, bounds = features(texts, self.buckets)
         full = np.flatnonzero(np.diff(bounds) > 0)
         if len(full):
             starts, end = bounds[:-1][full], bounds[-1]
@@ -105,13 +136,27 @@ class LanguageModel:
         return [self.langs[b] if ok else UND for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)], np.where(lettered, post, 0.0)
 
 
+def _together(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``TOGETHER`` bytes; a text of more than ``LONG`` characters is one of its own."""
+    for some in slices(batch, "text", TOGETHER, 250):
+        sizes = pc.fill_null(pc.utf8_length(some.column("text")), 0).to_numpy(zero_copy_only=False)
+        lo = 0
+        for at in np.flatnonzero(sizes > LONG).tolist():
+            if at > lo:
+                yield some.slice(lo, at - lo)
+            yield some.slice(at, 1)
+            lo = at + 1
+        if lo < some.num_rows:
+            yield some.slice(lo)
+
+
 def learn(docs: DataFrame, usable: Column, buckets: int = 1 << 16, per_lang: int = 10_000, alpha: float = 0.5, most_cells: int = 1 << 24) -> LanguageModel:
     """Learn from text and lang of the rows where ``usable`` holds."""
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("string").alias("key"), "lang", "text")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(sizes)
-    while buckets > 256 and len(langs) * buckets > most_cells:
-        buckets //= 2
+    if len(langs) * buckets > most_cells:
+        raise ValueError(f"{len(langs)} languages of {buckets} buckets are more than {most_cells} cells: choose fewer buckets or allow more cells")
     if not langs:
         return LanguageModel([], np.zeros((0, buckets)), np.zeros(0), buckets)
     large = {k: per_lang / n for k, n in sizes.items() if n > per_lang}  # a few at most
@@ -121,15 +166,14 @@ def learn(docs: DataFrame, usable: Column, buckets: int = 1 << 16, per_lang: int
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(langs), buckets), np.int64)
         place = {k: i for i, k in enumerate(langs)}
-        for batch in batches:
+        for batch in (s for b in batches for s in _together(b)):
             by: dict[str, list[str]] = {}
             for k, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 by.setdefault(k, []).append(t)
             for k, texts in by.items():
-                for lo in range(0, len(texts), 500):
-                    grams, bounds = features(texts[lo : lo + 500], buckets)
+                for grams in windows(texts[0], buckets) if len(texts) == 1 and len(texts[0]) > LONG else [features(texts, buckets)[0]]:
                     for g in grams:
-                        total[place[k]] += np.bincount(g[: bounds[-1]], minlength=buckets)
+                        total[place[k]] += np.bincount(g, minlength=buckets)
         k, b = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[k, b])], ["k", "b", "n"])
 
@@ -152,8 +196,7 @@ def predict(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("la
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 250):
-                some = batch.slice(lo, 250)
+            for some in _together(batch):
                 langs, score = shared.value.predict(some.column("text").to_pylist())
                 yield some.append_column(names[0], pa.array(langs, pa.string())).append_column(names[1], pa.array(score))
 

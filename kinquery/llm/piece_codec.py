@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from kinquery.llm.batches import slices
+
 SIGN = "▁"
 _WORDS = re.compile(f"{SIGN}*[^{SIGN}]+|{SIGN}+")
 _NONE = np.int32(2**31 - 1)
@@ -322,17 +323,6 @@ def codec(model_file: str) -> PieceCodec:
     return _CODECS[model_file]
 
 
-def _slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose texts or ids have about ``most`` bytes together."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)) if pa.types.is_string(batch.column(column).type) else pc.multiply(pc.list_value_length(batch.column(column)), 4), 0)
-    ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64) + 8)
-    lo = 0
-    while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most)))
-        yield batch.slice(lo, hi - lo)
-        lo = hi
-
-
 def _lists(parts: list[bytes]) -> pa.Array:
     ends = np.cumsum([0, *(len(p) // 4 for p in parts)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4")))
@@ -351,7 +341,7 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text", ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in _slices(batch, text):
+            for some in slices(batch, text):
                 parts = codec(model_file).encode(some.column(text).to_pylist())
                 out = some.append_column(ids, _lists(parts))
                 if decoded:
@@ -371,7 +361,7 @@ def decode_documents(encoded: DataFrame, model_file: str, ids: str = "ids", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in _slices(batch, ids):
+            for some in slices(batch, ids):
                 lists = some.column(ids).fill_null([]) if some.column(ids).null_count else some.column(ids)
                 flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
                 found = codec(model_file).decode([flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinquery.llm.batches import slices
 from kinquery.llm.components import components
 from kinquery.llm.simhash import fingerprint_hashes, majority
 from kinquery.runtime import checkpoint, drop_scratch, scratch_mark, stored
@@ -42,7 +43,7 @@ ORDERED = 1 << 18
 BITMAP = 1 << 26
 SALTS = 64
 #: Shingles of a shard at most, some 40 bytes each while it is joined; a shard of more is cut.
-SHARD_SHINGLES = 1 << 23
+SHARD_SHINGLES = 1 << 22
 BUCKETS = 256
 EPS = 1e-9
 
@@ -89,8 +90,9 @@ def set_prints(docs: DataFrame, similarity: float, fingerprint: int | None = Non
             heads: list[np.ndarray] = []
             seen: set[int] = set()
             held = 0
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
+            done = 0
+            for some in slices(batch, "text", rows=256):
+                done += some.num_rows
                 texts = some.column("text").to_pylist()
                 fps = np.zeros(len(texts), np.uint64)
                 if fingerprint is not None:
@@ -104,7 +106,7 @@ def set_prints(docs: DataFrame, similarity: float, fingerprint: int | None = Non
                         heads.append(x[: int(prefix_length(len(x), similarity))])
                         held += len(heads[-1])
                 common: list[bytes | None] = [None] * len(texts)
-                if held > 1 << 21 or lo + 256 >= batch.num_rows:
+                if held > 1 << 21 or done == batch.num_rows:
                     common[0] = often(heads)
                     heads, held = [], 0
                 yield pa.RecordBatch.from_arrays(
@@ -148,9 +150,9 @@ def prefixes(docs: DataFrame, shared, similarity: float, shingle: int, seed: int
         last = shared.value
         for batch in batches:
             seen: set[int] = set()
-            for lo in range(0, batch.num_rows, 64):
+            for some in slices(batch, "text", rows=64):
                 rows = []
-                for t in batch.column("text").slice(lo, 64).to_pylist():
+                for t in some.column("text").to_pylist():
                     x = np.unique(fingerprint_hashes(t, shingle, seed))
                     same = _same(x)
                     if len(x) and same not in seen:
@@ -338,8 +340,8 @@ def _sets(docs: DataFrame, needed: DataFrame, shared, shingle: int, seed: int) -
         for batch in batches:
             p = batch.column("p").to_numpy()
             which = np.flatnonzero((map_[p >> 6] >> (p & 63)) & 1)
-            for lo in range(0, len(which), 64):
-                sets = [np.unique(fingerprint_hashes(t, shingle, seed)) for t in batch.column("text").take(pa.array(which[lo : lo + 64])).to_pylist()]
+            for some in slices(batch.take(pa.array(which)), "text", rows=64):
+                sets = [np.unique(fingerprint_hashes(t, shingle, seed)) for t in some.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(map(_same, sets)), pa.int64()), pa.array([_ordered(x, last).tobytes() for x in sets], pa.binary())], ["same", "hashes"])
 
     return docs.select(place(F.col("doc_id").cast("long")).alias("p"), "text").mapInArrow(run, "same long, hashes binary")

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinquery.llm.batches import slices
 from kinquery.llm.components import components
 from kinquery.runtime import checkpoint, drop_scratch, scratch_mark, stored
 
@@ -74,8 +75,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
+            for some in slices(batch, "text", rows=256):
                 each = [fingerprint_hashes(t, shingle, seed) for t in some.column("text").to_pylist()]
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in each])])
                 fps = majority(np.concatenate(each), bounds)
@@ -265,27 +265,36 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: i
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _to_class(nodes: DataFrame, classes: DataFrame, on: str) -> DataFrame:
+    """Edges (a, b) from nodes to the representative of their class, where that is another node."""
+    pairs = nodes.select(on, F.col("rep").alias("a")).join(classes.select(on, F.col("rep").alias("b")), on)
+    return pairs.where("a <> b").select("a", "b")
+
+
 def copies(docs: DataFrame, similarity: float | None = None, shingle: int = 3, seed: int = 42, radius: int = 2, hot: int = 128, **sets) -> DataFrame:
     """doc_id of all documents that aren't their component's smallest.
 
     Components are those of fingerprints; with ``similarity`` the links of similar shingle sets
-    count as well. Texts are hashed once for both, and components are found once.
+    count as well. Texts are hashed once for both, and components are found once, over classes:
+    documents of one fingerprint and one set are one node, so a group of copies has no edge.
     """
     from kinquery.llm.shingle_sets import set_prints, similar_classes
 
     mark = scratch_mark()
     known = docs.where("doc_id is not null")
     prints = stored(fingerprints(known, shingle, seed) if similarity is None else set_prints(known, similarity, fingerprint=shingle, seed=seed, **{k: v for k, v in sets.items() if k == "shingle"}), "prints")
-    by_print = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    edge = lambda a, b: (F.col(a).alias("a"), F.col(b).alias("b"))
-    edges = [prints.join(by_print, "fp").select(*edge("doc_id", "rep")), link_classes(by_print, radius, hot)]
+    nodes = stored(prints.groupBy("fp", *(["same"] if similarity is not None else [])).agg(F.min("doc_id").alias("rep")), "nodes")
+    by_print = checkpoint(nodes.groupBy("fp").agg(F.min("rep").alias("rep")))
+    edges = [_to_class(nodes, by_print, "fp"), link_classes(by_print, radius, hot)]
     if similarity is not None:
         classes, links = similar_classes(known, prints, similarity, seed=seed, **sets)
-        edges += [prints.select("doc_id", "same").join(classes.select("same", "rep"), "same").select(*edge("doc_id", "rep")), links]
+        edges += [_to_class(nodes, classes, "same"), links]
     every = edges[0]
     for e in edges[1:]:
         every = every.unionByName(e)
-    gone = stored(components(every.where("a <> b")).where("id <> component").select(F.col("id").alias("doc_id")).distinct(), "copies")
+    found = components(every.where("a <> b"))
+    kept = nodes.join(found.withColumnRenamed("id", "rep"), "rep", "left").where(F.coalesce("component", "rep") == F.col("rep"))
+    gone = stored(prints.select("doc_id").distinct().join(kept.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"), "copies")
     drop_scratch(docs.sparkSession, mark, (gone,))
     return gone
 

@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,20 @@ def test_language_id_drops_what_has_no_letter(spark):
     assert cp.language_id(spark, docs.limit(0), SF).count() == 0
 
 
+def test_language_id_follows_its_model(spark, monkeypatch):
+    from kinquery.llm.language import LanguageModel
+
+    docs = spark.createDataFrame([(1, "und und und", "de", "a", 1), (2, "und und", None, "a", 1), (3, "und the", None, "b", 1), (4, "1!", None, "b", 1)], COLUMNS)
+
+    def model(*langs, prior=None):
+        prob = np.full((len(langs), 1 << 8), -5.0, np.float32)
+        return LanguageModel(list(langs), prob, np.log(np.array(prior or [1 / len(langs)] * len(langs))), 1 << 8)
+
+    for found, want in ((model("de"), [(1, "de"), (2, "de"), (3, "de")]), (model("en"), [(1, "de"), (2, "en"), (3, "en")]), (model("de", "en", "fr"), []), (model("de", "en", prior=[0.3, 0.7]), [(1, "de"), (2, "en"), (3, "en")])):
+        monkeypatch.setattr(cp, "learn", lambda *_, found=found: found)
+        assert sorted((r.doc_id, r.lang) for r in cp.language_id(spark, docs, SF).collect()) == want
+
+
 def test_near_dedup_keeps_one_of_each(spark):
     docs = sample(spark)
     kept = cp.near_dedup(spark, docs, SF)

@@ -6,6 +6,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 # op2: pages
@@ -47,6 +49,43 @@ def test_suffix_array_orders_and_counts():
         assert lcp[k] == n
 
 
+def test_runs_of_streams_against_loops():
+    from kinquery.llm.html_main import CHROME, MAIN, OPEN, Streams
+
+    rnd = random.Random(2)
+    hosts, roles, texts = [], [], []
+    for _ in range(30):
+        hosts.append(rnd.choice("ab"))
+        roles.append([rnd.choice((OPEN, CHROME, MAIN)) for _ in range(rnd.randint(0, 5))])
+        texts.append([" ".join(rnd.choice("xyz") for _ in range(rnd.randint(1, 12))) for _ in roles[-1]])
+    span, keys = 4, np.arange(100, 130)
+    streams = Streams(hosts, roles, texts, span)
+    want = {}
+    for key, host, rs, ts in zip(keys.tolist(), hosts, roles, texts, strict=True):
+        for r, t in zip(rs, ts, strict=True):
+            words = t.split(" ")
+            if r != MAIN:
+                for i in range(max(1, len(words) - span + 1)):
+                    want.setdefault((host, *words[i : i + span]), set()).add(key)
+    run, least, most = streams.runs(keys)
+    assert len(set(run.tolist())) == len(run) and sorted(zip(least.tolist(), most.tolist(), strict=True)) == sorted((min(v), max(v)) for v in want.values())
+    at = np.flatnonzero(streams.whole & (streams.block >= 0))
+    again = dict(zip(run.tolist(), zip(least.tolist(), most.tolist(), strict=True), strict=True))
+    for place, h in zip(at.tolist(), streams.hashed(at).tolist(), strict=True):
+        page, block, i = int(streams.page[place]), int(streams.block[place]), int(streams.at[place])
+        words = texts[page][block].split(" ")[i : i + span]
+        assert roles[page][block] == OPEN and again[h] == (min(want[hosts[page], *words]), max(want[hosts[page], *words]))
+    none = Streams([], [], [], span)
+    assert len(none.runs(np.zeros(0, np.int64))[0]) == 0
+
+
+def test_pages_in_slices():
+    from kinquery.llm.html_main import page_slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array([["a" * 3_000_000], [], ["b" * 2_000_000, "c"], ["d"], ["e" * 9_000_000], ["f"]])], ["texts"])
+    assert [p.num_rows for p in page_slices(batch)] == [2, 2, 1, 1] and [p.num_rows for p in page_slices(batch.slice(1, 3))] == [3]
+
+
 def test_boilerplate_by_repetition(spark):
     from kinquery.llm.html_main import main_text
 
@@ -215,8 +254,40 @@ def test_naive_bayes_against_dictionaries(spark):
             lang, score = by_hand(r.text)
             assert r.lang_pred == lang and abs(r.score - score) < 1e-3
     many = spark.createDataFrame([(i, f"word{i} ab", f"l{i:04d}") for i in range(600)], "doc_id long, text string, lang string")
-    model = learn(many, F.lit(True), most_cells=1 << 20)
-    assert len(model.langs) == 600 and model.buckets * 600 <= 1 << 20 and predict(many, model).count() == 600
+    model = learn(many, F.lit(True), 1 << 10, most_cells=1 << 20)
+    assert len(model.langs) == 600 and model.buckets == 1 << 10 and predict(many, model).count() == 600
+    with pytest.raises(ValueError, match="600 languages"):
+        learn(many, F.lit(True), most_cells=1 << 20)
+
+
+def test_windows_have_the_features_of_the_whole_text():
+    from kinquery.llm.language import features, windows
+
+    rnd = random.Random(4)
+    for n in (1, 2, 3, 7, 8, 9, 40, 500):
+        text = "".join(rnd.choice("abcé ,.Zß😀  \n") for _ in range(n))
+        grams, bounds = features([text], 1 << 12)
+        for size in (1, 2, 3, 8, 64):
+            parts = list(windows(text, 1 << 12, size))
+            for k in range(3):
+                assert np.concatenate([p[k] for p in parts]).tolist() == grams[k][: bounds[1]].tolist(), (text, size)
+
+
+def test_long_texts_are_read_in_windows(spark, monkeypatch):
+    from kinquery.llm import language
+
+    rows = sample_languages(60, 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs, F.lit(True))
+    for text in (rows[0][1], None, "", "é " * 40, rows[1][1] * 30):
+        whole = model.scores([text])[0]
+        monkeypatch.setattr(language, "LONG", 3)
+        assert np.allclose(model.scores([text])[0], whole, rtol=1e-6)
+        monkeypatch.undo()
+    batch = pa.RecordBatch.from_arrays([pa.array([None, "a" * 600_000, "", "b" * 600_000, *["c" * 400] * 3000])], ["text"])
+    parts = list(language._together(batch))
+    assert [len(t or "") for p in parts for t in p.column("text").to_pylist()] == [0, 600_000, 0, 600_000, *[400] * 3000]
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column("text").to_pylist()) < 1_100_000 for p in parts) and max(p.num_rows for p in parts) <= 250
 
 
 def test_features_by_hand():
