@@ -18,16 +18,23 @@ from kinquery.llm.simhash import one_of_each
 from kinquery.runtime import drop_scratch, scratch_mark, stored, table
 
 
+#: A document whose likeliest language has less than this probability counts as of no language.
+MIN_LANGUAGE_SCORE = 0.5
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those without a text or without any letter go.
+    """Documents whose language can be told, with that language where ``lang`` is null.
 
-    The two columns added for the decision have names that no column of the table has, and go again.
-    A table with a column of such a name keeps its own.
+    Those without a text or a letter go, and those whose likeliest language has a probability below
+    ``MIN_LANGUAGE_SCORE``. A language that is given stays. Repeated rows are kept. The two columns added for the
+    decision have names that no column of the table has, and go again. A table with a column of such
+    a name keeps its own.
     """
     free = "_" * (1 + max(map(len, docs.columns)))
     names = (f"{free}lang", f"{free}score")
     model = learn(docs, ~held_out(F.col("doc_id")))
-    return predict(docs, model, names).where(F.col(names[0]) != UND).select(docs.columns)
+    told = predict(docs, model, names).where((F.col(names[0]) != UND) & (F.col(names[1]) >= MIN_LANGUAGE_SCORE))
+    return told.withColumn("lang", F.coalesce("lang", names[0])).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +47,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands."""
+    """Documents in which no benchmark item stands. Null texts stay; repeated rows stay or go together."""
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, the piece ids of the text, how many there are, and the text decoded from them."""
+    """doc_id, the piece ids of the text, how many there are, and the text decoded from them.
+
+    A null text has no ids and an empty decoded text. Repeated rows stay; other columns are left out.
+    """
     both = encode_documents(docs.select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"), decoded="decoded")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
