@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from kinquery.functions import columns as C
 from kinquery.functions.templates import Template, templates
 from kinquery.functions.wording import ATTRIBUTE_ALIAS, plural_words, question_words
+from kinquery.operators.walks import Adjacency, below, permuted, ranked
 from kinquery.plans.compiler import evaluate, traces_of, values_of
 from kinquery.plans.facts import FactBase
 from kinquery.plans.relations import ASKABLE, ATTRIBUTES, EASY
@@ -171,6 +172,24 @@ def family_trees(spark: SparkSession, trees: int, seed: int = 1, rules: Rules |
     return spark.range(trees).mapInPandas(grow, PEOPLE)
 
 
+def assigned_names(people: DataFrame, firsts: DataFrame, lasts: DataFrame, seed: int = 1, duplicate_names: bool = False) -> DataFrame:
+    """people(i, numbered from 0) with first and last names of finite pools (name); no pair twice.
+
+    Person i gets the pair a keyed permutation of all pairs sends i to, so tasks need not agree on
+    what is taken. Fewer pairs than people are an error, unless ``duplicate_names``: pairs are then
+    drawn, and may come twice. Repeated names of a pool count once; null and empty ones don't.
+    """
+    pool = lambda names: stored(ranked(names.select("name").where("name <> ''").distinct(), ["name"], "pool", "__at"), "pool")
+    first, last = pool(firsts), pool(lasts)
+    n, pairs = people.count(), first.count() * (width := max(1, last.count()))
+    if not pairs or (n > pairs and not duplicate_names):
+        raise ValueError(f"{n} people and {pairs} names")
+    at = below(F.lit(pairs), "name", F.lit(seed), F.col("i")) if duplicate_names else permuted(F.col("i"), pairs, seed)
+    placed = people.withColumn("__p", at).withColumn("__f", F.floor(F.col("__p") / width)).withColumn("__l", F.col("__p") % width)
+    named = placed.join(first.select(F.col("__at").alias("__f"), F.col("name").alias("first")), "__f").join(last.select(F.col("__at").alias("__l"), F.col("name").alias("last")), "__l")
+    return named.select(*people.columns, "first", "last")
+
+
 def family_facts(people: DataFrame) -> DataFrame:
     """(pred, x, y, ord): types, genders, parents and birth dates, sorted inside each tree and kind."""
     edges = people.select("tree", F.col("name").alias("x"), F.explode(F.array("mother", "father")).alias("idx")).where("idx is not null")
@@ -239,32 +258,52 @@ def walk_edges(facts: FactBase, relations: tuple[str, ...] = ASKABLE) -> DataFra
     return out
 
 
-def sample_questions(facts: FactBase, template: Template, n: int, kind: int = 0, seed: int = 1, attempts: int = 100, easy: bool = False, edges: DataFrame | None = None, at_once: int = 10) -> DataFrame:
+@dataclass
+class Walks:
+    """What walks are drawn from: people numbered from 0 in the order of a hash, their relations, their attributes."""
+
+    people: DataFrame
+    many: int
+    edges: Adjacency
+    attributes: Adjacency
+
+    @classmethod
+    def of(cls, facts: FactBase, relations: tuple[str, ...] = ASKABLE, seed: int = 1, edges: DataFrame | None = None) -> Walks:
+        names = facts.person_names().select("name", F.xxhash64("name", F.lit(seed)).alias("h"))
+        people = stored(ranked(names, ["h", "name"], "people").select("name", "i"), "people")
+        have = None
+        for a in ATTRIBUTES:
+            part = facts.frame(a).select("x", F.lit(a).alias("rel"), "y").distinct().withColumn("mult", F.lit(1))
+            have = part if have is None else have.unionByName(part)
+        edges = edges if edges is not None else walk_edges(facts, relations)
+        return cls(people, people.count(), Adjacency.of(edges, "walk-edges"), Adjacency.of(have, "walk-attributes"))
+
+    def start(self, state: DataFrame, *what: Column | str) -> DataFrame:
+        """Each row with a person ``at``, all alike likely."""
+        drawn = state.withColumn("__i", below(F.lit(self.many), "start", *what))
+        return drawn.join(self.people.select(F.col("i").alias("__i"), F.col("name").alias("at")), "__i").drop("__i")
+
+
+def sample_questions(facts: FactBase, template: Template, n: int, kind: int = 0, seed: int = 1, attempts: int = 100, easy: bool = False, edges: DataFrame | None = None, at_once: int = 10, walks: Walks | None = None) -> DataFrame:
     """qid, type, question, query, answer of up to ``n`` questions of one template.
 
     The goals are walked from the last to the first: a person at random, then steps weighted by
-    their derivations. All questions and ``at_once`` attempts of each walk together, a join a goal;
+    their derivations. All questions and ``at_once`` attempts of each walk together, two lookups a goal;
     each question keeps its first attempt that didn't end, and those without one start again until
     ``attempts`` are used up. Questions that never succeed are left out.
     """
-    edges = edges if edges is not None else walk_edges(facts, EASY if easy else ASKABLE)
+    walks = walks or Walks.of(facts, EASY if easy else ASKABLE, seed, edges)
     spark = facts.spark
-    names = facts.person_names()
-    people = names.select("name", F.xxhash64("name", F.lit(seed)).alias("h"))
-    many = names.count()
-    if not many:
+    if not walks.many:
         raise ValueError("nobody to ask about")
-    from pyspark.sql import Window as W
-
-    listed = people.select("name", (F.row_number().over(W.orderBy("h", "name")) - 1).alias("i")) if many <= 100_000 else None
     done = None
     for first in range(0, attempts, at_once):
         todo = spark.range(n).select(F.col("id").cast("int").alias("q")) if done is None else spark.range(n).select(F.col("id").cast("int").alias("q")).join(done.select("q"), "q", "left_anti")
         state = todo.select("q", F.explode(F.sequence(F.lit(first), F.lit(min(attempts, first + at_once) - 1))).alias("a"))
-        state = _start(state, listed, people, many, kind, seed)
+        state = walks.start(state, F.col("q"), F.col("a"), F.lit(kind), F.lit(seed)).select("q", "a", "at")
         state = state.withColumn("values", F.create_map().cast("map<string,string>")).withColumn("words", F.create_map().cast("map<string,string>"))
         for step, goal in enumerate(reversed(template.goals)):
-            state = _take(state, goal, facts, edges, kind, seed, step)
+            state = _take(state, goal, walks, kind, seed, step)
         best = state.groupBy("q").agg(F.min_by(F.struct("values", "words"), "a").alias("m")).select("q", "m.values", "m.words")
         found = stored(best, "walked")
         done = found if done is None else done.unionByName(found)
@@ -278,46 +317,24 @@ def sample_questions(facts: FactBase, template: Template, n: int, kind: int = 0,
     return done.select(C.stable_id(F.lit(seed), F.lit(kind), "q").alias("qid"), F.lit(kind).cast("long").alias("type"), text.alias("question"), filled.alias("query"), F.lit(template.answer).alias("answer"), C.goals_difficulty(filled).alias("difficulty"))
 
 
-def _start(state: DataFrame, listed: DataFrame | None, people: DataFrame, many: int, kind: int, seed: int) -> DataFrame:
-    """A person for each (q, a): by number where they were numbered, else the next one of a random hash."""
-    draw = F.pmod(F.xxhash64(F.lit("start"), "q", "a", F.lit(kind), F.lit(seed)), F.lit(many))
-    if listed is not None:
-        return state.withColumn("i", draw.cast("int")).join(listed, "i").select("q", "a", F.col("name").alias("at"))
-    fine = max(1, many // 8)
-    bucketed = people.select("name", F.pmod("h", F.lit(fine)).alias("b"))
-    want = state.withColumn("b", F.pmod(F.xxhash64(F.lit("start"), "q", "a", F.lit(kind), F.lit(seed)), F.lit(fine)))
-    race = F.xxhash64("q", "a", "name")
-    return want.join(bucketed, "b").groupBy("q", "a").agg(F.min_by("name", race).alias("at"))
-
-
-def _take(state: DataFrame, goal: str, facts: FactBase, edges: DataFrame, kind: int, seed: int, step: int) -> DataFrame:
+def _take(state: DataFrame, goal: str, walks: Walks, kind: int, seed: int, step: int) -> DataFrame:
     """One goal of the walk: choose an edge (or an attribute) of the person where each walk is."""
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), F.lit(kind), F.lit(step), "q", "a", "rel", "y"), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
-    race = -F.log(uniform) / F.col("mult")
     key = re.search(r"<(?:relation|relation_plural|attribute_name)>_\d+", goal)[0]
     name, value = re.search(r"<name>_\d+", goal), re.search(r"<attribute_value>_\d+", goal)
-    words = question_words() | ATTRIBUTE_ALIAS
-    if key.startswith("<attribute_name>"):
-        have = None
-        for a in ATTRIBUTES:
-            part = facts.frame(a).select("x", F.lit(a).alias("rel"), "y").distinct().withColumn("mult", F.lit(1))
-            have = part if have is None else have.unionByName(part)
-    else:
-        have = edges
-        if key.startswith("<relation_plural>"):
-            words = plural_words()
-    chosen = state.join(have, F.col("at") == F.col("x")).groupBy("q", "a").agg(F.min_by(F.struct("rel", "y", "at", "values", "words"), race).alias("m"))
-    put = [F.lit(key), F.col("m.rel")]
-    say = [F.lit(key), C.alias_of(F.col("m.rel"), words)]
+    words = plural_words() if key.startswith("<relation_plural>") else question_words() | ATTRIBUTE_ALIAS
+    have = walks.attributes if key.startswith("<attribute_name>") else walks.edges
+    chosen = have.choose(state, "at", below(F.col("__total"), F.lit(seed), F.lit(kind), F.lit(step), F.col("q"), F.col("a")))
+    put = [F.lit(key), F.col("rel")]
+    say = [F.lit(key), C.alias_of(F.col("rel"), words)]
     if name:
-        put += [F.lit(name[0]), F.col("m.at")]
-        say += [F.lit(name[0]), F.col("m.at")]
+        put += [F.lit(name[0]), F.col("at")]
+        say += [F.lit(name[0]), F.col("at")]
     if value:
-        put += [F.lit(value[0]), F.col("m.y")]
-        say += [F.lit(value[0]), F.col("m.y")]
+        put += [F.lit(value[0]), F.col("y")]
+        say += [F.lit(value[0]), F.col("y")]
     # an attribute's value names the person, the walk stays with them; else it goes on to the target
-    onward = F.col("m.at") if value else F.col("m.y")
-    return chosen.select("q", "a", onward.alias("at"), F.map_concat("m.values", F.create_map(*put)).alias("values"), F.map_concat("m.words", F.create_map(*say)).alias("words"))
+    onward = F.col("at") if value else F.col("y")
+    return chosen.select("q", "a", onward.alias("at"), F.map_concat("values", F.create_map(*put)).alias("values"), F.map_concat("words", F.create_map(*say)).alias("words"))
 
 
 def answered(facts: FactBase, questions: DataFrame, template: Template, traced: bool = False) -> DataFrame:

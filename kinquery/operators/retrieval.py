@@ -7,67 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinquery.functions import columns as C
-from kinquery.runtime import stored
+from kinquery.operators.bm25 import Bm25Index, bm25, tokens, top  # noqa: F401
 
 BROADCAST_BYTES = 8 << 20
 
 
-def tokens(text: Column | str) -> Column:
-    """Lower-case runs of letters and digits."""
-    text = F.col(text) if isinstance(text, str) else text
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", -1), "")
-
-
-def top(rows: DataFrame, by: list[str], k: int, score: Column, ties: list[str]) -> DataFrame:
-    """The k best rows of each group by falling score, then by the tie columns; ``rank`` from 1."""
-    order = W.partitionBy(*by).orderBy(score.desc(), *ties)
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-class Bm25Index:
-    """Term counts of a corpus, built once and searched many times.
-
-    Postings are counted by document before anything is shuffled and kept in memory, spilling to
-    disk; ``close()`` lets them go.
-    """
-
-    def __init__(self, docs: DataFrame, doc: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75, terms: DataFrame | None = None, keep: bool = True):
-        self.doc, self.k1, self.b = doc, k1, b
-        read = docs.select(F.col(doc).alias("__d"), tokens(text).alias("w"))
-        self.total = read.agg(F.count(F.lit(1)).cast("double").alias("docs"), F.avg(F.size("w").cast("double")).alias("mean"))
-        rows = read.select("__d", F.size("w").cast("double").alias("len"), F.explode("w").alias("t"))
-        self.only_asked = terms is not None
-        if self.only_asked:
-            rows = rows.join(terms, "t", "left_semi")
-        self.postings = rows.groupBy("t", "__d", "len").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-        if keep:
-            from pyspark import StorageLevel
-
-            self.postings.persist(StorageLevel.MEMORY_AND_DISK)
-        else:
-            self.postings = stored(self.postings, "postings")
-
-    def search(self, queries: DataFrame, k: int = 4, query: str = "query_id", query_text: str = "query") -> DataFrame:
-        """query, doc, score, rank. Terms count once a query; ties go to the smaller doc."""
-        asked = queries.select(F.col(query).alias("__q"), F.explode(F.array_distinct(tokens(query_text))).alias("t"))
-        tf = self.postings if self.only_asked else self.postings.join(asked.select("t").distinct(), "t", "left_semi")
-        df = tf.groupBy("t").agg(F.count(F.lit(1)).cast("double").alias("df"))
-        weighted = tf.join(df, "t").crossJoin(F.broadcast(self.total))
-        idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weight = idf * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("len") / F.col("mean")))
-        found = weighted.select("t", "__d", weight.alias("s")).join(asked, "t").groupBy("__q", "__d").agg(F.sum("s").alias("score"))
-        return top(found, ["__q"], k, F.round("score", 9), ["__d"]).select(F.col("__q").alias(query), F.col("__d").alias(self.doc), "score", "rank")
-
-    def close(self) -> None:
-        self.postings.unpersist()
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 4, doc: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """A single search: only terms of the queries leave the documents."""
-    wanted = queries.select(F.explode(F.array_distinct(tokens(query_text))).alias("t")).distinct()
-    return Bm25Index(docs, doc, text, k1, b, wanted, keep=False).search(queries, k, query, query_text)
-
-
 def ids_by_title(docs: DataFrame, title: str = "title", order: str = "doc_id") -> DataFrame:
     """title, ids in order."""
     return docs.groupBy(title).agg(F.array_sort(F.collect_list(order)).alias("ids"))

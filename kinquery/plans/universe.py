@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinquery.functions import columns as C
 from kinquery.functions.templates import templates
 from kinquery.operators.documents import articles
-from kinquery.operators.generation import Rules, answered, generate, sample_questions, walk_edges
+from kinquery.operators.generation import Rules, Walks, answered, generate, sample_questions
 from kinquery.plans.facts import FactBase
 from kinquery.plans.relations import ASKABLE, EASY
 from kinquery.runtime import stored
@@ -49,10 +49,10 @@ def questions(facts: FactBase, config: Config) -> DataFrame:
     Each template's records are written before the next one's are planned, so that no plan grows with
     the number of templates.
     """
-    edges = stored(walk_edges(facts, EASY if config.easy else ASKABLE), "walk-edges")
+    walks = Walks.of(facts, EASY if config.easy else ASKABLE, config.seed)
     out = None
     for kind, t in enumerate(templates(config.depth)):
-        asked = stored(sample_questions(facts, t, config.per_type, kind, config.seed, config.attempts, config.easy, edges), "asked")
+        asked = stored(sample_questions(facts, t, config.per_type, kind, config.seed, config.attempts, walks=walks), "asked")
         rows = answered(facts, asked, t, not config.skip_traces)
         if config.skip_traces:
             rows = rows.withColumn("traces", F.lit("[]"))

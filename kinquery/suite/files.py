@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -333,15 +335,91 @@ def gen_attribute_rules(spark, sf_dir):
 def walk_rules(spark, sf_dir):
     """Walked questions: each has an answer, as the walk had one, and its answers are its own plan's."""
     from kinquery.functions.templates import templates
-    from kinquery.operators.generation import answered, sample_questions, walk_edges
+    from kinquery.operators.generation import Walks, answered, sample_questions
     from kinquery.plans.relations import EASY
     from kinquery.runtime import stored
 
     kin, t = facts(spark, sf_dir), templates(6)[1]
-    edges = stored(walk_edges(kin, EASY), "edges")
-    asked = stored(sample_questions(kin, t, 12, 1, edges=edges, at_once=10, attempts=40), "asked")
+    asked = stored(sample_questions(kin, t, 12, 1, walks=Walks.of(kin, EASY), at_once=10, attempts=40), "asked")
     found = stored(answered(kin, asked, t), "answered")
-    one = found.orderBy("qid").limit(1).collect()  # the feature: one question, planned by itself
-    alone = [kin.answer(r["query"], r["answer"]).first()["answer"] for r in one]
-    differ = spark.range(sum(sorted(a) != sorted(r["solutions"]) for a, r in zip(alone, one, strict=True)))
+    alone = [kin.answer(r["query"], r["answer"]).select(F.lit(r["qid"]).alias("qid"), F.col("answer").alias("alone")) for r in found.collect()]  # twelve questions
+    differ = found.join(reduce(DataFrame.unionByName, alone), "qid", "left").where(~F.array_sort("solutions").eqNullSafe(F.array_sort("alone")))
     return _broken({"answers": found.where("size(solutions) = 0"), "goals": found.where(F.size("query") != len(t.goals)), "placeholders": found.where("question rlike '<|>' or array_join(query, ' ') rlike '<|>'"), "plan": differ})
+
+
+@_query("walk_steps", _none_of("edges", "people", "starts", "relations"))
+def walk_steps(spark, sf_dir):
+    """Twenty steps a person from people drawn at random: edges exist, and people and relations come as often as they should.
+
+    Bounds: each person within 36 of the 20 starts expected (8 standard deviations), each relation within
+    6 standard deviations of what the weights of the drawn people's edges give.
+    """
+    from kinquery.operators.generation import Walks, walk_edges
+    from kinquery.operators.walks import below
+    from kinquery.plans.relations import EASY
+    from kinquery.runtime import stored
+
+    kin = facts(spark, sf_dir)
+    edges = stored(walk_edges(kin, EASY), "edges")
+    walks = Walks.of(kin, edges=edges)
+    state = walks.people.select(F.col("i").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("a"))
+    starts = stored(walks.start(state, F.col("q"), F.col("a")), "starts")
+    drawn = stored(walks.edges.choose(starts, "at", below(F.col("__total"), "step", F.col("q"), F.col("a"))), "steps")
+    often = walks.people.join(starts.groupBy(F.col("at").alias("name")).agg(F.count(F.lit(1)).alias("n")), "name", "left")
+    total = edges.groupBy("x").agg(F.sum("mult").alias("total"))
+    share = edges.groupBy("x", "rel").agg(F.sum("mult").alias("mult")).join(total, "x").select("x", "rel", (F.col("mult") / F.col("total")).alias("p"))
+    mean = starts.groupBy(F.col("at").alias("x")).agg(F.count(F.lit(1)).alias("c")).join(share, "x").groupBy("rel").agg(F.sum(F.col("c") * F.col("p")).alias("m"), F.sum(F.col("c") * F.col("p") * (1 - F.col("p"))).alias("v"))
+    by_rel = mean.join(drawn.groupBy("rel").agg(F.count(F.lit(1)).alias("n")), "rel", "left")
+    return _broken({
+        "edges": drawn.join(edges.select(F.col("x").alias("at"), "rel", "y"), ["at", "rel", "y"], "left_anti"),
+        "people": starts.join(walks.people.select(F.col("name").alias("at")), "at", "left_anti"),
+        "starts": often.where(F.abs(F.coalesce("n", F.lit(0)) - 20) > 36),
+        "relations": by_rel.where(F.abs(F.coalesce("n", F.lit(0)) - F.col("m")) > 6 * F.sqrt("v") + 1),
+    })
+
+
+_CHAIN = ("friend", "parent", "sibling", "child")
+
+
+@_query("bindings_sampled", f"""{with_rules(*_CHAIN)}, n AS (SELECT count(*) AS n FROM (SELECT DISTINCT x, y FROM friend) a JOIN (SELECT DISTINCT x, y FROM parent) b ON b.x = a.y JOIN (SELECT DISTINCT x, y FROM sibling) c ON c.x = b.y JOIN (SELECT DISTINCT x, y FROM child) d ON d.x = c.y)
+    SELECT CAST(n AS BIGINT) AS bindings, CAST(least(n, 1000) AS BIGINT) AS drawn, CAST(least(n, 1000) AS BIGINT) AS different, CAST(least(n, 1000) AS BIGINT) AS hold FROM n""")
+def bindings_sampled(spark, sf_dir):
+    """A thousand bindings of four goals at random without any twice: how many there are, and that each drawn one holds."""
+    from kinquery.operators.walks import chain_draws
+    from kinquery.runtime import stored
+
+    kin = facts(spark, sf_dir)
+    total, drawn = chain_draws([kin.relation(r) for r in _CHAIN], 1000)
+    drawn = stored(drawn, "drawn")
+    held = drawn
+    for k, r in enumerate(_CHAIN):
+        held = held.join(kin.relation(r).select(F.col("x").alias(f"p{k}"), F.col("y").alias(f"p{k + 1}")), [f"p{k}", f"p{k + 1}"], "left_semi")
+    names = [f"p{k}" for k in range(len(_CHAIN) + 1)]
+    count = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
+    return spark.range(1).select(F.lit(total).cast("long").alias("bindings")).crossJoin(count(drawn, "drawn")).crossJoin(count(drawn.select(*names).distinct(), "different")).crossJoin(count(held, "hold"))
+
+
+@_query("names_assigned", f"{_none_of('people', 'twice', 'first', 'last', 'too few')} UNION ALL SELECT 'named', (SELECT count(*) FROM customer)")
+def names_assigned(spark, sf_dir):
+    """Customers get pairs of part and supplier names, each pair once; a pool that is too small is an error."""
+    from kinquery.operators.generation import assigned_names
+    from kinquery.operators.walks import ranked
+    from kinquery.runtime import stored
+
+    people = ranked(table(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"], "people")
+    firsts, lasts = table(spark, sf_dir, "part").select(F.substring_index("p_name", " ", 1).alias("name")), table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"))
+    enough = firsts.select("name").unionByName(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))).unionByName(table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")).where("c_custkey % 10 = 0"))
+    named = stored(assigned_names(people, enough, lasts), "named")
+    try:
+        assigned_names(people, firsts.limit(1), lasts.limit(1))
+        refused = spark.range(1)
+    except ValueError:
+        refused = spark.range(0)
+    rules = _broken({
+        "people": people.join(named, "c_custkey", "left_anti"),
+        "twice": named.groupBy("first", "last").count().where("count > 1"),
+        "first": named.join(enough.select(F.col("name").alias("first")), "first", "left_anti"),
+        "last": named.join(lasts.select(F.col("name").alias("last")), "last", "left_anti"),
+        "too few": refused,
+    })
+    return rules.unionByName(named.agg(F.count(F.lit(1)).alias("n")).select(F.lit("named").alias("rule"), "n"))
