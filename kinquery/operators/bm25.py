@@ -8,12 +8,13 @@ A search goes in two rounds. First the rarest terms of each query find some docu
 exact scores give a score that the k-th best has at least. Then, in each query and band, the terms
 of the lowest bounds are set aside while their bounds together stay below a part of that score; a
 band whose bounds together don't reach it is left out. Only the postings of the other terms are read
-and added up, and only documents that can still reach the score get an exact one, from their own
-terms. Nothing is cut off: with fewer than k scored documents the bound is 0 and all are read.
+and added up, and only documents that can still reach the score get an exact one, for which the terms
+set aside are looked up. Nothing is cut off: with fewer than k scored documents the bound is 0 and all
+are read.
 
-Postings are dealt out by (term, band, part of the documents), so a word that every document has is
-many keys. A stored index is three bucketed tables below a path; a search joins them without
-shuffling postings, more documents are appended, and any session can open it.
+Postings are dealt out by (term, part of the documents), so a word that every document has is many
+keys. A stored index is two bucketed tables below a path; a search joins them without shuffling
+postings, more documents are appended, and any session can open it.
 """
 
 from __future__ import annotations
@@ -27,13 +28,14 @@ from pyspark.sql import functions as F
 
 from kinquery.runtime import stored
 
+_SUBSET = "spark.sql.requireAllClusterKeysForCoPartition"
 #: Documents that a query's rarest terms may have together before its first exact scores, by k.
 FIRST_READ = 100
 #: How many of those get exact scores, by k.
 FIRST_SCORED = 8
 #: Terms are set aside while their bounds stay below this part of the score to reach.
 ASIDE = 0.7
-PARTS = 4
+PARTS = 16
 
 
 def tokens(text: Column | str) -> Column:
@@ -68,12 +70,6 @@ def _counted(docs: DataFrame, doc: str, text: str, terms: DataFrame | None) -> D
     return rows.select("t", "d", "len", _band(F.col("len")).alias("band"), _part(F.col("d")).alias("part"), "tf")
 
 
-def _forward(counted: DataFrame) -> DataFrame:
-    """d, len, tfs: a document's terms with their counts."""
-    entries = F.map_from_entries(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("t", "tf"))))
-    return counted.groupBy("d").agg(F.first("len").alias("len"), entries.alias("tfs"))
-
-
 def _bounds(counted: DataFrame) -> DataFrame:
     """t, band, n, most, short."""
     return counted.where("t is not null").groupBy("t", "band").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("len").alias("short"))
@@ -89,7 +85,7 @@ class Bm25Index:
             return
         counted = stored(_counted(docs, doc, text, terms), "bm25-counted")
         self.postings, self.marks = counted.where("t is not null"), counted.where("t is null")
-        self.docs, self.bounds = stored(_forward(counted), "bm25-docs"), stored(_bounds(counted), "bm25-bounds")
+        self.bounds = stored(_bounds(counted), "bm25-bounds")
 
     # a stored index
 
@@ -123,15 +119,13 @@ class Bm25Index:
         """Schema, bucket columns and rows of each table."""
         kind = self.meta["id"]
         return {
-            "postings": (f"t string, d {kind}, len int, band int, part int, tf int", ["t", "band", "part"], lambda c: c),
-            "docs": (f"d {kind}, len int, tfs map<string,int>", ["d"], _forward),
+            "postings": (f"t string, d {kind}, len int, band int, part int, tf int", ["t", "part"], lambda c: c),
             "bounds": ("t string, band int, n long, most int, short int", ["t"], _bounds),
         }
 
     def _read(self) -> None:
         rows = {n: self.spark.table(self._name(n)) for n in self._tables()}
         self.postings, self.marks = rows["postings"].where("t is not null"), rows["postings"].where("t is null")
-        self.docs = rows["docs"]
         self.bounds = rows["bounds"].groupBy("t", "band").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.min("short").alias("short"))
 
     def add(self, docs: DataFrame, text: str = "text") -> Bm25Index:
@@ -150,16 +144,10 @@ class Bm25Index:
         """What a term gives besides its idf."""
         return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length / mean))
 
-    def _exact(self, pairs: DataFrame, asked: DataFrame, mean: float) -> DataFrame:
-        """q, d, score of pairs (q, d): all of a query's terms looked up among the document's."""
-        lists = asked.groupBy("q").agg(F.collect_list(F.struct("t", "idf")).alias("terms"))
-        joined = pairs.join(lists, "q").join(self.docs, "d")
-
-        def plus(total: Column, term: Column) -> Column:
-            tf = F.try_element_at("tfs", term["t"]).cast("double")
-            return total + F.when(tf.isNotNull(), term["idf"] * self._gives(tf, F.col("len"), mean)).otherwise(0.0)
-
-        return joined.select("q", "d", F.aggregate("terms", F.lit(0.0), plus).alias("score"))
+    def _looked_up(self, pairs: DataFrame, mean: float) -> DataFrame:
+        """q, d, s of rows (q, d, part, t, idf) whose document has the term: what it gives."""
+        found = pairs.join(self.postings.select("t", "part", "d", "len", "tf"), ["t", "part", "d"])
+        return found.select("q", "d", (F.col("idf") * self._gives(F.col("tf").cast("double"), F.col("len"), mean)).alias("s"))
 
     def search(self, queries: DataFrame, k: int = 4, query: str = "query_id", query_text: str = "query") -> DataFrame:
         """query, doc, score, rank. Terms count once a query; ties go to the smaller doc.
@@ -170,32 +158,58 @@ class Bm25Index:
         return top(found, ["q"], k, F.round("score", 9), ["d"]).select(F.col("q").alias(query), F.col("d").alias(self.doc), "score", "rank")
 
     def scored(self, queries: DataFrame, k: int = 4, query: str = "query_id", query_text: str = "query") -> DataFrame:
-        """q, d, score of every document that may be among a query's k best."""
+        """q, d, score of every document that may be among a query's k best; written, as later steps read it."""
+        spark = self.postings.sparkSession
         docs, mean = self.marks.agg(F.count(F.lit(1)), F.avg("len")).first()
         mean = float(mean or 1) or 1.0
         words = queries.select(F.col(query).alias("q"), F.explode(F.array_distinct(tokens(query_text))).alias("t")).distinct()
         near = self.bounds.join(words.select("t").distinct(), "t", "left_semi")
         df = near.groupBy("t").agg(F.sum("n").alias("df"))
         idf = F.log(1 + (F.lit(float(docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        asked = stored(words.join(df, "t").select("q", "t", "df", idf.alias("idf")), "bm25-asked")
+        held = spark.conf.get(_SUBSET)
+        spark.conf.set(_SUBSET, "false")  # buckets of (t, part) do for joins on (t, part, d)
+        try:
+            asked = stored(words.join(df, "t").select("q", "t", "df", idf.alias("idf")), "bm25-asked")
+            split = stored(self._split(asked, near, self._reach(asked, k, mean), mean), "bm25-split")
+            left = stored(self._left(split, mean), "bm25-left")
+            aside = split.where("aside").select("q", "band", "t", "idf")
+            more = self._looked_up(left.join(aside, ["q", "band"]), mean)
+            return stored(left.select("q", "d", "s").unionByName(more).groupBy("q", "d").agg(F.sum("s").alias("score")), "bm25-scored")
+        finally:
+            spark.conf.set(_SUBSET, held)
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("part", F.explode(F.array(*map(F.lit, range(PARTS)))))
+
+    def _reach(self, asked: DataFrame, k: int, mean: float) -> DataFrame:
+        """q, reach: a score that a query's k-th best has at least, from documents that hold its rarest terms."""
         before = F.sum("df").over(W.partitionBy("q").orderBy("df", "t").rowsBetween(W.unboundedPreceding, -1))
-        rare = asked.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < FIRST_READ * k)
+        rare = asked.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < FIRST_READ * k).select("q", "t", "idf")
         s = F.sum(F.col("idf") * self._gives(F.col("tf").cast("double"), F.col("len"), mean)).alias("s")
-        some = rare.select("q", "t", "idf").join(self.postings.select("t", "d", "len", "tf"), "t").groupBy("q", "d").agg(s)
-        first = self._exact(top(some, ["q"], FIRST_SCORED * k, F.col("s"), ["d"]).select("q", "d"), asked, mean)
-        best = F.sort_array(F.collect_list("score"), asc=False)  # 8 k scores a query
-        reach = first.groupBy("q").agg((F.coalesce(F.get(best, F.lit(k - 1)), F.lit(0.0)) * (1 - 1e-9) - 1e-6).alias("reach"))
+        some = self._dealt(rare).join(self.postings.select("t", "part", "d", "len", "tf"), ["t", "part"]).groupBy("q", "d", "part").agg(s)
+        first = stored(top(some, ["q"], FIRST_SCORED * k, F.col("s"), ["d"]).select("q", "d", "part"), "bm25-first")
+        exact = self._looked_up(first.join(asked.select("q", "t", "idf"), "q"), mean).groupBy("q", "d").agg(F.sum("s").alias("s"))
+        best = F.sort_array(F.collect_list("s"), asc=False)  # 8 k scores a query
+        return exact.groupBy("q").agg((F.coalesce(F.get(best, F.lit(k - 1)), F.lit(0.0)) * (1 - 1e-9) - 1e-6).alias("reach"))
+
+    def _split(self, asked: DataFrame, near: DataFrame, reach: DataFrame, mean: float) -> DataFrame:
+        """By query and band the terms, which of them are set aside, and what those can give together."""
         bound = F.col("idf") * self._gives(F.col("most").cast("double"), F.col("short"), mean)
         wide = asked.join(near.select("t", "band", "most", "short"), "t").join(reach, "q").select("q", "band", "t", "idf", bound.alias("bound"), "reach")
-        here = W.partitionBy("q", "band")
+        here = W.partitionBy("q", "band")  # a query's terms
         upto = F.sum("bound").over(here.orderBy("bound", "t").rowsBetween(W.unboundedPreceding, W.currentRow))
         split = wide.withColumns({"upto": upto, "whole": F.sum("bound").over(here)}).where(F.col("whole") >= F.col("reach"))
-        aside = F.col("upto") < ASIDE * F.col("reach")
-        split = split.withColumn("aside", aside).withColumn("rest", F.coalesce(F.max(F.when(F.col("aside"), F.col("upto"))).over(here), F.lit(0.0)))
-        essential = split.where(~F.col("aside")).select("q", "t", "band", "idf", "rest", "reach", F.explode(F.array(*map(F.lit, range(PARTS)))).alias("part"))
-        partial = essential.join(self.postings, ["t", "band", "part"]).groupBy("q", "d").agg(s, F.max("rest").alias("rest"), F.max("reach").alias("reach"))
-        left = stored(partial.where(F.col("s") + F.col("rest") >= F.col("reach")).select("q", "d"), "bm25-left")
-        return self._exact(left, asked, mean)
+        split = split.withColumn("aside", F.col("upto") < ASIDE * F.col("reach"))
+        return split.withColumn("rest", F.coalesce(F.max(F.when(F.col("aside"), F.col("upto"))).over(here), F.lit(0.0))).drop("upto", "whole", "bound")
+
+    def _left(self, split: DataFrame, mean: float) -> DataFrame:
+        """q, d, band, part, s of documents that can reach the score; s is what the terms not set aside give."""
+        essential = split.where(~F.col("aside")).groupBy("q", "t").agg(F.first("idf").alias("idf"), F.collect_set("band").alias("bands"))
+        met = self._dealt(essential).join(self.postings, ["t", "part"]).where(F.array_contains("bands", F.col("band")))
+        s = F.sum(F.col("idf") * self._gives(F.col("tf").cast("double"), F.col("len"), mean)).alias("s")
+        partial = met.groupBy("q", "d", "band", "part").agg(s)
+        rest = split.groupBy("q", "band").agg(F.max("rest").alias("rest"), F.max("reach").alias("reach"))
+        return partial.join(rest, ["q", "band"]).where(F.col("s") + F.col("rest") >= F.col("reach")).select("q", "d", "band", "part", "s")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 4, doc: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query", k1: float = 1.5, b: float = 0.75) -> DataFrame:

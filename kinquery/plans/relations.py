@@ -84,7 +84,7 @@ def program() -> str:
             steps = path.rstrip("!").split(".")
             at = ["X", *(f"V{i}" for i in range(1, len(steps))), "Y"]
             goals = [f"{s[1:]}({at[i + 1]}, {at[i]})" if s.startswith("~") else f"{s}({at[i]}, {at[i + 1]})" for i, s in enumerate(steps)]
-            goals += ["X \\= Y"] * path.endswith("!") + [f"{GENDERS[gender]}(Y)"] * bool(gender)
+            goals += ["X \\= Y"] * path.endswith("!") + ([f"{GENDERS[gender]}(Y)"] if gender else [])
             clauses.append(f"{name}(X, Y) :-\n    " + ",\n    ".join(goals) + ".\n")
     return "\n".join(clauses)
 

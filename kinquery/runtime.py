@@ -74,26 +74,32 @@ def scratch_mark() -> int:
     return len(_SCRATCH)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+#: Rows of a file, where a table's rows are known to be few; a file costs as much as many rows do.
+ROWS_A_FILE = 20_000
+
+
+def stored(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back.
 
     This cuts the lineage; the shuffle files of the job go with its end, as the table is all that
-    later jobs read.
+    later jobs read. ``rows``: how many there are at most, where that is known. Small tables then
+    have a file for ``ROWS_A_FILE`` rows instead of one for each shuffle partition, as on a file system
+    without native calls every file starts processes; large ones are written as they are.
     """
     spark = df.sparkSession
     path = scratch_path(spark, what)
     before = spark.conf.get(_CLEAN)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_FILE)))).write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Cut the lineage with a table in the shared folder, which outlives lost executors."""
-    return stored(df, "cut")
+    return stored(df, "cut", rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
