@@ -37,4 +37,5 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             return now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component").unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
         seen = mark
-        now = checkpoint(_star(checkpoint(_star(now, small=False)), small=True))
+        most = 2 * mark[0]  # a star has an edge a pair or node at most
+        now = checkpoint(_star(checkpoint(_star(now, small=False), most), small=True), most)

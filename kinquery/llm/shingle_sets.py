@@ -365,14 +365,15 @@ def _in_shards(rows: DataFrame, sets: DataFrame, similarity: float, hot: int) ->
     """rows(k, a, n, i, rep) of keys of many classes: edges (a, b) of reps that connect all similar ones."""
     most = SHARD_SHINGLES
     size = (F.count(F.lit(1)).alias("c"), F.sum(F.col("n").cast("long")).alias("t"))
-    sized = rows.join(checkpoint(rows.groupBy("k").agg(*size).where("c > 1")), "k")  # small once written, so rows stay where they are
+    held = rows.count()
+    sized = rows.join(checkpoint(rows.groupBy("k").agg(*size).where("c > 1"), held), "k")  # small once written, so rows stay where they are
     fit = (F.col("c") <= hot) & (F.col("t") <= most)
     whole = F.lit(-1).cast("long")
     cols = ("a", "i", "rep", "k")
     small = sized.where(fit).select(*cols, whole.alias("band"), whole.alias("x"), whole.alias("y"))
     own = F.floor(F.log("n") / F.lit(-np.log(similarity)) + F.lit(EPS))
     banded = sized.where(~fit).select(*cols, "n", own.alias("own"), F.explode(F.array(own, own + 1)).alias("band"))
-    bands = checkpoint(banded.groupBy("k", "band").agg(*size, F.max(F.col("own") == F.col("band")).alias("home")).where("c > 1 and home"))
+    bands = checkpoint(banded.groupBy("k", "band").agg(*size, F.max(F.col("own") == F.col("band")).alias("home")).where("c > 1 and home"), 2 * held)
     parts = F.ceil(F.greatest(F.col("c") / hot, F.col("t") / most))
     cut = banded.join(bands.select("k", "band", parts.alias("g")), ["k", "band"]).withColumn("h", F.pmod(F.xxhash64("rep"), "g"))
     pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda o: F.struct(F.least("h", o).alias("x"), F.greatest("h", o).alias("y")))).alias("p")
@@ -408,7 +409,7 @@ def similar_classes(docs: DataFrame, prints: DataFrame, similarity: float = 0.8,
     ``prints``: what ``set_prints`` gave for ``docs``, stored.
     """
     one = F.min(F.struct("doc_id", "n", "counts")).alias("o")
-    classes = stored(prints.groupBy("same").agg(one).select("same", F.col("o.doc_id").alias("rep"), "o.n", "o.counts"), "set-classes")
+    classes = stored(prints.groupBy("same").agg(one).select("same", F.col("o.doc_id").alias("rep"), "o.n", "o.counts"), "set-classes", prints.count())
     shared = docs.sparkSession.sparkContext.broadcast(frequent(prints, cold, ordered))
     met = stored(meetings(prefixes(docs, shared, similarity, shingle, seed), shared, similarity, cold), "meetings")
     side = lambda c: classes.select(F.col("same").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("rep", "n", "counts")))

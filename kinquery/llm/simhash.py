@@ -259,9 +259,10 @@ def link_classes(classes: DataFrame, radius: int = 2, hot: int = 128) -> DataFra
 def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: int = 2, hot: int = 128) -> DataFrame:
     """One row a document: doc_id, fp, component_id (the smallest doc_id reachable over links)."""
     prints = stored(fingerprints(docs, shingle, seed), "fingerprints")
-    classes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    n = prints.count()
+    classes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), n)
     groups = components(link_classes(classes.where("rep is not null"), radius, hot))
-    named = checkpoint(classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
+    named = checkpoint(classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), n)
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -271,8 +272,8 @@ def _to_class(nodes: DataFrame, classes: DataFrame, on: str) -> DataFrame:
     return pairs.where("a <> b").select("a", "b")
 
 
-def copies(docs: DataFrame, similarity: float | None = None, shingle: int = 3, seed: int = 42, radius: int = 2, hot: int = 128, **sets) -> DataFrame:
-    """doc_id of all documents that aren't their component's smallest.
+def copies(docs: DataFrame, similarity: float | None = None, shingle: int = 3, seed: int = 42, radius: int = 2, hot: int = 128, **sets) -> tuple[DataFrame, DataFrame]:
+    """doc_id of all documents that aren't their component's smallest, and doc_id of those that come several times.
 
     Components are those of fingerprints; with ``similarity`` the links of similar shingle sets
     count as well. Texts are hashed once for both, and components are found once, over classes:
@@ -283,8 +284,9 @@ def copies(docs: DataFrame, similarity: float | None = None, shingle: int = 3, s
     mark = scratch_mark()
     known = docs.where("doc_id is not null")
     prints = stored(fingerprints(known, shingle, seed) if similarity is None else set_prints(known, similarity, fingerprint=shingle, seed=seed, **{k: v for k, v in sets.items() if k == "shingle"}), "prints")
-    nodes = stored(prints.groupBy("fp", *(["same"] if similarity is not None else [])).agg(F.min("doc_id").alias("rep")), "nodes")
-    by_print = checkpoint(nodes.groupBy("fp").agg(F.min("rep").alias("rep")))
+    n = prints.count()
+    nodes = stored(prints.groupBy("fp", *(["same"] if similarity is not None else [])).agg(F.min("doc_id").alias("rep")), "nodes", n)
+    by_print = checkpoint(nodes.groupBy("fp").agg(F.min("rep").alias("rep")), n)
     edges = [_to_class(nodes, by_print, "fp"), link_classes(by_print, radius, hot)]
     if similarity is not None:
         classes, links = similar_classes(known, prints, similarity, seed=seed, **sets)
@@ -294,9 +296,10 @@ def copies(docs: DataFrame, similarity: float | None = None, shingle: int = 3, s
         every = every.unionByName(e)
     found = components(every.where("a <> b"))
     kept = nodes.join(found.withColumnRenamed("id", "rep"), "rep", "left").where(F.coalesce("component", "rep") == F.col("rep"))
-    gone = stored(prints.select("doc_id").distinct().join(kept.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"), "copies")
-    drop_scratch(docs.sparkSession, mark, (gone,))
-    return gone
+    gone = stored(prints.select("doc_id").distinct().join(kept.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"), "copies", n)
+    twice = stored(prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated", n)
+    drop_scratch(docs.sparkSession, mark, (gone, twice))
+    return gone, twice
 
 
 #: Ids to broadcast at most (8 bytes each); a larger set is joined by a shuffle.
@@ -313,8 +316,7 @@ def one_of_each(docs: DataFrame, similarity: float | None = None, **how) -> Data
     Which of several rows with one id stays is settled by their text's hash, then the text. A row
     without an id can't be told to be another's copy and stays. All columns are kept.
     """
-    gone = copies(docs, similarity, **how)
-    twice = stored(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
+    gone, twice = copies(docs, similarity, **how)
     single = docs.join(_small(gone.unionByName(twice)), "doc_id", "left_anti")  # nulls stay
     first = F.min_by(F.struct(*(F.col(c) for c in docs.columns)), F.struct(F.xxhash64("text"), "text")).alias("r")
     again = docs.join(_small(twice), "doc_id", "left_semi").join(_small(gone), "doc_id", "left_anti")
