@@ -34,7 +34,8 @@ FIRST_READ = 100
 #: How many of those get exact scores, by k.
 FIRST_SCORED = 8
 #: Terms are set aside while their bounds stay below this part of the score to reach.
-ASIDE = 0.7
+ASIDE = 0.6
+#: Parts of the documents in a stored index, at least one.
 PARTS = 16
 
 
@@ -54,11 +55,7 @@ def _band(length: Column) -> Column:
     return F.floor(4 * F.log2(length + 1)).cast("int")
 
 
-def _part(doc: Column) -> Column:
-    return F.pmod(F.xxhash64(doc), F.lit(PARTS)).cast("int")
-
-
-def _counted(docs: DataFrame, doc: str, text: str, terms: DataFrame | None) -> DataFrame:
+def _counted(docs: DataFrame, doc: str, text: str, terms: DataFrame | None, parts: int = 1) -> DataFrame:
     """t, d, len, band, part, tf; a row of t null a document, so that documents without words count.
 
     With ``terms`` the words of these only. Texts are split once; words are counted before the shuffle.
@@ -67,7 +64,7 @@ def _counted(docs: DataFrame, doc: str, text: str, terms: DataFrame | None) -> D
     if terms is not None:
         read = read.join(terms.select("t", F.lit(True).alias("hit")), "t", "left").where("t is null or hit")
     rows = read.groupBy("d", "len", "t").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    return rows.select("t", "d", "len", _band(F.col("len")).alias("band"), _part(F.col("d")).alias("part"), "tf")
+    return rows.select("t", "d", "len", _band(F.col("len")).alias("band"), F.pmod(F.xxhash64("d"), F.lit(parts)).cast("int").alias("part"), "tf")
 
 
 def _bounds(counted: DataFrame) -> DataFrame:
@@ -80,7 +77,7 @@ class Bm25Index:
 
     def __init__(self, docs: DataFrame | None, doc: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75, terms: DataFrame | None = None):
         """An index of this session, of the words of ``terms`` only if given; kept in the scratch folder."""
-        self.doc, self.k1, self.b = doc, k1, b
+        self.doc, self.k1, self.b, self.parts = doc, k1, b, 1
         if docs is None:
             return
         counted = stored(_counted(docs, doc, text, terms), "bm25-counted")
@@ -101,14 +98,12 @@ class Bm25Index:
     def open(cls, spark: SparkSession, path: str) -> Bm25Index:
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
         index = cls(None, meta["doc"], k1=meta["k1"], b=meta["b"])
-        index.spark, index.path, index.meta = spark, path, meta
+        index.spark, index.path, index.meta, index.parts = spark, path, meta, PARTS
         for name, (schema, _, _) in index._tables().items():
             if not spark.catalog.tableExists(index._name(name)):
                 _, buckets, _ = index._tables()[name]
                 clustered = f"CLUSTERED BY ({', '.join(buckets)}) INTO {meta['buckets']} BUCKETS"
                 spark.sql(f"CREATE TABLE {index._name(name)} ({schema}) USING parquet {clustered} LOCATION '{path}/{name}'")
-            else:
-                spark.catalog.refreshTable(index._name(name))
         index._read()
         return index
 
@@ -124,13 +119,15 @@ class Bm25Index:
         }
 
     def _read(self) -> None:
+        for name in self._tables():
+            self.spark.catalog.refreshTable(self._name(name))  # files may have come by another session
         rows = {n: self.spark.table(self._name(n)) for n in self._tables()}
         self.postings, self.marks = rows["postings"].where("t is not null"), rows["postings"].where("t is null")
         self.bounds = rows["bounds"].groupBy("t", "band").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.min("short").alias("short"))
 
     def add(self, docs: DataFrame, text: str = "text") -> Bm25Index:
         """Append documents; their ids must be new. What is there already isn't read."""
-        counted = stored(_counted(docs, self.doc, text, None), "bm25-counted")
+        counted = stored(_counted(docs, self.doc, text, None, PARTS), "bm25-counted")
         for name, (_, buckets, make) in self._tables().items():
             rows = make(counted).select(*(f.name for f in self.spark.table(self._name(name)).schema))
             dealt = rows.repartition(self.meta["buckets"], *buckets)
@@ -138,6 +135,9 @@ class Bm25Index:
         self._read()
         return self
 
+    def close(self) -> None:
+        """Nothing is held in memory; tables of a session's index go with ``drop_scratch``."""
+
     # search
 
     def _gives(self, tf: Column, length: Column, mean: float) -> Column:
@@ -158,7 +158,7 @@ class Bm25Index:
         return top(found, ["q"], k, F.round("score", 9), ["d"]).select(F.col("q").alias(query), F.col("d").alias(self.doc), "score", "rank")
 
     def scored(self, queries: DataFrame, k: int = 4, query: str = "query_id", query_text: str = "query") -> DataFrame:
-        """q, d, score of every document that may be among a query's k best; written, as later steps read it."""
+        """q, d, score of every document that may be among a query's k best."""
         spark = self.postings.sparkSession
         docs, mean = self.marks.agg(F.count(F.lit(1)), F.avg("len")).first()
         mean = float(mean or 1) or 1.0
@@ -174,12 +174,13 @@ class Bm25Index:
             left = stored(self._left(split, mean), "bm25-left")
             aside = split.where("aside").select("q", "band", "t", "idf")
             more = self._looked_up(left.join(aside, ["q", "band"]), mean)
-            return stored(left.select("q", "d", "s").unionByName(more).groupBy("q", "d").agg(F.sum("s").alias("score")), "bm25-scored")
+            scored = left.select("q", "d", "s").unionByName(more).groupBy("q", "d").agg(F.sum("s").alias("score"))
+            return scored if self.parts == 1 else stored(scored, "bm25-scored")  # planned here, while the setting holds
         finally:
             spark.conf.set(_SUBSET, held)
 
     def _dealt(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("part", F.explode(F.array(*map(F.lit, range(PARTS)))))
+        return rows.withColumn("part", F.explode(F.array(*map(F.lit, range(self.parts)))) if self.parts > 1 else F.lit(0))
 
     def _reach(self, asked: DataFrame, k: int, mean: float) -> DataFrame:
         """q, reach: a score that a query's k-th best has at least, from documents that hold its rarest terms."""
@@ -187,7 +188,7 @@ class Bm25Index:
         rare = asked.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < FIRST_READ * k).select("q", "t", "idf")
         s = F.sum(F.col("idf") * self._gives(F.col("tf").cast("double"), F.col("len"), mean)).alias("s")
         some = self._dealt(rare).join(self.postings.select("t", "part", "d", "len", "tf"), ["t", "part"]).groupBy("q", "d", "part").agg(s)
-        first = stored(top(some, ["q"], FIRST_SCORED * k, F.col("s"), ["d"]).select("q", "d", "part"), "bm25-first")
+        first = top(some, ["q"], FIRST_SCORED * k, F.col("s"), ["d"]).select("q", "d", "part")
         exact = self._looked_up(first.join(asked.select("q", "t", "idf"), "q"), mean).groupBy("q", "d").agg(F.sum("s").alias("s"))
         best = F.sort_array(F.collect_list("s"), asc=False)  # 8 k scores a query
         return exact.groupBy("q").agg((F.coalesce(F.get(best, F.lit(k - 1)), F.lit(0.0)) * (1 - 1e-9) - 1e-6).alias("reach"))
