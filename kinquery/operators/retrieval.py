@@ -78,9 +78,12 @@ def matching(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
 
 
 def numbered(rows: DataFrame, by: list[str], order: str, title: str) -> DataFrame:
-    """'(1) title' labels in order inside each group."""
-    n = F.row_number().over(W.partitionBy(*by).orderBy(order))
-    return rows.withColumn("label", F.concat(F.lit("("), n.cast("string"), F.lit(") "), F.col(title)))
+    """'(1) title' labels in order inside each group, which may have any share of the rows."""
+    from kinquery.operators.numbering import group_key, placed
+
+    grouped = rows.withColumn("__grp", F.concat_ws("\x00", *(group_key(F.col(c)) for c in by)))
+    found = placed(grouped, "__grp", [order, title], "labels", "__place")
+    return found.withColumn("label", F.concat(F.lit("("), (F.col("__place") + 1).cast("string"), F.lit(") "), F.col(title))).drop("__grp", "__place")
 
 
 def keyword_lookup(docs: DataFrame, keyword: str, doc: str = "doc_id", text: str = "text", around: int = 2) -> DataFrame:

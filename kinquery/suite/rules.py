@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinquery.plans.facts import FactBase
 from kinquery.plans.relations import RELATIONS, program
 from kinquery.runtime import scratch_path, stored, table
 from kinquery.suite.files import put
@@ -27,11 +28,16 @@ def _query(name: str, sql: str):
 _ALL = ("parent", *RELATIONS)
 
 
+def _written(spark: SparkSession, sf_dir: str) -> FactBase:
+    """The facts as a table, which each of many relations reads."""
+    return FactBase(spark, stored(facts(spark, sf_dir).facts, "facts"))
+
+
 @_query("rules_consulted", with_rules(*RELATIONS) + "\n" + " UNION ALL ".join(f"SELECT '{n}' AS rel, x, y, CAST(count(*) AS BIGINT) AS mult FROM {n} GROUP BY x, y" for n in RELATIONS))
 def rules_consulted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All relations from a file of rules, over several lines each, consulted after the facts."""
     path = put(spark, scratch_path(spark, "rules") + ".pl", "% relations\n:- dynamic parent/2.\n" + program())
-    kin = facts(spark, sf_dir).consult(path)
+    kin = _written(spark, sf_dir).consult(path)
     kin.rule_plans.table("counted", 2)
     parts = [kin.relation(n, 2, "counted").select(F.lit(n).alias("rel"), "x", "y", F.col("mult").cast("long").alias("mult")) for n in RELATIONS]
     return reduce(DataFrame.unionByName, parts)
@@ -62,7 +68,28 @@ def rules_negated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("asked_few", with_rules(*RELATIONS) + "\n" + " UNION ALL ".join(f"SELECT '{n}' AS rel, x, y, CAST(count(*) AS BIGINT) AS mult FROM {n} WHERE CAST(x AS BIGINT) % 100 = 0 GROUP BY x, y" for n in _ALL))
 def asked_few(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All relations of every hundredth person, walked from these people; no whole relation is derived."""
-    kin = facts(spark, sf_dir)
+    kin = _written(spark, sf_dir)
     seeds = stored(table(spark, sf_dir, "customer").where("c_custkey % 100 = 0").select(F.col("c_custkey").cast("string").alias("x")), "asked")
     plans = kin.plans.pinned_from(seeds, "counted")
     return reduce(DataFrame.unionByName, [plans(n).select(F.lit(n).alias("rel"), "x", "y", F.col("mult").cast("long").alias("mult")) for n in _ALL])
+
+
+def _changed(upto: int) -> str:
+    """Parents after the first ``upto`` of fifty changes, by rules of the change's number."""
+    added = f"SELECT 'new' || i AS x, CAST(i AS VARCHAR) AS y, i AS since FROM range(1, 51) t(i) WHERE i % 5 <> 0 AND i <= {upto}"
+    gone = f"(i % 5 = 0 AND i <= {upto} AND i > since AND ((i % 10 = 0 AND x = CAST(16 + i AS VARCHAR)) OR (i % 10 = 5 AND y = CAST(i AS VARCHAR))))"
+    return f"SELECT CAST({upto} AS BIGINT) AS version, x, y FROM (SELECT x, y, 0 AS since FROM parent UNION ALL {added}) f WHERE NOT EXISTS (SELECT 1 FROM range(1, 51) t(i) WHERE {gone})"
+
+
+@_query("facts_versions", with_rules() + "\n" + " UNION ALL ".join(_changed(v) for v in (0, 23, 50)))
+def facts_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty changes to the parents, every fifth a retraction; read before them, in between and after them."""
+    from kinquery.plans.versions import FactLog
+
+    log = FactLog(spark, facts(spark, sf_dir).facts.where("pred = 'parent'"))
+    for i in range(1, 51):
+        if i % 5:
+            log.add(f'parent(new{i}, "{i}")')
+        else:
+            log.remove(f'parent("{16 + i}", _)' if i % 10 == 0 else f'parent(X, "{i}")')
+    return reduce(DataFrame.unionByName, [log.frame(v).select(F.lit(v).cast("long").alias("version"), "x", "y") for v in (0, 23, 50)])

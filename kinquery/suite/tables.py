@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinquery.functions import columns as C
 from kinquery.operators import evaluation as E
+from kinquery.operators import long_texts as L
 from kinquery.operators import retrieval as R
 from kinquery.operators import shapes as S
 from kinquery.operators import votes as V
@@ -279,7 +280,7 @@ def mean_count(spark, sf_dir):
 @query("chunk_merge", "SELECT source AS title, length(string_agg(text, chr(10) ORDER BY doc_id)) AS n, md5(string_agg(text, chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY source")
 def chunk_merge(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("body"))
-    return R.merged_chunks(rows).select("title", F.length("body").cast("long").alias("n"), F.md5("body").alias("h"))
+    return L.digests(L.joined_parts(rows, "title", "doc_id", "body"), "title").select("title", F.col("n_chars").alias("n"), F.col("md5").alias("h"))
 
 
 @query("attr_search_regex", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'mit licen.e|gnu\\s+general')")
@@ -303,7 +304,8 @@ def keyword_lookup(spark, sf_dir):
 
 @query("evidence_join", "SELECT source, md5(string_agg(text, chr(10) || '================' || chr(10) || chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY source")
 def evidence_join(spark, sf_dir):
-    return R.evidence(table(spark, sf_dir, "documents"), ["source"], "doc_id", "text").select("source", F.md5("evidence").alias("h"))
+    line = "\n================\n\n"
+    return L.digests(L.joined_parts(table(spark, sf_dir, "documents"), "source", "doc_id", "text", line), "source", line).select("source", F.col("md5").alias("h"))
 
 
 @query("relevant_articles", "SELECT r_regionkey AS id, string_agg(n_name, chr(10) || '================' || chr(10) || chr(10) ORDER BY n_nationkey DESC) AS evidence FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
