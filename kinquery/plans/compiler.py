@@ -33,6 +33,8 @@ def _rows(facts, atom: Atom, bag: bool, given: DataFrame | None = None) -> DataF
         elif arg.name != "_":
             taken[arg.name] = F.col(name)
     found = rel.select(*(c.alias(v) for v, c in taken.items()), *([F.col("mult").alias(MULT)] if bag else []))
+    if len(taken) == len(names):  # rows of a relation differ already
+        return found
     if bag:
         return found.groupBy(*taken).agg(F.sum(MULT).alias(MULT)).where(F.col(MULT) > 0)
     return found.distinct() if taken else found.limit(1).select(F.lit(1).alias("__any"))

@@ -29,6 +29,7 @@ class FactBase:
         self.arities = dict(arities or {})
         self._plans: RelationPlans | None = None
         self._rules: RulePlans | None = None
+        self._known_kinds: set[tuple[str, int]] | None = None
 
     @classmethod
     def of_frames(cls, spark: SparkSession, frames: dict[str, DataFrame]) -> FactBase:
@@ -159,10 +160,19 @@ class FactBase:
         return self._rules
 
     def _facts_beside(self, name: str, arity: int) -> DataFrame | None:
-        """Facts of a predicate that has rules as well."""
+        """Facts of a predicate that has rules as well; None where there are none."""
+        if (name, arity) not in self._kinds():
+            return None
         rows = self.frame(name).where("y is null" if arity == 1 else "y is not null")
         return rows.select(*["x", "y"][:arity]) if arity in (1, 2) else None
 
+    def _kinds(self) -> set[tuple[str, int]]:
+        """Predicates and arities of the facts, found once."""
+        if self._known_kinds is None:
+            found = self.facts.select("pred", F.when(F.col("y").isNull(), 1).otherwise(2).alias("n")).distinct()
+            self._known_kinds = {(r["pred"], r["n"]) for r in found.collect()}  # a row a predicate
+        return self._known_kinds
+
     def can_extend(self, name: str) -> bool:
         return name in RELATIONS or name in ("parent", "friend_") if not any(r.key[0] == name for _, r in self.rules) else False
 

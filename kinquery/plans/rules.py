@@ -146,10 +146,12 @@ class RulePlans:
                 self._done.update({(k, mode): df for k, df in self._rounds(self._groups[key] | {key}).items()})
             else:
                 parts = [self._rule(r, mode) for r in self.rules[key]]
-                self._done[key, mode] = _merged([*self._stated(key, mode), *parts], arity, mode)
+                every = [*self._stated(key, mode), *parts]
+                self._done[key, mode] = every[0] if every == parts and len(parts) == 1 else _merged(every, arity, mode)  # bindings differ already
         return self._done[key, mode]
 
     def _stated(self, key: Key, mode: str) -> list[DataFrame]:
+        """Facts of a predicate that has rules as well."""
         rows = self.facts(*key)
         if rows is None:
             return []
