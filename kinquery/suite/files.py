@@ -122,10 +122,11 @@ def action_csv(spark, sf_dir):
     return spark.read.csv(path, header=True, escape="\\").select("id", "actions")
 
 
-@_query("timings_csv", "SELECT 'facts_generate' AS stage UNION ALL SELECT 'articles_save' UNION ALL SELECT 'total'")
+@_query("timings_csv", "SELECT n_name AS stage FROM nation UNION ALL SELECT 'total'")
 def timings_csv(spark, sf_dir):
     took, path = S.Timings(), scratch_path(spark, "timings")
-    for stage in ("facts_generate", "articles_save", "facts_generate"):
+    stages = [r["n_name"] for r in table(spark, sf_dir, "nation").select("n_name").collect()]  # 25 rows
+    for stage in (*stages, *stages[:3]):
         with took.stage(stage):
             pass
     took.write(spark, path)
@@ -155,11 +156,17 @@ def pool_file(spark, sf_dir):
     return spark.createDataFrame([(n,) for n in S.read_pool(spark, path)], "name string")
 
 
-@_query("limits_file", "SELECT * FROM (VALUES ('openai', 'gpt', 1, 500, 30000), ('openai', 'gpt', 2, 5000, NULL), ('local', 'default', 0, 1, 2)) t(server, model, tier, rpm, tpm)")
+@_query("limits_file", "SELECT r_name AS server, n_name AS model, CAST(n_nationkey % 3 AS INTEGER) AS tier, CAST(n_nationkey * 1000 + 1 AS INTEGER) AS rpm, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 7 END AS INTEGER) AS tpm FROM nation JOIN region ON r_regionkey = n_regionkey")
 def limits_file(spark, sf_dir):
-    text = 'openai:\n  "gpt":  # a model\n    usage_tier=1:\n      RPM: 500\n      TPM: 30_000\n    usage_tier=2:\n      RPM: 5000\nlocal:\n  default:\n    usage_tier=0:\n      RPM: 1\n      TPM: 2\n'
-    found = S.read_limits(spark, put(spark, scratch_path(spark, "limits"), text))
-    return found.select("server", "model", "tier", F.col("rpm").cast("int").alias("rpm"), F.col("tpm").cast("int").alias("tpm"))
+    """A file of limits with a server a region and a model a nation; every other one has no limit of tokens."""
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).orderBy("r_name", "n_name").collect()  # 25 rows
+    lines: list[str] = []
+    for n in nations:
+        if f"{n['r_name']}:" not in lines:
+            lines.append(f"{n['r_name']}:")
+        lines += [f'  "{n["n_name"]}":  # a model', f"    usage_tier={n['n_nationkey'] % 3}:", f"      RPM: {n['n_nationkey'] * 1000 + 1:_}", *([] if n["n_nationkey"] % 2 else ["      TPM: 7"])]
+    found = S.read_limits(spark, put(spark, scratch_path(spark, "limits"), "\n".join(lines) + "\n"))
+    return found.select("server", "model", F.col("tier").cast("int").alias("tier"), F.col("rpm").cast("int").alias("rpm"), F.col("tpm").cast("int").alias("tpm"))
 
 
 @_query("facts_from_disk", f"{with_rules()} SELECT 'parent' AS pred, x, y FROM parent UNION ALL SELECT 'job', x, y FROM job")

@@ -111,21 +111,22 @@ def leaderboard(spark, sf_dir):
     return wide.select("_size", "_model", *(F.round(100 * F.col(m), 4).alias(m) for m in ("cot", "react")))
 
 
-@query("leaderboard_cells", f"""{_SCORES}, a AS (SELECT _size, _model, method, _data_seed, _seed, avg(f1) AS f1 FROM e WHERE _size IN (50, 500) AND _model IN ('model-0', 'model-4') GROUP BY ALL),
+@query("leaderboard_cells", f"""{_SCORES}, a AS (SELECT _size, _model, method, _data_seed, _seed, avg(f1) AS f1 FROM e GROUP BY ALL),
   b AS (SELECT _size, _model, method, _data_seed, avg(f1) AS f1 FROM a GROUP BY ALL), c AS (SELECT _size, _model, method, avg(f1) AS m, stddev_samp(f1) / sqrt(count(*)) AS s FROM b GROUP BY ALL)
   SELECT _size, _model, method, CAST(round(m, 4) AS DOUBLE) AS mean, CAST(round(s, 4) AS DOUBLE) AS error FROM c""")
 def leaderboard_cells(spark, sf_dir):
-    """The numbers that stand in the cells, to a unit of their last place."""
-    board = E.leaderboard(scores(spark, sf_dir), ["cot", "react"], [50, 500], ["MODEL-0", "model-4"])
-    cells = board.unpivot(["_size", "_model"], ["cot", "react"], "method", "cell").where("cell is not null")
+    """The numbers that stand in the cells of all sizes, models and methods, to a unit of their last place."""
+    rows = scores(spark, sf_dir)
+    sizes, models, methods = ([r[0] for r in rows.select(c).distinct().orderBy(c).collect()] for c in ("_size", "_model", "method"))  # a few of each
+    cells = E.leaderboard(rows, methods, sizes, models).unpivot(["_size", "_model"], methods, "method", "cell").where("cell is not null")
     part = lambda i: F.round(F.split("cell", " ± ")[i].cast("double") / 100, 4)
     return cells.select("_size", "_model", "method", part(0).alias("mean"), part(1).alias("error"))
 
 
-@query("out_of_context", f"{_SCORES} SELECT _size, method, CASE WHEN _size > 500 AND method = 'cot' THEN '--' ELSE CAST(count(*) AS VARCHAR) END AS cell FROM e WHERE _model = 'model-2' GROUP BY _size, method")
+@query("out_of_context", f"{_SCORES} SELECT _size, method, _model, CASE WHEN _size > 500 AND method = 'cot' AND _model = 'model-2' THEN '--' ELSE CAST(count(*) AS VARCHAR) END AS cell FROM e GROUP BY _size, method, _model")
 def out_of_context(spark, sf_dir):
-    rows = E.mean_by(scores(spark, sf_dir).where("_model = 'model-2'"), ["_size", "method", "_model"], ("f1",))
-    return rows.select("_size", "method", E.out_of_context(F.col("count").cast("string"), F.col("_size"), F.col("_model"), F.col("method"), 500, ["model-2"], ["cot"]).alias("cell"))
+    rows = E.mean_by(scores(spark, sf_dir), ["_size", "method", "_model"], ("f1",))
+    return rows.select("_size", "method", "_model", E.out_of_context(F.col("count").cast("string"), F.col("_size"), F.col("_model"), F.col("method"), 500, ["model-2"], ["cot"]).alias("cell"))
 
 
 @query("delta_mixin", f"{_SCORES}, m AS (SELECT _model, method, _data_seed, _seed, _size, _type, avg(f1) AS f1 FROM e GROUP BY ALL) SELECT a._model, a._data_seed, a._seed, a._size, a._type, round(b.f1 - a.f1, 6) + 0.0 AS f1_delta FROM m a JOIN m b USING (_model, _data_seed, _seed, _size, _type) WHERE a.method = 'cot' AND b.method = 'react'")
