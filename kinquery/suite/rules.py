@@ -93,3 +93,24 @@ def facts_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         else:
             log.remove(f'parent("{16 + i}", _)' if i % 10 == 0 else f'parent(X, "{i}")')
     return reduce(DataFrame.unionByName, [log.frame(v).select(F.lit(v).cast("long").alias("version"), "x", "y") for v in (0, 23, 50)])
+
+
+@_query("prefixes_of_all", with_rules("sister", "child", "friend", "mother") + """, c AS (SELECT CAST(c_custkey AS VARCHAR) AS x, c_custkey AS k FROM customer),
+  a AS (SELECT x, k, 1 AS n, (SELECT count(DISTINCT s.y) FROM sister s WHERE s.x = c.x) AS bindings FROM c WHERE k % 3 <> 2
+    UNION ALL SELECT x, k, 2, (SELECT count(*) FROM (SELECT DISTINCT s.y, h.y AS z FROM sister s JOIN child h ON h.x = s.y WHERE s.x = c.x)) FROM c WHERE k % 3 = 0
+    UNION ALL SELECT x, k, 3, NULL FROM c WHERE k % 3 = 0
+    UNION ALL SELECT x, k, 2, NULL FROM c WHERE k % 3 = 1
+    UNION ALL SELECT x, k, 1, (SELECT count(DISTINCT f.y) FROM friend f WHERE f.x = c.x) FROM c WHERE k % 3 = 2
+    UNION ALL SELECT x, k, 2, (SELECT count(*) FROM (SELECT DISTINCT f.y, m.y AS z FROM friend f JOIN mother m ON m.x = f.y WHERE f.x = c.x)) FROM c WHERE k % 3 = 2)
+  SELECT x AS id, CAST(n AS INTEGER) AS n, CAST(bindings AS BIGINT) AS bindings, bindings IS NULL AS failed FROM a""")
+def prefixes_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predicted query a customer, of three shapes: one whose third goal isn't known, one whose second can't be parsed, one that runs."""
+    from kinquery.plans.prefixes import prefix_counts
+
+    k = F.col("c_custkey")
+    name = F.concat(F.lit('"'), k, F.lit('"'))
+    text = F.when(k % 3 == 0, F.concat(F.lit("so:\nsister("), name, F.lit(", A), child(A, B), aunties(B, C), child(C, D)")))
+    text = text.when(k % 3 == 1, F.concat(F.lit("sister("), name, F.lit(", A), Child(A"), F.lit(", B)"))).otherwise(F.concat(F.lit("friend("), name, F.lit(", Y), mother(Y, M)")))
+    preds = table(spark, sf_dir, "customer").select(k.cast("string").alias("id"), text.alias("prolog_query"))
+    found = prefix_counts(_written(spark, sf_dir), preds)
+    return found.select("id", "n", "bindings", F.col("error").isNotNull().alias("failed"))

@@ -188,3 +188,14 @@ def test_rules_over_relations(family):
     assert pairs(mine.relation("uncle_of")) == pairs(family.relation("uncle")) and pairs(mine.relation("sibling", mode="counted")) == pairs(family.relation("sibling", mode="counted"))
     fathers = {r.y for r in family.relation("father").collect()}
     assert {r.x for r in mine.relation("lone", 1).collect()} == {str(i) for i in range(0, 400, 2)} - fathers
+
+
+def test_prefixes_of_many_queries(spark, kin):
+    from kinquery.plans.prefixes import prefix_counts, shape_of
+
+    assert shape_of('p("a", X), q(X, b)') == (["p(Given__1, X)", "q(X, Given__2)"], ["a", "b"], None) and shape_of("p(X), q(")[0] == [] and shape_of("p(X), Q(Y)")[0] == ["p(X)"] and shape_of("")[2]
+    texts = {"a": "elder(eve, Y)", "b": "elder(cid, Y)", "c": "x\nelder(X, Y), parent(Z, Y)", "d": "parent(Z, Y), nosuch(Z, Y), parent(Y, Y)", "e": "parent(Z, Y), Bad(Z)", "f": None, "g": "parent(Z, Y), aggregate_all(count, distinct(parent(W, Y)), N), parent(Z, ann)"}
+    preds = spark.createDataFrame([*texts.items(), (None, "elder(X, Y)")], "id string, prolog_query string")
+    got = {(r.id, r.n): (r.bindings, r.error is None) for r in prefix_counts(kin, preds).collect()}
+    want = {("a", 1): (2, True), ("b", 1): (0, True), ("c", 1): (2, True), ("c", 2): (4, True), ("d", 1): (5, True), ("d", 2): (None, False), ("e", 1): (5, True), ("e", 2): (None, False), ("f", 1): (None, False), ("g", 1): (5, True), ("g", 2): (5, True), ("g", 3): (4, True)}
+    assert got == want
