@@ -65,7 +65,7 @@ def test_audit(spark):
 
 def test_a_text_that_is_everywhere(spark):
     rows = [(i, f"s{i % 3}", "one text for all" if i % 3 else f"own {i}") for i in range(200)]
-    same(spark, rows, [(i, i % 2, i % 5 == 0) for i in range(0, 200, 3)])
+    same(spark, rows, [(i, i % 2, int(i % 5 == 0)) for i in range(0, 200, 3)])
 
 
 def test_long_texts_no_labels_clashing_columns(spark):
