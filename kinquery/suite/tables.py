@@ -303,6 +303,23 @@ def keyword_lookup(spark, sf_dir):
     return R.keyword_lookup(table(spark, sf_dir, "documents"), "Licen")
 
 
+_CORE = "regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}.!?]+$', '', 'g')"
+
+
+@query("sentences_learned", f"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS ws FROM documents),
+  p AS (SELECT unnest(ws) AS w, unnest(list_concat([NULL], ws[:-2])) AS before FROM d WHERE len(ws) > 0), c AS (SELECT {_CORE} AS core, {_CORE.replace('(w,', '(before,')} AS prior FROM p),
+  t AS (SELECT lower(regexp_replace(core, '[.!?]+$', '')) AS word, regexp_matches(core, '[^.]\\.$') AS s, regexp_matches(core, '^\\p{{Ll}}') AS l, regexp_matches(core, '^\\p{{Lu}}') AND prior IS NOT NULL AND NOT regexp_matches(prior, '[.!?]$') AS c FROM c),
+  g AS (SELECT word, count(*) FILTER (s) AS k, count(*) FILTER (NOT s) AS plain, count(*) FILTER (l) AS small, count(*) FILTER (c) AS capital_inside FROM t WHERE word <> '' GROUP BY word),
+  n AS (SELECT least(greatest(sum(k) / sum(k + plain), 1e-9), 1 - 1e-9) AS p FROM g), z AS (SELECT *, length(replace(word, '.', '')) AS len FROM g, n)
+  SELECT word, CAST(k AS BIGINT) AS stopped, CAST(plain AS BIGINT) AS plain, CAST(small AS BIGINT) AS small, CAST(capital_inside AS BIGINT) AS capital_inside,
+    CASE WHEN k > 0 AND regexp_matches(word, '\\p{{L}}') THEN round(2 * (k * ln(0.99) + plain * ln(0.01) - k * ln(p) - plain * ln(1 - p)) * exp(-len) * (length(word) - len + 1) * pow(greatest(len, 1), -plain), 6) + 0.0 END AS score FROM z""")
+def sentences_learned(spark, sf_dir):
+    """Of every word of all documents how it is written, and how sure it is an abbreviation."""
+    from kinquery.operators.sentence_model import statistics
+
+    return statistics(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6) + F.lit(0.0))
+
+
 @query("evidence_join", "SELECT source, md5(string_agg(text, chr(10) || '================' || chr(10) || chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY source")
 def evidence_join(spark, sf_dir):
     line = "\n================\n\n"
