@@ -17,8 +17,9 @@ left is decided on whole sets. A key of more classes gets their whole sets into
 sizes, each class going to its own band and the next one, and bands of over ``hot`` into parts that
 meet two by two. So no pair is lost at any size.
 
-Whole sets are hashed again from the texts of those classes that need them, told by a bitmap of a
-bounded size (what it lets through too much is of no effect).
+What goes to a pair are the texts of its classes, told by a bitmap of a bounded size (what it lets
+through too much is of no effect); their sets are hashed again where the pair is decided. Only shards
+get sets, as there a text would be hashed once a key.
 
 Shingles are XXH64 values; sets without shingles (null, empty) are one class. Rows without an id
 take no part.
@@ -325,8 +326,8 @@ def _can_share(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long, rep_a long, rep_b long")
 
 
-def _sets(docs: DataFrame, needed: DataFrame, shared, shingle: int, seed: int) -> DataFrame:
-    """same, hashes (in the common order) of at least the documents ``needed(rep)``."""
+def _texts(docs: DataFrame, needed: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """same (the hash of its set), text of at least the documents ``needed(rep)``."""
     spark = docs.sparkSession
     bits = min(BITMAP, 1 << max(6, int(16 * needed.count()).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
@@ -336,26 +337,45 @@ def _sets(docs: DataFrame, needed: DataFrame, shared, shingle: int, seed: int) -
     told = spark.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, map_ = shared.value, told.value
+        map_ = told.value
         for batch in batches:
             p = batch.column("p").to_numpy()
             which = np.flatnonzero((map_[p >> 6] >> (p & 63)) & 1)
             for some in slices(batch.take(pa.array(which)), "text", rows=64):
-                sets = [np.unique(fingerprint_hashes(t, shingle, seed)) for t in some.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(map(_same, sets)), pa.int64()), pa.array([_ordered(x, last).tobytes() for x in sets], pa.binary())], ["same", "hashes"])
+                same = [_same(np.unique(fingerprint_hashes(t, shingle, seed))) for t in some.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(same, pa.int64()), some.column("text")], ["same", "text"])
 
-    return docs.select(place(F.col("doc_id").cast("long")).alias("p"), "text").mapInArrow(run, "same long, hashes binary")
+    return docs.select(place(F.col("doc_id").cast("long")).alias("p"), "text").mapInArrow(run, "same long, text string")
 
 
-def _decided(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) between the reps of pairs whose whole sets are similar."""
+def _sets(texts: DataFrame, shared, shingle: int, seed: int) -> DataFrame:
+    """same, hashes (in the common order) of ``texts(same, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        last = shared.value
+        for some in (s for b in batches for s in slices(b, "text", rows=64)):
+            sets = [_ordered(np.unique(fingerprint_hashes(t, shingle, seed)), last).tobytes() for t in some.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([some.column("same"), pa.array(sets, pa.binary())], ["same", "hashes"])
+
+    return texts.mapInArrow(run, "same long, hashes binary")
+
+
+def _decided(pairs: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
+    """Edges (a, b) between the reps of pairs with texts x and y whose whole sets are similar.
+
+    Texts take a third of the room that sets do.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[str, np.ndarray] | None = None
+        for batch in (s for b in batches for s in slices(b, "x", rows=256)):
             left = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                left.append(len(np.intersect1d(x, y, assume_unique=True)) >= must_share(len(x), len(y), similarity))
+                x, y = x.as_py(), y.as_py()
+                if last is None or y != last[0]:  # rows of one y mostly come together
+                    last = (y, np.unique(fingerprint_hashes(y, shingle, seed)))
+                one, other = np.unique(fingerprint_hashes(x, shingle, seed)), last[1]
+                left.append(len(np.intersect1d(one, other, assume_unique=True)) >= must_share(len(one), len(other), similarity))
             yield batch.select(["a", "b"]).filter(pa.array(left, pa.bool_()))
 
     return pairs.mapInArrow(run, "a long, b long")
@@ -416,11 +436,11 @@ def similar_classes(docs: DataFrame, prints: DataFrame, similarity: float = 0.8,
     close = stored(_can_share(met.where("b is not null").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b"), similarity), "close-pairs")
     rows = stored(met.where("b is null").select("k", "a", "n", "i").distinct().join(classes.select(F.col("same").alias("a"), "rep"), "a"), "frequent-keys")
     needed = close.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).unionByName(rows.select("rep")).distinct()
-    sets = stored(_sets(docs, needed, shared, shingle, seed), "sets")
-    side = lambda c, name: sets.select(F.col("same").alias(c), F.col("hashes").alias(name))
+    texts = stored(_texts(docs, needed, shingle, seed), "texts")
+    side = lambda c, name: texts.select(F.col("same").alias(c), F.col("text").alias(name))
     weighed = close.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "x", "y")
-    links = stored(_decided(weighed, similarity).unionByName(_in_shards(rows, sets, similarity, hot)), "set-links")
-    return classes, links
+    links = stored(_decided(weighed, similarity, shingle, seed), "set-links")  # two jobs, so that only one's shuffle files are there at once
+    return classes, links.unionByName(stored(_in_shards(rows, _sets(texts, shared, shingle, seed), similarity, hot), "shard-links"))
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42, **how) -> DataFrame:

@@ -260,3 +260,21 @@ def test_pipeline_links_null_ids_to_nothing(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (2, "a b c d e f"), (2, "x"), (2, "y"), (7, None), (8, "")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text or "") for r in one_of_each(docs, similarity=0.8).collect())[:1] == [(0, "a b c d e f")]
     assert sorted(r.doc_id or 0 for r in one_of_each(docs, similarity=0.8).collect()) == [0, 2, 7]
+
+
+def test_pairs_get_texts_and_no_table_of_sets_is_written(spark, monkeypatch):
+    from kinquery.llm import shingle_sets as S
+
+    written = []
+    real = S.stored
+
+    def noted(df, what, rows=None):
+        written.append((what, df.columns))
+        return real(df, what, rows)
+
+    monkeypatch.setattr(S, "stored", noted)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words), " ".join([*words[:100], "new", *words[101:]]), " ".join(reversed(words))]
+    got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+    assert "texts" in dict(written) and not any("hashes" in columns for _, columns in written)
