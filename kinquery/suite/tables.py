@@ -11,7 +11,7 @@ from kinquery.operators import long_texts as L
 from kinquery.operators import retrieval as R
 from kinquery.operators import shapes as S
 from kinquery.operators import votes as V
-from kinquery.runtime import table
+from kinquery.runtime import spread, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -225,7 +225,7 @@ def _dense_sql(score: str, order: str) -> str:
 
 def _vectors(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    return v, v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    return spread(v), v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query_vector"))
 
 
 @query("dense_top4", _dense_sql("list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[]))", "DESC"))

@@ -2,6 +2,10 @@
 
 import json
 
+import random
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +197,27 @@ def test_scratch_tables_go(spark):
     path = df.inputFiles()[0].rpartition("/")[0]
     drop_scratch(spark)
     assert not __import__("os").path.exists(path.removeprefix("file://"))
+
+
+@pytest.mark.parametrize("metric", ["dot", "l2"])
+def test_dense_by_matrix_products_equals_pair_by_pair(spark, metric, monkeypatch):
+    """Copies, scores that differ by less than the ninth decimal, and vectors that are null, short or not finite."""
+    rnd = random.Random(4)
+    base = [[rnd.uniform(-1, 1) for _ in range(8)] for _ in range(60)]
+    rows = [(i, base[i % 60] if i % 3 else [c + rnd.uniform(-1, 1) * 1e-10 for c in base[i % 60]]) for i in range(300)]
+    rows += [(300, None), (301, [1.0] * 7), (302, [1.0] * 7 + [None]), (303, [float("nan")] * 8), (304, [1e200] * 8)]
+    docs = spark.createDataFrame(rows, "doc_id int, vector array<double>")
+    queries = docs.where("doc_id % 20 = 1 or doc_id > 301").toDF("query_id", "query_vector")
+    want = docs.crossJoin(F.broadcast(queries))
+    score = R._dot(F.col("vector"), F.col("query_vector")) if metric == "dot" else -R._distance(F.col("vector"), F.col("query_vector"))
+    want = R.top(want.select("query_id", "doc_id", score.alias("score")), ["query_id"], 4, F.round("score", 9), ["doc_id"])
+    want = want.select("query_id", "doc_id", (F.col("score") if metric == "dot" else -F.col("score")).alias("score"), "rank")
+    calls = []
+    real = R._Best.add
+    monkeypatch.setattr(R._Best, "add", lambda self, docs, x: (calls.append(1), real(self, docs, x))[1])
+    got = R.dense(docs, queries, 4, metric)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    best, x = R._Best(np.array(base[:5]), 4, metric), np.array([v for _, v in rows[:300]])
+    for lo in range(0, 300, 50):
+        best.add(pa.array(range(lo, lo + 50)), x[lo : lo + 50])
+    assert calls and len(best.q) < 5 * 300  # pairs out of reach aren't kept
