@@ -8,7 +8,10 @@ distinct (``set``). Predicates that several rules stand on can be ``tabled``: wr
 Predicates that come back to themselves, directly or through each other, are derived in rounds
 (semi-naive): a round joins only what the last one found new, takes off what is known, and is
 written, so the plan of a round doesn't grow with the rounds. Known rows are put together in one
-table every ``MERGE`` rounds. Rounds end when nothing new is found. Such predicates have no counts,
+table every ``MERGE`` rounds. Rounds end when nothing new is found. A predicate whose only rule that
+comes back is p(X, Y) :- p(X, Z), p(Z, Y) is the closure of its other rows: new rows are then joined with
+those only, as all splits of a path give the same row, for ``CLOSURE_ROWS`` first rows at once, since
+rows of different X never meet. Such predicates have no counts,
 as their derivations may be endless. ``\\+`` and counts must not lead back to their own predicate.
 """
 
@@ -23,10 +26,11 @@ from pyspark.sql import functions as F
 from kinquery.functions.clauses import Compare, Not, Rule
 from kinquery.functions.goals import Atom, Const, CountDistinct, Var
 from kinquery.plans.compiler import MULT, evaluate
-from kinquery.runtime import stored
+from kinquery.runtime import drop_scratch, scratch_mark, stored
 
 Key = tuple[str, int]
 MERGE = 8
+CLOSURE_ROWS = 2_000_000
 
 
 def columns(arity: int) -> list[str]:
@@ -191,6 +195,8 @@ class RulePlans:
                 else:
                     first[k].append(self._rule(r, "set"))
         news = {k: stored(_merged(parts, k[1], "set"), f"delta-{k[0]}") for k, parts in first.items() if parts}
+        if len(group) == 1 and news and len(again) == 1 and _is_transitive(again[0][0]):
+            return {k: self._closure(again[0][0], base) for k, base in news.items()}
         known: dict[Key, list[DataFrame]] = {k: [df] for k, df in news.items()}
         news = {k: df for k, df in news.items() if not df.isEmpty()}
         rounds = 0
@@ -219,12 +225,46 @@ class RulePlans:
         empty = lambda k: self.base_schema(k[1])
         return {k: reduce(DataFrame.unionByName, known[k]) if k in known else empty(k) for k in group}
 
+    def _closure(self, rule: Rule, base: DataFrame) -> DataFrame:
+        """All rows of the transitive ``rule`` over ``base(x, y)``; only a chunk's known rows are shuffled at once."""
+        spark, name = base.sparkSession, rule.head.predicate
+        chunks = max(1, -(-base.count() // CLOSURE_ROWS))
+        done: list[DataFrame] = []
+        mark = scratch_mark()
+        for c in range(chunks):
+            mine = base if chunks == 1 else base.where(F.pmod(F.xxhash64("x"), F.lit(chunks)) == c)
+            known, new = [mine], mine
+            while True:
+                total = reduce(DataFrame.unionByName, known)
+                found = _merged([self._rule(rule, "set", 0, {0: new, 1: base})], 2, "set")
+                new = stored(found.join(total, ["x", "y"], "left_anti"), f"delta-{name}")
+                if new.isEmpty():
+                    break
+                known.append(new)
+                if len(known) > MERGE:
+                    known = [stored(reduce(DataFrame.unionByName, known), f"known-{name}")]
+                    drop_scratch(spark, mark, (*done, *known, new))
+            done += known
+            drop_scratch(spark, mark, tuple(done))
+        return reduce(DataFrame.unionByName, done)
+
     def base_schema(self, arity: int) -> DataFrame:
         from pyspark.sql import SparkSession
 
         return SparkSession.active().createDataFrame([], ", ".join(f"{c} string" for c in columns(arity)))
 
 
+def _is_transitive(rule: Rule) -> bool:
+    """Whether a rule is p(X, Y) :- p(X, Z), p(Z, Y)."""
+    if len(rule.body) != 2 or not all(isinstance(g, Atom) and (g.predicate, len(g.args)) == rule.key for g in rule.body):
+        return False
+    args = [*rule.head.args, *rule.body[0].args, *rule.body[1].args]
+    if len(args) != 6 or not all(isinstance(a, Var) and a.name != "_" for a in args):
+        return False
+    x, y, x2, z, z2, y2 = (a.name for a in args)
+    return x == x2 and y == y2 and z == z2 and len({x, y, z}) == 3
+
+
 def _merged(parts: list[DataFrame], arity: int, mode: str) -> DataFrame:
     """All parts' rows: distinct, or with their derivations added up."""
     names = columns(arity)

@@ -199,3 +199,22 @@ def test_prefixes_of_many_queries(spark, kin):
     got = {(r.id, r.n): (r.bindings, r.error is None) for r in prefix_counts(kin, preds).collect()}
     want = {("a", 1): (2, True), ("b", 1): (0, True), ("c", 1): (2, True), ("c", 2): (4, True), ("d", 1): (5, True), ("d", 2): (None, False), ("e", 1): (5, True), ("e", 2): (None, False), ("f", 1): (None, False), ("g", 1): (5, True), ("g", 2): (5, True), ("g", 3): (4, True)}
     assert got == want
+
+
+def test_a_transitive_rule_is_joined_with_first_rows_only(spark, monkeypatch):
+    """Cycles, chains over MERGE rounds and several chunks; no round joins all rows with all rows."""
+    from kinquery.plans import rules as P
+    from kinquery.plans.facts import FactBase
+
+    pairs = [(str(i), str(i + 1)) for i in range(12)] + [("a", "b"), ("b", "a"), ("12", "a"), ("x", "x")]
+    kin = FactBase.of_frames(spark, {"parent": spark.createDataFrame([(x, y, 0) for x, y in pairs], "x string, y string, ord long")})
+    kin = kin.with_rules("ancestor(X, Y) :- parent(X, Y). ancestor(P, Q) :- ancestor(P, R), ancestor(R, Q).")
+    want = set(pairs)
+    while more := {(x, z) for x, y in want for y2, z in want if y == y2} - want:
+        want |= more
+    given, real = [], P.RulePlans._rule
+    monkeypatch.setattr(P, "CLOSURE_ROWS", 6)
+    monkeypatch.setattr(P.RulePlans, "_rule", lambda self, rule, mode, first=None, rows=None: (given.append(rows), real(self, rule, mode, first, rows))[1])
+    rows = [(r.x, r.y) for r in kin.relation("ancestor").collect()]
+    assert sorted(rows) == sorted(want)
+    assert {tuple(sorted(g)) for g in given if g} == {(0, 1)} and all(g[1].count() == len(pairs) for g in given[-1:])
