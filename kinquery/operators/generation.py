@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from kinquery.functions import columns as C
 from kinquery.functions.templates import Template, templates
 from kinquery.functions.wording import ATTRIBUTE_ALIAS, plural_words, question_words
-from kinquery.operators.walks import Adjacency, below, permuted, ranked
+from kinquery.operators.walks import Adjacency, below, beside, permuted, ranked
 from kinquery.plans.compiler import evaluate, traces_of, values_of
 from kinquery.plans.facts import FactBase
 from kinquery.plans.relations import ASKABLE, ATTRIBUTES, EASY
@@ -278,10 +278,15 @@ class Walks:
         edges = edges if edges is not None else walk_edges(facts, relations)
         return cls(people, people.count(), Adjacency.of(edges, "walk-edges"), Adjacency.of(have, "walk-attributes"))
 
+    @property
+    def lookup(self) -> DataFrame:
+        """People as the small side of a join: with many of them they don't pass the driver."""
+        return beside(self.people, self.many)
+
     def start(self, state: DataFrame, *what: Column | str) -> DataFrame:
         """Each row with a person ``at``, all alike likely."""
         drawn = state.withColumn("__i", below(F.lit(self.many), "start", *what))
-        return drawn.join(self.people.select(F.col("i").alias("__i"), F.col("name").alias("at")), "__i").drop("__i")
+        return drawn.join(self.lookup.select(F.col("i").alias("__i"), F.col("name").alias("at")), "__i").drop("__i")
 
 
 def sample_questions(facts: FactBase, template: Template, n: int, kind: int = 0, seed: int = 1, attempts: int = 100, easy: bool = False, edges: DataFrame | None = None, at_once: int = 10, walks: Walks | None = None) -> DataFrame:

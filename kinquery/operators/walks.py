@@ -10,6 +10,7 @@ total weight: a binary search in the person's segment starts, one lookup of the
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,6 +19,13 @@ from pyspark.sql import functions as F
 from kinquery.runtime import stored
 
 SEGMENT = 512
+#: Rows of a lookup table at most that a join may broadcast. Spark goes by the size of a file, of which rows in memory are many times.
+BROADCAST_ROWS = 100_000
+
+
+def beside(rows: DataFrame, n: int) -> DataFrame:
+    """A lookup table of ``n`` rows, as a join is to take it: one of many is shuffled and does not pass the driver."""
+    return rows.hint("merge") if n > BROADCAST_ROWS else rows
 
 
 def ranked(rows: DataFrame, order: list[str | Column], what: str, name: str = "i", weight: str | None = None, before: str = "before") -> DataFrame:
@@ -63,6 +71,11 @@ class Adjacency:
     heads: DataFrame
     segments: DataFrame
 
+    @cached_property
+    def many(self) -> int:
+        """How many people have edges."""
+        return self.heads.count()
+
     @classmethod
     def of(cls, edges: DataFrame, what: str = "adjacency", segment: int = SEGMENT) -> Adjacency:
         """From edges(x, rel, y, mult), distinct in x, rel and y; edges without weight are left out."""
@@ -83,7 +96,7 @@ class Adjacency:
         one of the edge's derivations. ``reduced``: a column for the number less the weight before the edge.
         """
         heads = self.heads.select(F.col("x").alias("__x"), F.col("total").alias("__total"), F.col("starts").alias("__starts"), F.col("segs").alias("__segs"))
-        found = self._placed(state.join(heads, F.col(at) == F.col("__x")), number)
+        found = self._placed(state.join(beside(heads, self.many), F.col(at) == F.col("__x")), number)
         return self._chosen(found, state.columns, reduced)
 
     def choose_one_of_all(self, state: DataFrame, number: Column, reduced: str | None = None) -> DataFrame:
@@ -97,7 +110,7 @@ class Adjacency:
 
     def _chosen(self, found: DataFrame, columns: list[str], reduced: str | None) -> DataFrame:
         parts = self.segments.select(F.col("x").alias("__x"), F.col("seg").alias("__seg"), "starts", "edges")
-        found = found.join(parts, ["__x", "__seg"]).withColumn("__k", last_at_most(F.col("starts"), F.col("__want")))
+        found = found.join(beside(parts, self.many), ["__x", "__seg"]).withColumn("__k", last_at_most(F.col("starts"), F.col("__want")))
         edge = F.get("edges", F.col("__k"))
         cols = [*columns, edge["rel"].alias("rel"), edge["y"].alias("y")]
         return found.select(*cols, *([(F.col("__want") - F.get("starts", F.col("__k"))).alias(reduced)] if reduced else []))

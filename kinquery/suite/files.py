@@ -401,7 +401,7 @@ def walk_steps(spark, sf_dir):
     by_rel = mean.join(drawn.groupBy("rel").agg(F.count(F.lit(1)).alias("n")), "rel", "left")
     return _broken({
         "edges": drawn.join(edges.select(F.col("x").alias("at"), "rel", "y"), ["at", "rel", "y"], "left_anti"),
-        "people": starts.join(walks.people.select(F.col("name").alias("at")), "at", "left_anti"),
+        "people": starts.join(walks.lookup.select(F.col("name").alias("at")), "at", "left_anti"),
         "starts": often.where(F.abs(F.coalesce("n", F.lit(0)) - 20) > 36),
         "relations": by_rel.where(F.abs(F.coalesce("n", F.lit(0)) - F.col("m")) > 6 * F.sqrt("v") + 1),
     })

@@ -221,3 +221,20 @@ def test_dense_by_matrix_products_equals_pair_by_pair(spark, metric, monkeypatch
     for lo in range(0, 300, 50):
         best.add(pa.array(range(lo, lo + 50)), x[lo : lo + 50])
     assert calls and len(best.q) < 5 * 300  # pairs out of reach aren't kept
+
+
+def test_lookups_of_many_people_are_not_broadcast(spark, monkeypatch):
+    from kinquery.operators import generation as G
+    from kinquery.operators import walks as W
+
+    edges = spark.createDataFrame([(str(i), "r", str((i + k) % 40), 1) for i in range(40) for k in (1, 2)], "x string, rel string, y string, mult long")
+    people = spark.createDataFrame([(str(i), i) for i in range(40)], "name string, i long")
+    monkeypatch.setattr(W, "BROADCAST_ROWS", 10)
+    adjacency = W.Adjacency.of(edges)
+    walks = G.Walks(people, 40, adjacency, adjacency)
+    state = spark.range(300).select(F.col("id").alias("q"))
+    starts = walks.start(state, F.col("q"))
+    steps = adjacency.choose(starts, "at", W.below(F.col("__total"), "s", F.col("q")))
+    for found in (starts, steps):
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert steps.count() == 300 and all((int(r.y) - int(r["at"])) % 40 in (1, 2) for r in steps.collect())
