@@ -361,10 +361,7 @@ def _sets(texts: DataFrame, shared, shingle: int, seed: int) -> DataFrame:
 
 
 def _decided(pairs: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
-    """Edges (a, b) between the reps of pairs with texts x and y whose whole sets are similar.
-
-    Texts take a third of the room that sets do.
-    """
+    """Edges (a, b) between the reps of pairs with texts x and y whose whole sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str, np.ndarray] | None = None
@@ -440,7 +437,8 @@ def similar_classes(docs: DataFrame, prints: DataFrame, similarity: float = 0.8,
     side = lambda c, name: texts.select(F.col("same").alias(c), F.col("text").alias(name))
     weighed = close.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "x", "y")
     links = stored(_decided(weighed, similarity, shingle, seed), "set-links")  # two jobs, so that only one's shuffle files are there at once
-    return classes, links.unionByName(stored(_in_shards(rows, _sets(texts, shared, shingle, seed), similarity, hot), "shard-links"))
+    at_keys = texts.join(rows.select(F.col("a").alias("same")), "same", "left_semi")
+    return classes, links.unionByName(stored(_in_shards(rows, _sets(at_keys, shared, shingle, seed), similarity, hot), "shard-links"))
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42, **how) -> DataFrame:
