@@ -79,6 +79,46 @@ def test_a_stored_index_grows_and_is_opened_again(spark, tmp_path):
         spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
 
 
+def test_a_stored_index_is_written_by_many_tasks_and_read_once(spark, tmp_path):
+    docs, queries = corpus(3, 60)
+    docs += [(5, docs[5][1]), (8, docs[8][1])]  # each row counts among all documents, as in the SQL
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "10")
+    try:
+        index = Bm25Index.write(spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path / "i"), buckets=3)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(list((tmp_path / "i" / "postings").glob("*.parquet"))) > 3
+    q = spark.createDataFrame(queries, "query_id long, query string")
+    words = {w for _, t in queries for w in re.split(r"[\W_]+", (t or "").lower()) if w}
+    asked = index.asked(spark.createDataFrame([(w,) for w in words], "t string"))
+    assert {r.t for r in asked.postings.select("t").distinct().collect()} == {w for _, t in docs for w in (t or "").split()} & words
+    assert not [f for f in asked.postings.inputFiles() if str(tmp_path / "i") in f]
+    bags = {}
+    for d, t in docs:
+        bags.setdefault(d, []).append(Counter((t or "").split()))
+    n, mean = len(docs), sum(sum(c.values()) for b in bags.values() for c in b) / len(docs)
+    size = {d: sum(b[0].values()) for d, b in bags.items()}
+    bags = {d: sum(b, Counter()) for d, b in bags.items()}
+    df = Counter(w for b in bags.values() for w in b)
+    gives = lambda d, w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * bags[d][w] * 2.5 / (bags[d][w] + 1.5 * (0.25 + 0.75 * size[d] / mean))
+    want = []
+    for i, text in queries:
+        scores = {d: sum(gives(d, w) for w in set((text or "").split()) & set(bags[d])) for d in bags if set((text or "").split()) & set(bags[d])}
+        want += [(i, d, round(scores[d], 6), k) for k, d in enumerate(sorted(scores, key=lambda d: (-round(scores[d], 9), d))[:3], 1)]
+    assert got(index.search(q, 3)) == sorted(want)
+
+
+def test_words_of_a_row_are_counted_in_it(spark):
+    from kinquery.operators.bm25 import _counted, _counted_rows
+
+    docs = spark.createDataFrame([(1, "b A, b_c B"), (2, None), (3, ""), (4, "x"), (5, "é É ß2 2 " * 500), (None, "n n")], "doc_id long, text string")
+    rows = lambda df: sorted(map(str, df.select("t", "d", "len", "band", "part", "tf").collect()))
+    found = _counted_rows(docs, "doc_id", "text", 16)
+    assert rows(found) == rows(_counted(docs, "doc_id", "text", None, 16))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_places_and_binary_search(spark):
     rows = [(i * 7 % 50, f"n{i % 3}", i % 4) for i in range(200)]
     df = spark.createDataFrame(rows, "a long, b string, w long").repartition(6)
