@@ -101,6 +101,20 @@ def test_boilerplate_by_repetition(spark):
     assert main_text(pages.limit(0)).count() == 0
 
 
+def test_pages_that_mark_their_article_go_through_the_array(spark):
+    from kinquery.llm.html_main import main_text
+
+    note, once = "please read our terms of use before you post anything", "this advert was only set on a single page of the host"
+    rows = [(i, "http://h.org/x", f"<body><nav>Home</nav><p>{note} {i}</p><article><p>{note}</p><p>story {i}</p></article><p>{once if i == 2 else ''}</p><footer>{note}</footer></body>") for i in range(4)]
+    rows += [(9, "http://other.org/x", rows[0][2]), (10, None, f"<article>{note}</article>")]
+    got = {r.page_id: r for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    # the check after the array keeps what articles repeat, and drops what stands outside them once
+    assert all(got[i].text == f"{note}\n\nstory {i}" and got[i].n_chars == len(got[i].text) for i in range(4))
+    # a menu of one token, the note's ten and the footer's ten repeat on the host; the number and the advert do not
+    assert [got[i].boilerplate_tokens for i in range(4)] == [21] * 4
+    assert (got[9].text, got[9].boilerplate_tokens) == (f"{note}\n\nstory 0", 0) and (got[10].text, got[10].boilerplate_tokens) == (note, 0)
+
+
 # op5: decontamination
 
 
